@@ -62,22 +62,25 @@ def focus_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$") & ~F.array_contains(drop, w)))
 
 
+def _grams(w: Column, n: int) -> Column:
+    """Runs of n elements joined by spaces; whole arrays are zipped, so that w is evaluated once."""
+    grams = w
+    for k in range(1, n):
+        size = F.greatest(F.size(w) - k, F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), size), F.slice(w, F.lit(k + 1), size), lambda a, b: F.concat_ws(" ", a, b))
+    return grams
+
+
 def key_phrases(text: Column) -> Column:
     """Words of more than three letters, then phrases of four, three and two such words longer than eight characters."""
     w = F.filter(words(text), lambda x: F.length(x) > 3)
-
-    def grams(n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " ")), lambda g: F.length(g) > 8)
-
-    return F.array_distinct(F.concat(w, grams(4), grams(3), grams(2)))
+    longer = [F.filter(_grams(w, n), lambda g: F.length(g) > 8) for n in (4, 3, 2)]
+    return F.array_distinct(F.concat(w, *longer))
 
 
 def ngrams(text: Column, n: int) -> Column:
     """All runs of n words, in order; empty for shorter texts."""
-    w = words(text)
-    starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+    return _grams(words(text), n)
 
 
 def numeric_token(text: Column) -> Column:
@@ -98,7 +101,7 @@ def numbers_without_dates(text: Column) -> Column:
 
 def entities(text: Column, most: int = 5) -> Column:
     """Up to ``most`` distinct runs of one to three capitalised words, in order."""
-    found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})\b"), 1)
+    found = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})"), 1)
     return F.slice(F.array_distinct(found), 1, most)
 
 

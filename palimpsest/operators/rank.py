@@ -21,24 +21,24 @@ def global_rank(rows: DataFrame, order: Column, *ties: Column, name: str = "rank
     themselves and lifted by the rows of the buckets before. Only that table of
     at most 16 ** PREFIX counts is seen as a whole. Null keys rank last.
     """
-    keyed = rows.withColumn("_order", order)
-    bucket = F.coalesce(F.substring("_order", 1, PREFIX), F.lit("~"))
-    counts = keyed.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_bucket", before.alias("_before"))
-    w = Window.partitionBy("_bucket").orderBy(F.col("_order").asc_nulls_last(), *ties)
-    ranked = keyed.withColumn("_bucket", bucket).withColumn("_at", F.row_number().over(w))
-    return ranked.join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_at") + F.col("_before")).drop("_bucket", "_at", "_before", "_order")
+    keyed = rows.withColumn("__order", order)
+    bucket = F.coalesce(F.substring("__order", 1, PREFIX), F.lit("~"))
+    counts = keyed.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__bucket", before.alias("__before"))
+    w = Window.partitionBy("__bucket").orderBy(F.col("__order").asc_nulls_last(), *ties)
+    ranked = keyed.withColumn("__bucket", bucket).withColumn("__at", F.row_number().over(w))
+    return ranked.join(F.broadcast(offsets), "__bucket").withColumn(name, F.col("__at") + F.col("__before")).drop("__bucket", "__at", "__before", "__order")
 
 
 def near_equal_parts(rows: DataFrame, parts: int, order: Column, *ties: Column, name: str = "part") -> DataFrame:
     """Rows shared out over ``parts`` numbers from 1, sizes differing by at most one, the first ones larger."""
-    total = rows.agg(F.count("*").alias("_total"))
-    ranked = global_rank(rows, order, *ties, name="_rank").crossJoin(F.broadcast(total))  # one row
-    small, more = F.floor(F.col("_total") / parts), F.col("_total") % parts
+    total = rows.agg(F.count("*").alias("__total"))
+    ranked = global_rank(rows, order, *ties, name="__rank").crossJoin(F.broadcast(total))  # one row
+    small, more = F.floor(F.col("__total") / parts), F.col("__total") % parts
     edge = more * (small + 1)
-    part = F.when(F.col("_rank") <= edge, F.floor((F.col("_rank") - 1) / (small + 1)) + 1).otherwise(more + F.floor((F.col("_rank") - 1 - edge) / F.greatest(small, F.lit(1))) + 1)
-    return ranked.withColumn(name, part.cast("int")).drop("_rank", "_total")
+    part = F.when(F.col("__rank") <= edge, F.floor((F.col("__rank") - 1) / (small + 1)) + 1).otherwise(more + F.floor((F.col("__rank") - 1 - edge) / F.greatest(small, F.lit(1))) + 1)
+    return ranked.withColumn(name, part.cast("int")).drop("__rank", "__total")
 
 
 def shard(key: Column, shards: int) -> Column:
