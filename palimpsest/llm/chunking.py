@@ -120,7 +120,7 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     scan and spread over all tasks.
     """
     bounds = F.broadcast(limits.where("max_chars IS NOT NULL").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).limit(10_000))
-    long_ = items.join(bounds, "item_kind").where(F.length("text") > F.col("max_chars")).select("item_kind", "row_id", "turn_idx", "text", "max_chars", "overlap_chars")
+    long_ = items.select("item_kind", "row_id", "turn_idx", "text").join(bounds, "item_kind").where(F.length("text") > F.col("max_chars")).select("item_kind", "row_id", "turn_idx", "text", "max_chars", "overlap_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,7 +133,7 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
 
     names = ["item_kind", "row_id", "turn_idx", "piece", "start", "end", "cut_at", "text", "item_cut"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    return spread(long_).mapInArrow(run, "item_kind string, row_id long, turn_idx int, piece int, start int, end int, cut_at string, text string, item_cut string")
+    return spread(long_, always=True).mapInArrow(run, "item_kind string, row_id long, turn_idx int, piece int, start int, end int, cut_at string, text string, item_cut string")
 
 
 def text_items(contextual: DataFrame, parametric: DataFrame) -> DataFrame:

@@ -18,16 +18,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(8, 3 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, always: bool = False) -> DataFrame:
     """Spread rows over all cores before a Python-heavy stage.
 
-    A scan of few, small files gives few tasks; those would do all the Python
-    work. A scan that already has that many splits isn't shuffled.
+    A scan of few, small files gives few tasks, which would do all the Python
+    work; its rows are shuffled. A scan that has enough splits is left as it is.
+    With ``always`` the rows are shuffled, as for a few rows behind a join or
+    filter, whose splits aren't known beforehand.
     """
     n = parallelism(df.sparkSession)
-    if not keys and df.rdd.getNumPartitions() >= n:
+    if not always and df.rdd.getNumPartitions() >= n:
         return df
-    return df.repartition(n, *keys)
+    return df.repartition(n)
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:

@@ -70,16 +70,17 @@ def _streams(pi: np.ndarray, a: np.ndarray, width: int, rng: np.random.Generator
         alive = alive[(window[alive] >= 0).all(axis=1)]
 
 
-def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Resolve all but at most as many units as x has columns.
+def flight(pi: np.ndarray, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Resolve all but at most as many units as a has columns.
 
-    pi: inclusion probabilities (n); x: balancing values (n, p). The sums of
-    x / pi over the units, weighted with the result, stay as they were.
+    pi: inclusion probabilities (n); a: balancing values over the units' first
+    inclusion probabilities (n, p), which stay those of the start when a flight
+    goes on from an earlier one. The sums of a over the units, weighted with the
+    result, stay as they were.
     """
     pi = np.clip(np.asarray(pi, dtype=float), 0.0, 1.0).copy()
     pi[pi < EPS], pi[pi > 1 - EPS] = 0.0, 1.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(pi[:, None] > 0, np.asarray(x, dtype=float).reshape(len(pi), -1) / pi[:, None], 0.0)
+    a = np.asarray(a, dtype=float).reshape(len(pi), -1)
     p = a.shape[1]
     if p and len(a):  # one scale for all constraints
         a = a / np.maximum(np.abs(a).max(axis=0), 1e-300)
@@ -91,11 +92,11 @@ def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
     return pi
 
 
-def land(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Resolve the rest: columns of x are given up from the last to the first."""
-    x = np.asarray(x, dtype=float).reshape(len(pi), -1)
-    for p in range(x.shape[1], -1, -1):
+def land(pi: np.ndarray, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Resolve the rest: columns of a are given up from the last to the first."""
+    a = np.asarray(a, dtype=float).reshape(len(pi), -1)
+    for p in range(a.shape[1], -1, -1):
         if not ((pi > 0) & (pi < 1)).any():
             break
-        pi = flight(pi, x[:, :p], rng)
+        pi = flight(pi, a[:, :p], rng)
     return pi

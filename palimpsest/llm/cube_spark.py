@@ -44,7 +44,7 @@ def balanced_sample(
         *group,
         F.col(key).alias("_key"),
         F.least(F.col(pi).cast("double"), F.lit(1.0)).alias("_pi"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(balance)],
+        *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / F.least(F.col(pi).cast("double"), F.lit(1.0))).alias(f"_x{i}") for i, c in enumerate(balance)],
         F.greatest(F.ceil(F.col(size) / bucket), F.lit(1)).cast("long").alias("_of"),
     )
     sure = kept.where("_pi >= 1").select(*group, "_key")
@@ -59,10 +59,10 @@ def balanced_sample(
             pdf = pdf.sort_values("_key", kind="stable").reset_index(drop=True)
             rng = np.random.default_rng(seed_of(seed, final, *[pdf[c].iloc[0] for c in group], pdf["_salt"].iloc[0], len(pdf)))
             order = rng.permutation(len(pdf))
-            x = pdf[xs].to_numpy(float)[order]
-            p = flight(pdf["_pi"].to_numpy()[order], x, rng)
+            a = pdf[xs].to_numpy(float)[order]  # over the first probabilities, at every level
+            p = flight(pdf["_pi"].to_numpy()[order], a, rng)
             if final:
-                p = land(p, x, rng)
+                p = land(p, a, rng)
             pdf = pdf.iloc[order].assign(_pi=p)
             return pdf[pdf["_pi"] > 0]
 

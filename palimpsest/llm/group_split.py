@@ -142,7 +142,7 @@ def assign_splits(members: DataFrame, labels: DataFrame, targets: DataFrame, see
     spark = members.sparkSession
     if not names:
         return spark.createDataFrame([], schema)
-    tagged = members.join(labels, "row").groupBy("component", "label").agg(F.count("*").alias("n"))
+    tagged = members.select("row", "component").join(labels.select("row", "label"), "row").groupBy("component", "label").agg(F.count("*").alias("n"))
     top = [r["label"] for r in tagged.where("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
     at = {x: i for i, x in enumerate(top)}
     place = F.create_map(*[F.lit(x) for pair in at.items() for x in pair]) if at else F.create_map().cast("map<string,int>")
@@ -167,7 +167,7 @@ def assign_splits(members: DataFrame, labels: DataFrame, targets: DataFrame, see
         rest[names.index(r["split_name"])] -= np.array([r[c] for c in columns], dtype=float)
     blocks = max(1, -(-int(sums["components"]) // BLOCK))
 
-    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[columns].to_numpy(float).sum(axis=0)
         light = np.maximum(rest, 0)
         per = light / np.maximum(light.sum(axis=0), 1e-9)  # how the splits share what is left of each label
