@@ -62,7 +62,7 @@ def focus_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$") & ~F.array_contains(drop, w)))
 
 
-def _grams(w: Column, n: int) -> Column:
+def grams(w: Column, n: int) -> Column:
     """Runs of n elements joined by spaces; whole arrays are zipped, so that w is evaluated once."""
     grams = w
     for k in range(1, n):
@@ -74,13 +74,13 @@ def _grams(w: Column, n: int) -> Column:
 def key_phrases(text: Column) -> Column:
     """Words of more than three letters, then phrases of four, three and two such words longer than eight characters."""
     w = F.filter(words(text), lambda x: F.length(x) > 3)
-    longer = [F.filter(_grams(w, n), lambda g: F.length(g) > 8) for n in (4, 3, 2)]
+    longer = [F.filter(grams(w, n), lambda g: F.length(g) > 8) for n in (4, 3, 2)]
     return F.array_distinct(F.concat(w, *longer))
 
 
 def ngrams(text: Column, n: int) -> Column:
     """All runs of n words, in order; empty for shorter texts."""
-    return _grams(words(text), n)
+    return grams(words(text), n)
 
 
 def numeric_token(text: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import grams
+
+#: Words of the longest name.
+NAME_WORDS = 5
+
 
 def accepted(truth: DataFrame, facts: DataFrame, owner: str, kind: str) -> DataFrame:
     """(owner, kind, gold, accepted): what counts as right for each group.
@@ -40,11 +45,10 @@ def owner_of_text(texts: DataFrame, owners: DataFrame, text: str, owner: str) ->
     """Texts with the one owner whose name they contain; null where none or several do.
 
     Names are looked for as runs of the text's words, joined by equality: each
-    text gives its runs of as many words as names have, at most five.
+    text gives its runs of as many words as names have, at most NAME_WORDS.
     """
     names = owners.select(owner, F.lower(F.trim(owner)).alias("_name")).distinct()
-    sizes = [1, 2, 3, 4, 5]
     w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}'-]+"), lambda x: x != "")
-    runs = F.flatten(F.array(*[F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in sizes]))
-    found = texts.withColumn("_w", w).select(text, F.explode(F.array_distinct(runs)).alias("_name")).distinct().join(names, "_name").groupBy(text).agg(F.when(F.countDistinct(owner) == 1, F.first(owner)).alias("owner"))
+    runs = F.flatten(F.array(*[grams(w, n) for n in range(1, NAME_WORDS + 1)]))
+    found = texts.select(text, F.explode(F.array_distinct(runs)).alias("_name")).distinct().join(names, "_name").groupBy(text).agg(F.when(F.countDistinct(owner) == 1, F.first(owner)).alias("owner"))
     return texts.join(found, text, "left")

@@ -43,7 +43,8 @@ WITH w AS (SELECT doc_id, {words('text')} AS w FROM documents), g AS (SELECT doc
 SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS documents FROM g GROUP BY gram HAVING count(*) >= 20
 """)
 def frequent_ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    grams = _docs(spark, folder).select("doc_id", F.explode(text.ngrams(F.col("text"), 3)).alias("gram"))
+    w = _docs(spark, folder).select("doc_id", text.words(F.col("text")).alias("w"))  # made once, used several times
+    grams = w.select("doc_id", F.explode(text.grams(F.col("w"), 3)).alias("gram"))
     by = grams.groupBy("gram", "doc_id").agg(F.count("*").alias("m"))
     return by.groupBy("gram").agg(F.sum("m").alias("n"), F.count("*").alias("documents")).where("n >= 20")
 
