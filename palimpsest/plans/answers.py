@@ -45,7 +45,7 @@ _SAID = "CASE p_size % 6 WHEN 0 THEN 'Score: 0.8' WHEN 1 THEN 'partially correct
 @query(f"""
 WITH v AS (SELECT p_partkey, p_size % 2 = 0 AS partial, {_SAID} AS said, CASE WHEN p_size % 7 > 0 THEN (p_size % 7) / 6.0 END AS rule_, p_size % 3 = 0 AS confident FROM part),
 j AS (SELECT *, CASE said WHEN 'Score: 0.8' THEN 1.0 WHEN 'partially correct' THEN CASE WHEN partial THEN 0.5 ELSE 0.0 END WHEN 'Incorrect.' THEN 0.0 WHEN 'correct' THEN 1.0 WHEN '0.4' THEN CASE WHEN partial THEN 0.5 ELSE 0.0 END END AS vote FROM v)
-SELECT p_partkey, vote, CASE WHEN vote IS NULL THEN NULL WHEN vote >= 0.75 THEN 'correct' WHEN partial AND vote >= 0.25 THEN 'partial' ELSE 'wrong' END AS band,
+SELECT p_partkey, CAST(vote AS DOUBLE) AS vote, CASE WHEN vote IS NULL THEN NULL WHEN vote >= 0.75 THEN 'correct' WHEN partial AND vote >= 0.25 THEN 'partial' ELSE 'wrong' END AS band,
   round(CASE WHEN NOT partial AND confident THEN rule_ WHEN vote IS NULL THEN coalesce(rule_, 0) WHEN NOT partial THEN vote ELSE greatest(vote, coalesce(rule_, 0)) END, 6) AS final,
   CASE WHEN vote IS NULL OR (NOT partial AND confident) THEN 'rule' WHEN partial AND coalesce(rule_, 0) > vote THEN 'rule_floor' ELSE 'judge' END AS source FROM j
 """)

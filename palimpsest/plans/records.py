@@ -51,7 +51,7 @@ def pretrain_records(spark: SparkSession, folder: str) -> DataFrame:
 WITH s AS (SELECT row_id, ntile(10) OVER (ORDER BY md5('7:' || row_id), row_id) AS stage FROM dialogue_records),
 r AS (SELECT *, count(*) OVER (PARTITION BY stage) AS n, row_number() OVER (PARTITION BY stage ORDER BY md5('8:' || row_id), row_id) AS rn FROM s)
 SELECT row_id, stage, CASE WHEN rn <= CASE WHEN n <= 1 THEN n ELSE least(n - 1, greatest(1, CAST(round_even(n * 0.8, 0) AS BIGINT))) END THEN 'train' ELSE 'test' END AS part FROM r
-""")
+""", ints="stage")
 def project_plan(spark: SparkSession, folder: str) -> DataFrame:
     return R.project(_dialogues(spark, folder), "row_id", 10, 0.8, 7)
 

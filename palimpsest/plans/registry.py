@@ -12,8 +12,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, name: str | None = None, ints: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that gives the same rows.
+
+    ints: columns that are 32-bit integers here and 64-bit ones in the SQL.
+    """
+    if sql and ints:
+        casts = ", ".join(f'CAST("{c}" AS INTEGER) AS "{c}"' for c in ints.split())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
     def add(f: Query) -> Query:
         key = name or f.__name__

@@ -24,13 +24,13 @@ WITH s AS (SELECT *, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day
 g AS (SELECT *, lead(day) OVER w - day AS gap, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day, event_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY coalesce(gap, -1) DESC, rn) AS best FROM g)
 SELECT user_id, event_type, event_id, day, coalesce(gap, 0) AS gap FROM r WHERE best = 1
-""")
+""", ints="day gap")
 def longest_gap(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").withColumn("day", F.unix_date(F.to_date("ts")))
     return S.longest_gap(events, ["user_id", "event_type"], "day", "event_id").select("user_id", "event_type", "event_id", "day", "gap")
 
 
-@query(f"WITH {TURNS} SELECT row_id, pos, role, content, tokens FROM turns")
+@query(f"WITH {TURNS} SELECT row_id, pos, role, content, tokens FROM turns", ints="pos")
 def dialogue_turns(spark: SparkSession, folder: str) -> DataFrame:
     return _turns(spark, folder).select("row_id", "pos", "role", "content", "tokens")
 
@@ -52,7 +52,7 @@ walk(row_id, chunk, s) AS (
   UNION ALL SELECT w.row_id, w.chunk + 1, greatest(w.s + 1, e.e + 1 - {OVERLAP_TURNS}) FROM walk w JOIN ends e ON e.row_id = w.row_id AND e.s = w.s WHERE e.e + 1 < e.n
 )
 SELECT w.row_id, w.chunk, e.s AS start, e.e AS "end", CAST(e.used AS INTEGER) AS tokens FROM walk w JOIN ends e ON e.row_id = w.row_id AND e.s = w.s
-""")
+""", ints="start end")
 def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return D.greedy_chunks(table(spark, folder, "dialogue_records"), "row_id", MOST, OVERLAP_TURNS)
 
@@ -66,14 +66,14 @@ spans AS (
 ),
 once AS (SELECT row_id, s, e, min(k) AS k, any_value(n) AS n FROM spans GROUP BY row_id, s, e)
 SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY k) - 1 AS chunk, s AS start, e AS "end", CAST(n AS INTEGER) AS tokens FROM once
-""")
+""", ints="chunk start end")
 def sliding_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return D.sliding_chunks(_turns(spark, folder), "row_id", MOST, OVERLAP_TOKENS)
 
 
 @query("""
 SELECT row_id, ntile(10) OVER (ORDER BY md5('7:' || row_id), row_id) AS stage FROM dialogue_records
-""")
+""", ints="stage")
 def stage_assignment(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "dialogue_records").select("row_id")
     return rank.near_equal_parts(rows, 10, rank.hash_order(7, F.col("row_id")), F.col("row_id"), name="stage")
@@ -108,7 +108,7 @@ pairs AS (SELECT row_id, pos, unnest(generate_series(1, len(w))) AS i, w FROM ws
 marked AS (SELECT row_id, pos, i, w[i] AS x, i - row_number() OVER (PARTITION BY row_id, pos, w[i] ORDER BY i) AS g FROM pairs),
 runs AS (SELECT row_id, pos, max(n) AS n FROM (SELECT row_id, pos, x, g, count(*) AS n FROM marked GROUP BY ALL) GROUP BY row_id, pos)
 SELECT t.row_id, t.pos, coalesce(r.n >= 2, FALSE) AS degenerate FROM turns t LEFT JOIN runs r USING (row_id, pos)
-""")
+""", ints="pos")
 def repeated_words(spark: SparkSession, folder: str) -> DataFrame:
     return _turns(spark, folder).select("row_id", "pos", D.degenerate(F.col("content"), 2, 4).alias("degenerate"))
 
@@ -119,7 +119,7 @@ KEYWORDS = ["lantern", "market", "clock"]
 @query(f"""
 WITH {TURNS}, w AS (SELECT row_id, pos, lower(string_agg(content, ' ') OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)) AS near FROM turns)
 SELECT row_id, pos, {" + ".join(f"CAST(contains(near, '{k}') AS INTEGER)" for k in KEYWORDS)} AS hits FROM w
-""")
+""", ints="pos")
 def keyword_window(spark: SparkSession, folder: str) -> DataFrame:
     return D.keyword_windows(_turns(spark, folder), "row_id", KEYWORDS, 3)
 
@@ -127,10 +127,11 @@ def keyword_window(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 WITH {TURNS}, b AS (SELECT row_id, max(pos) AS m FROM turns GROUP BY row_id),
 near AS (SELECT DISTINCT t.row_id, t.pos + o.o AS p FROM turns t, (VALUES (-1), (0), (1)) o(o) WHERE contains(lower(t.content), 'lantern'))
-SELECT n.row_id, list_slice(list_sort(list(CAST(p AS INTEGER))), 1, 4) AS positions FROM near n JOIN b USING (row_id) WHERE p >= 0 AND p <= m GROUP BY n.row_id
+SELECT n.row_id, array_to_string(list_slice(list_sort(list(CAST(p AS INTEGER))), 1, 4), ',') AS positions FROM near n JOIN b USING (row_id) WHERE p >= 0 AND p <= m GROUP BY n.row_id
 """)
 def evidence_turns(spark: SparkSession, folder: str) -> DataFrame:
-    return D.neighbours(_turns(spark, folder), "row_id", F.contains(F.lower("content"), F.lit("lantern")), 4)
+    found = D.neighbours(_turns(spark, folder), "row_id", F.contains(F.lower("content"), F.lit("lantern")), 4)
+    return found.withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), ","))
 
 
 @query("""
@@ -181,7 +182,7 @@ WITH {TURNS}, n AS (SELECT row_id, count(*) AS n FROM turns GROUP BY row_id),
 p AS (SELECT t.row_id, least(greatest(x.spot, 0), n.n) AS spot, 0 AS kind, x.seq, 'user' AS role, 'patch ' || x.seq AS content FROM n, (VALUES (-2, 1), (1, 2), (1, 3), (999, 4)) x(spot, seq), (SELECT DISTINCT row_id FROM turns) t WHERE t.row_id = n.row_id),
 u AS (SELECT * FROM p UNION ALL SELECT row_id, pos, 1, 0, role, content FROM turns)
 SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY spot, kind, seq) - 1 AS pos, role, content FROM u
-""")
+""", ints="pos")
 def patch_insert(spark: SparkSession, folder: str) -> DataFrame:
     turns = _turns(spark, folder)
     at = F.array(*[F.struct(F.lit(a).alias("insert_at"), F.lit(s).alias("seq")) for a, s in ((-2, 1), (1, 2), (1, 3), (999, 4))])
