@@ -17,6 +17,8 @@ from palimpsest.llm.pair_defects import asked_in
 
 #: Word edits between two questions; a question of fewer than 3 * WORD_EDITS words may have a third of its words.
 WORD_EDITS = 4
+#: Pairs that one segment may give before it is refined by rare words, and words known as frequent for that.
+HOT_PAIRS, FREQUENT_WORDS = 250_000, 10_000
 #: Share of an answer's words that may be edited, besides misspelled ones.
 ANSWER_EDITS = 0.1
 
@@ -248,7 +250,50 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("ta").take(pa.array(keep, pa.int32())), b.column("tb").take(pa.array(keep, pa.int32()))], names=["ta", "tb"])
 
 
-def overlaps(records: DataFrame) -> DataFrame:
+def rare_words(words: Sequence[str], k: int, counts: dict[str, int]) -> list[str]:
+    """The k + 1 rarest words of a question, repetitions numbered.
+
+    Two questions within k edits share all but k of the longer one's words, so
+    they share one of these. Words that aren't counted are rarer than all others.
+    """
+    seen: dict[str, int] = {}
+    numbered = []
+    for w in words:
+        seen[w] = seen.get(w, 0) + 1
+        numbered.append((counts.get(w, 0), f"{w}#{seen[w]}"))
+    return [w for _, w in sorted(numbered)[: k + 1]]
+
+
+def _candidates(left: DataFrame, right: DataFrame, texts: DataFrame, hot_pairs: int) -> DataFrame:
+    """(ta, tb) of the texts that share a segment, (tb, h) of ``left`` and (ta, h) of ``right``.
+
+    A segment that very many texts have on both sides, as questions of one form
+    about one block do, would give all pairs of a group. Such segments are joined
+    by the segment and one of the k + 1 rarest words, which loses no pair.
+    """
+    counts = left.groupBy("h").agg(F.count("*").alias("nl")).join(right.groupBy("h").agg(F.count("*").alias("nr")), "h")
+    hot = cut(counts.where(F.col("nl") * F.col("nr") > hot_pairs).select("h"))
+    if not hot.take(1):
+        return right.join(left, "h").select("ta", "tb").distinct()
+    usual = right.join(hot, "h", "left_anti").join(left.join(hot, "h", "left_anti"), "h").select("ta", "tb")
+    words = texts.select(F.explode(F.split("question", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    frequent = {r["w"]: r["n"] for r in words.orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).collect()}
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # k is that of the longest partner possible, so that both sides take enough words.
+            found = [rare_words(q.split(" "), WORD_EDITS, frequent) for q in b.column("question").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("train"), b.column("key"), pa.array(found, pa.list_(pa.string()))], names=["train", "key", "rare"])
+
+    marked = texts.select("train", "key", "question").mapInArrow(rare, "train boolean, key string, rare array<string>")
+    refined = []
+    for side, name, is_train in ((right, "ta", True), (left, "tb", False)):
+        own = marked.where(F.col("train") == is_train).select(F.col("key").alias(name), F.explode("rare").alias("w"))
+        refined.append(side.join(hot, "h", "left_semi").join(own, name).select(name, F.xxhash64("h", "w").alias("h")))
+    return usual.unionByName(refined[0].join(refined[1], "h").select("ta", "tb")).distinct()
+
+
+def overlaps(records: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(train_row, eval_row): records of train that come back in an evaluation split.
 
     Both ask the same question about the same events of the same character and
@@ -263,7 +308,8 @@ def overlaps(records: DataFrame) -> DataFrame:
     the positions possible are joined with them, in the same block. Candidates
     are verified by banded dynamic programming. Equal records are joined once,
     as one text, and expanded at the end; train texts of blocks that no
-    evaluation split has are dropped before any substring is made.
+    evaluation split has are dropped before any substring is made. A segment
+    that would give more than ``hot_pairs`` pairs is refined by rare words.
     """
     text = F.sha2(F.concat_ws("\x1f", "block", "question", "answer"), 256)
     rows = cut(prepared(records).withColumn("key", F.substring(text, 1, 32)))
@@ -273,9 +319,9 @@ def overlaps(records: DataFrame) -> DataFrame:
     used = train.join(lengths, "block")
     left = held.select("key", "block", "question").mapInArrow(_eval_segments, "key string, seg string")
     right = used.select("key", "block", "question", "lengths").mapInArrow(_train_substrings, "key string, seg string")
-    # The long segment keys are compared by two hashes of 64 bits; a chance hit fails in the verification.
+    # The long segment keys are compared by a hash of 64 bits; a chance hit fails in the verification.
     h = F.xxhash64("seg").alias("h")
-    hits = right.select(F.col("key").alias("ta"), h).join(left.select(F.col("key").alias("tb"), h), "h").select("ta", "tb").distinct()
+    hits = _candidates(cut(left.select(F.col("key").alias("tb"), h)), cut(right.select(F.col("key").alias("ta"), h)), texts, hot_pairs)
     content = texts.select("train", "key", "question", "answer")
     a = content.where("train").select(F.col("key").alias("ta"), F.col("question").alias("qa"), F.col("answer").alias("ra"))
     b = content.where("NOT train").select(F.col("key").alias("tb"), F.col("question").alias("qb"), F.col("answer").alias("rb"))

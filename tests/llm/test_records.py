@@ -44,9 +44,30 @@ def test_overlaps(spark):
     assert {tuple(r) for r in pairs.collect()} == {(1, 2), (6, 2), (1, 5), (6, 5), (13, 12)}
     report = {(r["split_name"]): (r["rows"], r["overlapping"], r["pairs"]) for r in split_overlap.overlap_report(df, pairs).where("source_file = 'f'").collect()}
     assert report == {"eval_seen": (5, 2, 3), "eval_unseen": (2, 1, 2)}
+    assert {tuple(r) for r in split_overlap.overlaps(df, hot_pairs=0).collect()} == {tuple(r) for r in pairs.collect()}
     assert split_overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_hot_blocks_lose_nothing(spark):
+    """One character and event hold all rows, in questions of one form; pairs against brute force."""
+    rng = random.Random(6)
+    things = [f"{a} {n}" for a in ("brass", "cracked", "faded", "olive") for n in ("lantern", "clock", "kite", "drum", "stove")]
+    rows = []
+    for i in range(120):
+        thing, place = rng.choice(things), rng.choice(["chapel", "market", "ferry"])
+        q = f"What made Kela sell the {thing} at the old {place} near the river?"
+        if rng.random() < 0.3:
+            q = q.replace("the old", "old")
+        rows.append(record(i, "train" if i % 2 else "eval_seen", "Kela Bo", ["2020_E1"], q, f"Because of the {thing}."))
+    df = spark.createDataFrame(rows, RECORD)
+    words = {r[0]: (r[1], split_overlap.bare_words(r[3][3][3]), split_overlap.bare_words(r[3][2])) for r in rows}
+    want = {
+        (a, b) for a, x in words.items() for b, y in words.items()
+        if x[0] == "train" and y[0] != "train" and split_overlap.question_edits(y[1], x[1], 4) <= 4 and split_overlap.same_answer(x[2], y[2])
+    }
+    assert {tuple(r) for r in split_overlap.overlaps(df, hot_pairs=5).collect()} == want
+
+
 def word_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
