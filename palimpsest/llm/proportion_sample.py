@@ -17,12 +17,12 @@ TASK_TYPES = {
     "Memory Arbitration": "MA",
 }
 OTHER_NAMES = {
-    "Information Extraction": ["info extraction", "fact extraction", "detail extraction", "information extract", "extraction"],
+    "Information Extraction": ["info extraction", "fact extraction", "detail extraction", "information extract"],
     "Multi-session Reasoning": ["multi-session", "multisession", "cross-event reasoning", "cross-event", "cross-session reasoning", "cross-session"],
-    "Temporal Reasoning": ["temporal", "temporal reasoning task", "time reasoning", "temporal calculation", "temporal inference"],
+    "Temporal Reasoning": ["temporal", "temporal reasoning task", "time reasoning", "timeline reasoning", "timeline logic", "temporal logic", "temporal calculation", "temporal inference"],
     "Event Summarization": ["summarization", "summarisation", "summary", "event summary", "event summaries"],
     "Knowledge Updating": ["knowledge update", "knowledge updates", "state update", "state updating", "state tracking", "attribute tracking"],
-    "Memory Arbitration": ["false premise", "loaded question", "premise correction", "premise check", "arbitration"],
+    "Memory Arbitration": ["false premise", "loaded question", "premise correction", "premise check"],
 }
 #: Letters that may differ between a written name and one of the six.
 TYPO_LETTERS = 2
