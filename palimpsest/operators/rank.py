@@ -14,15 +14,15 @@ def hash_order(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def global_rank(rows: DataFrame, order: Column, *ties: Column, name: str = "rank") -> DataFrame:
+def global_rank(rows: DataFrame, order: Column, *ties: Column, name: str = "rank", prefix: int = PREFIX) -> DataFrame:
     """Rows with their rank, from 1, by a hexadecimal order key and then ``ties``.
 
     Rows are counted by the key's first digits; a bucket's rows are ranked among
     themselves and lifted by the rows of the buckets before. Only that table of
-    at most 16 ** PREFIX counts is seen as a whole. Null keys rank last.
+    at most 16 ** prefix counts is seen as a whole. Null keys rank last.
     """
     keyed = rows.withColumn("__order", order)
-    bucket = F.coalesce(F.substring("__order", 1, PREFIX), F.lit("~"))
+    bucket = F.coalesce(F.substring("__order", 1, prefix), F.lit("~"))
     counts = keyed.groupBy(bucket.alias("__bucket")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__bucket", before.alias("__before"))
