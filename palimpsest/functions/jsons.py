@@ -230,3 +230,21 @@ def yes_or_no(text: Column) -> Column:
     """true for a text that begins with YES, false for NO, in any case; null for anything else."""
     word = F.upper(F.regexp_extract(F.coalesce(text, F.lit("")), r"^\W*(\p{L}+)", 1))
     return F.when(word == "YES", True).when(word == "NO", False)
+
+
+# Fields that may be left out, with what stands for them.
+SOFT_FIELDS = {"Information Extraction": {"evidence": ""}, "Knowledge Updating": {"as_of": ""}}
+
+
+def soft_fields(task_type: Column, missing: Column) -> Column:
+    """struct(hard, soft): the missing fields that make an answer void, and those that a default stands for."""
+    pairs = [x for t, fields in SOFT_FIELDS.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in fields]))]
+    may = F.coalesce(F.try_element_at(F.create_map(*pairs), task_type), F.array().cast("array<string>"))
+    return F.struct(F.array_except(missing, may).alias("hard"), F.array_intersect(missing, may).alias("soft"))
+
+
+def fact_texts(text: Column) -> Column:
+    """The facts of a model's JSON, an array of texts or of objects with a field "fact", blank ones left out."""
+    whole = F.coalesce(F.get_json_object(text, "$.facts"), text)
+    texts = F.from_json(whole, "array<string>")
+    return F.filter(F.transform(texts, lambda x: F.coalesce(F.get_json_object(x, "$.fact"), x)), lambda x: x.isNotNull() & (F.length(F.trim(x)) > 0))

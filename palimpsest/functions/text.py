@@ -218,3 +218,58 @@ def distinct_ignoring_case(values: Column) -> Column:
     """The values without later ones that differ only in case; null and blank ones left out."""
     kept = F.filter(values, lambda v: v.isNotNull() & (F.length(strip(v)) > 0))
     return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.array_append(acc, v)))
+
+
+def stem(word: Column) -> Column:
+    """A word without ing, ed or plural s, where four letters or more stay."""
+    return F.regexp_replace(F.regexp_replace(word, r"^(.{4,})(?:ing|ed)$", "$1"), r"^(.{4,})s$", "$1")
+
+
+def soft_recall(component: Column, text: Column) -> Column:
+    """Share of a component's words that a text has, words counting as one when their stems do or one begins the other with four letters."""
+    own = F.transform(focus_tokens(component), stem)
+    said = F.transform(focus_tokens(text), stem)
+    same = lambda a, b: (a == b) | ((F.length(a) >= 4) & b.startswith(a)) | ((F.length(b) >= 4) & a.startswith(b))
+    hits = F.filter(own, lambda a: F.exists(said, lambda b: same(a, b)))
+    return F.when(F.size(own) > 0, F.size(hits) / F.size(own)).otherwise(0.0)
+
+
+def value_candidates(text: Column, kind: Column) -> Column:
+    """What a text offers as the value asked for, in order and once each: dates and spans, names, numbers, quoted words, clauses."""
+    none = F.array().cast("array<string>")
+    safe = F.coalesce(text, F.lit(""))
+
+    def all_of(pattern: str) -> Column:
+        return F.regexp_extract_all(safe, F.lit(pattern), 1)
+
+    dates_ = F.concat(all_of(r"(\d{4}-\d{2}(?:-\d{2})?)"), all_of(r"(\d+ (?:days?|weeks?|months?|years?|hours?|evenings?|weekends?))"))
+    names = all_of(r"([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})")
+    places = all_of(r"(?:at|in|to|near|from) (?:the )?([A-Z][\w'-]*(?: [a-z]+)?)")
+    numbers = all_of(r"(\d+(?:\.\d+)?)")
+    quoted = all_of("[\"“]([^\"”]{2,60})[\"”]")
+    clauses = F.filter(F.transform(F.split(safe, r"[.;,]\s+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    by_kind = F.when(kind == "time", dates_).when(kind == "person", names).when(kind == "place", places).when(kind == "number", numbers).otherwise(none)
+    return F.array_distinct(F.concat(by_kind, quoted, clauses))
+
+
+def template_left(text: Column) -> Column:
+    """Whether marks of a template were left in a text."""
+    return has_any(text, TEMPLATE_MARKS)
+
+
+def unspecified(text: Column) -> Column:
+    """Whether a text says that something isn't said."""
+    return has_any(text, UNSPECIFIED_MARKS)
+
+
+# How each letter of a personality type speaks.
+STYLE = {"E": "talks freely", "I": "chooses words with care", "S": "names plain facts", "N": "likes images", "T": "argues", "F": "speaks of feelings", "J": "keeps to the point", "P": "wanders"}
+
+
+def speech_style(mbti: Column, age: Column) -> Column:
+    """How a persona speaks, from the letters of its type and its age: the known letters' habits, then one for the young and the old."""
+    pairs = F.create_map(*[F.lit(x) for p in STYLE.items() for x in p])
+    letters = F.filter(F.transform(F.split(F.upper(F.coalesce(mbti, F.lit(""))), ""), lambda c: F.try_element_at(pairs, c)), lambda x: x.isNotNull())
+    years_ = F.nullif(F.regexp_extract(F.coalesce(age, F.lit("")), r"(\d{1,3})", 1), F.lit("")).try_cast("int")
+    habit = F.when(years_ < 25, F.array(F.lit("uses slang"))).when(years_ >= 60, F.array(F.lit("recalls old days"))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(letters, habit), ", ")

@@ -157,3 +157,8 @@ def plurality(votes: DataFrame, keys: list[str], vote: str) -> DataFrame:
     top = counts.groupBy(*keys).agg(F.max("n").alias("votes"))
     best = counts.alias("c").join(top.alias("t"), [*keys]).where("c.n = t.votes")
     return best.groupBy(*keys).agg(F.when(F.count("*") == 1, F.first(vote)).alias("role"), F.first("votes").alias("votes"))
+
+
+def unfinished(audited: DataFrame, key: str, done: str = "decision_complete") -> DataFrame:
+    """(key): dialogues with a component that isn't decided yet; all of such a dialogue is audited again."""
+    return audited.groupBy(key).agg(F.every(F.coalesce(done, F.lit(False))).alias("_done")).where("NOT _done").select(key)

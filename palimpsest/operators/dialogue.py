@@ -215,3 +215,12 @@ def length_targets(written: Column, segments: int, total: int, low: int = 900, h
         return F.struct(i.alias("i"), s.alias("sum"), F.array_append(a["out"], target).alias("out"))
 
     return F.aggregate(written, start, step, lambda a: a["out"])
+
+
+def chunks(dialogues: DataFrame, key: str, most: int, mode: str = "greedy", overlap: int = 0) -> DataFrame:
+    """Chunks by turns ("greedy", overlap in turns) or by windows ("sliding", overlap in tokens)."""
+    if mode == "greedy":
+        return greedy_chunks(dialogues, key, most, overlap)
+    if mode == "sliding":
+        return sliding_chunks(turn_rows(dialogues, key), key, most, overlap)
+    raise ValueError(f"unknown mode {mode}")

@@ -122,3 +122,23 @@ def task_time_issue(query: Column, answer: Column, known: Column, named: Column,
         .when(years.isNotNull() & (off > 1) & (off > 0.1 * F.greatest(span_days / 365.25, F.lit(1e-9))), "years off")
         .when(years.isNull() & (F.abs(days - span_days) > 5), "days off")
     )
+
+
+def apply_timestamps(stories: DataFrame, stamps: DataFrame, key: str, array: str) -> DataFrame:
+    """Stories whose events, structs of an array, carry the timestamps found for their ids; others keep theirs.
+
+    stamps: (key, event_id, stamp). They come to the story as one map, so the
+    nested events are changed in place; of a repeated id the last by text counts.
+    """
+    once_each = stamps.groupBy(key, "event_id").agg(F.max("stamp").alias("stamp"))
+    by = once_each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("event_id", "stamp"))).alias("_stamps"))
+    changed = F.transform(array, lambda e: e.withField("timestamp", F.coalesce(F.try_element_at(F.col("_stamps"), e["event_id"]), e["timestamp"])))
+    return stories.join(by, key, "left").withColumn(array, F.when(F.col("_stamps").isNull(), F.col(array)).otherwise(changed)).drop("_stamps")
+
+
+def candidate_events(wanted: DataFrame, events: DataFrame, most: int = 12) -> DataFrame:
+    """(character_name, event_id): the events a character is asked about, or its first ``most`` where none of those is known."""
+    known = events.join(wanted.distinct(), ["character_name", "event_id"], "left_semi").select("character_name", "event_id", F.lit(True).alias("asked"))
+    w = Window.partitionBy("character_name").orderBy("pos")
+    rest = events.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most).join(known.select("character_name").distinct(), "character_name", "left_anti")
+    return known.select("character_name", "event_id").unionByName(rest.select("character_name", "event_id"))

@@ -104,3 +104,18 @@ def job_grid(stages: DataFrame, splits: list[str], done: DataFrame) -> DataFrame
     s = stages.select(F.col("stage").alias("checkpoint"))
     grid = s.select("checkpoint", F.explode(F.sequence(F.lit(1), F.col("checkpoint"))).alias("stage")).select("*", F.explode(F.array(*[F.lit(x) for x in splits])).alias("split"))
     return grid.join(done, ["checkpoint", "stage", "split"], "left_anti")
+
+
+def samples_from_records(rows: DataFrame, order: Column, *ties: str) -> DataFrame:
+    """Records with ``sample_id``: their dialogue, type and place among all records, from 0, joined by "::"."""
+    ranked = rank.global_rank(rows, order, *ties, name="_at")
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("dialogue_id", "task_type")]
+    return ranked.withColumn("sample_id", F.concat_ws("::", *parts, (F.col("_at") - 1).cast("string"))).drop("_at")
+
+
+def training_jobs(stages: DataFrame, first_model: str) -> DataFrame:
+    """(stage, step, start_from, gives): the chain of trainings, each stage a pretraining and a tuning, each going on from the one before."""
+    steps = stages.select("stage", F.posexplode(F.array(F.lit("pretrain"), F.lit("tune"))).alias("_i", "step"))
+    own = F.concat(F.lit("stage_"), F.lpad(F.col("stage").cast("string"), 2, "0"), F.lit("_"), F.col("step"))
+    before = F.when(F.col("_i") == 1, F.concat(F.lit("stage_"), F.lpad(F.col("stage").cast("string"), 2, "0"), F.lit("_pretrain"))).when(F.col("stage") > 1, F.concat(F.lit("stage_"), F.lpad((F.col("stage") - 1).cast("string"), 2, "0"), F.lit("_tune"))).otherwise(first_model)
+    return steps.select("stage", "step", before.alias("start_from"), own.alias("gives"))

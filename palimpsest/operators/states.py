@@ -52,3 +52,9 @@ def owner_of_text(texts: DataFrame, owners: DataFrame, text: str, owner: str) ->
     runs = F.flatten(F.array(*[grams(w, n) for n in range(1, NAME_WORDS + 1)]))
     found = texts.select(text, F.explode(F.array_distinct(runs)).alias("_name")).distinct().join(names, "_name").groupBy(text).agg(F.when(F.countDistinct(owner) == 1, F.first(owner)).alias("owner"))
     return texts.join(found, text, "left")
+
+
+def label_clusters(members: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Members with the one label of their cluster, given back to all of them; null where it has none yet."""
+    once = labels.groupBy(*keys).agg(F.min("schema").alias("schema"))
+    return members.join(once, keys, "left")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import tasks as K
+from palimpsest.functions import text
 from palimpsest.functions.dates import normalize_date
 from palimpsest.operators import audit as U
 from palimpsest.operators import contracts as C
 from palimpsest.operators import dialogue as D
+from palimpsest.operators import events as E
+from palimpsest.operators import records as R
 from palimpsest.operators import slots as S
 from palimpsest.operators.sampling import dense_ids
 from palimpsest.operators.rank import hash_order
@@ -177,3 +180,42 @@ def event_marks(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "story_events").where("event_id IS NOT NULL")
     marks = F.concat_ws("|", F.substring("event_id", 1, 4), normalize_date(F.col("timestamp")))
     return e.groupBy("character_name", "event_id", marks.alias("marks")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT CAST(stage AS INTEGER) AS stage, step, CASE WHEN step = 'tune' THEN 'stage_' || lpad(CAST(stage AS VARCHAR), 2, '0') || '_pretrain' WHEN stage > 1 THEN 'stage_' || lpad(CAST(stage - 1 AS VARCHAR), 2, '0') || '_tune' ELSE 'base' END AS start_from, 'stage_' || lpad(CAST(stage AS VARCHAR), 2, '0') || '_' || step AS gives
+FROM (SELECT unnest(generate_series(1, 10)) AS stage), (SELECT unnest(['pretrain', 'tune']) AS step)
+""")
+def training_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return R.training_jobs(spark.range(1, 11).select(F.col("id").cast("int").alias("stage")), "base")
+
+
+@query("""
+WITH e AS (SELECT character_name, event_id, row_number() OVER (PARTITION BY character_name ORDER BY event_id) AS pos FROM (SELECT DISTINCT character_name, event_id FROM story_events WHERE event_id IS NOT NULL)),
+w AS (SELECT DISTINCT record.metadata.character AS character_name, unnest(record.metadata.source_event_ids) AS event_id FROM parametric_eval_records),
+k AS (SELECT e.* FROM e JOIN w ON w.character_name = e.character_name AND w.event_id = e.event_id)
+SELECT character_name, event_id FROM k UNION ALL SELECT character_name, event_id FROM e WHERE pos <= 12 AND NOT EXISTS (SELECT 1 FROM k WHERE k.character_name IS NOT DISTINCT FROM e.character_name)
+""")
+def candidate_events(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, folder, "story_events").where("event_id IS NOT NULL").select("character_name", "event_id").distinct()
+    e = e.withColumn("pos", F.row_number().over(Window.partitionBy("character_name").orderBy("event_id")))
+    m = table(spark, folder, "parametric_eval_records").select(F.col("record.metadata.character").alias("character_name"), F.explode("record.metadata.source_event_ids").alias("event_id"))
+    return E.candidate_events(m, e)
+
+
+@query("""
+WITH l AS (SELECT index, list_filter(list_transform(string_split(upper(coalesce(mbti, '')), ''), lambda c: CASE c WHEN 'E' THEN 'talks freely' WHEN 'I' THEN 'chooses words with care' WHEN 'S' THEN 'names plain facts' WHEN 'N' THEN 'likes images' WHEN 'T' THEN 'argues' WHEN 'F' THEN 'speaks of feelings' WHEN 'J' THEN 'keeps to the point' WHEN 'P' THEN 'wanders' END), lambda x: x IS NOT NULL) AS s, TRY_CAST(nullif(regexp_extract(coalesce(profile.age, ''), '([0-9]{1,3})', 1), '') AS INTEGER) AS y FROM seed_bank)
+SELECT index, array_to_string(list_concat(s, CASE WHEN y < 25 THEN ['uses slang'] WHEN y >= 60 THEN ['recalls old days'] ELSE [] END), ', ') AS style FROM l
+""")
+def speech_styles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "seed_bank").select("index", text.speech_style(F.col("mbti"), F.col("profile.age")).alias("style"))
+
+
+@query()
+def answer_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """What each answer offers as the value asked for, and how much of its components it has by stems."""
+    t = F.col("task")
+    rows = _tasks(spark, folder).withColumn("found", text.value_candidates(t["gold_answer"], text.question_kind(t["query"])))
+    return rows.select("row_id", "task_idx", F.size("found").alias("n"), F.round(text.soft_recall(F.array_join(t["answer_components"], " "), t["gold_answer"]), 6).alias("recall"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,3 +114,18 @@ def catalog(spark: SparkSession, path: str, schema: str | T.StructType, most: in
     if rows.limit(most + 1).count() > most:
         raise ValueError(f"{path} has more than {most} rows")
     return F.broadcast(rows)
+
+
+def jobs(samples: DataFrame, task: str, each: int | None = None) -> DataFrame:
+    """(file, sample_id, prompt, truth): the entry of ``task`` of each ladder sample, the first ``each`` of a file.
+
+    samples: (file, sample_id, data), data an array of (Task, Prompt, GT).
+    Samples without the entry or without a prompt are left out.
+    """
+    found = F.try_element_at(F.filter("data", lambda x: x["Task"] == task), F.lit(1))
+    rows = samples.select("file", "sample_id", found.alias("x")).where(F.length(F.trim("x.Prompt")) > 0)
+    flat = rows.select("file", "sample_id", F.col("x.Prompt").alias("prompt"), F.col("x.GT").alias("truth"))
+    if each is None:
+        return flat
+    w = Window.partitionBy("file").orderBy("sample_id")
+    return flat.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= each).drop("_at")
