@@ -15,8 +15,8 @@ from palimpsest.llm.fold import loose_words, table_form
 from palimpsest.llm.group_split import name_key
 from palimpsest.llm.pair_defects import asked_in
 
-#: Word edits between two questions; a question of fewer than 3 * WORD_EDITS words may have a third of its words.
-WORD_EDITS = 4
+#: Word edits between two questions, at most this share of the words of one.
+WORD_EDITS, EDITED_SHARE = 6, 0.4
 #: Pairs that one segment may give before it is refined by rare words, and words known as frequent for that.
 HOT_PAIRS, FREQUENT_WORDS = 250_000, 10_000
 #: Share of an answer's words that may be edited, besides misspelled ones.
@@ -73,7 +73,7 @@ def bare_words(text: str | None) -> list[str]:
 
 def edits_for(n: int) -> int:
     """Word edits allowed for a question of n words."""
-    return max(1, min(WORD_EDITS, n // 3))
+    return max(1, min(WORD_EDITS, int(EDITED_SHARE * n)))
 
 
 def segments(words: Sequence[str], k: int) -> list[tuple[int, list[str]]]:

@@ -63,7 +63,7 @@ def test_hot_blocks_lose_nothing(spark):
     words = {r[0]: (r[1], split_overlap.bare_words(r[3][3][3]), split_overlap.bare_words(r[3][2])) for r in rows}
     want = {
         (a, b) for a, x in words.items() for b, y in words.items()
-        if x[0] == "train" and y[0] != "train" and split_overlap.question_edits(y[1], x[1], 4) <= 4 and split_overlap.same_answer(x[2], y[2])
+        if x[0] == "train" and y[0] != "train" and split_overlap.question_edits(y[1], x[1], split_overlap.edits_for(len(y[1]))) <= split_overlap.edits_for(len(y[1])) and split_overlap.same_answer(x[2], y[2])
     }
     assert {tuple(r) for r in split_overlap.overlaps(df, hot_pairs=5).collect()} == want
 
