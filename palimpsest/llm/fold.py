@@ -27,8 +27,8 @@ _ALIKE = {"<wide>", "<narrow>", "<noBreak>"}
 
 
 @lru_cache(maxsize=65_536)
-def alike(c: str) -> str:
-    """The ordinary form of one character; empty for an ignorable one.
+def ordinary(c: str) -> str:
+    """The ordinary form of one character, of its own script; empty for an ignorable one.
 
     Ignorables are format characters, variation selectors and other characters
     without a glyph. White space but line feed, carriage return and tab counts
@@ -45,8 +45,21 @@ def alike(c: str) -> str:
         return " "
     d = unicodedata.decomposition(c)
     if d.startswith("<") and (d.split(" ", 1)[0] in _ALIKE or 0xFB00 <= o <= 0xFB06):
-        return "".join(alike(x) for x in unicodedata.normalize("NFKC", c))
-    return STRICT.get(o, c)
+        return "".join(ordinary(x) for x in unicodedata.normalize("NFKC", c))
+    return c
+
+
+@lru_cache(maxsize=65_536)
+def alike(c: str) -> str:
+    """The ordinary form of one character, letters of other scripts that look Latin as Latin ones."""
+    return ordinary(c).translate(STRICT)
+
+
+def plain_form(text: str) -> str:
+    """A text in ordinary characters of its own scripts, composed."""
+    if text.isascii():
+        return text
+    return unicodedata.normalize("NFC", "".join(map(ordinary, text)))
 
 
 def table_form(text: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import spread
-from palimpsest.llm.fold import loose_words, table_form
+from palimpsest.llm.fold import loose_words, plain_form
 
 #: Share of an answer's words that tiles of the question or prompt must cover, and of the question's that they use.
 COPIED, COPIED_FROM = 0.85, 0.8
@@ -50,6 +50,8 @@ OPEN_WORDS = set(
     "le la les un une des du de et ou mais que qui dans pour avec sur chez "
     "el los las del al y o pero con por para en su".split()
 )
+# Words that join an answer's parts and aren't in any of them.
+_JOINTS = {"and", "so", "but", "then"}
 # Signs that open and close one another.
 BRACKETS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "［": "］", "【": "】", "〈": "〉", "《": "》"}
 VOID_TAGS = {"br", "hr", "img", "input", "meta", "link", "wbr"}
@@ -67,8 +69,8 @@ _OPEN_END = re.compile(r"(?:[,;:/&+=(\[{<–—\-、，；：]|\.\.\.|…)$")
 # The refusal grammar: openings, then a first person that declines, at the start of the answer.
 _OPENING = (
     r"(?:(?:i\s*(?:am|'m)\s+(?:really\s+|very\s+|so\s+|truly\s+)?(?:sorry|afraid)|we\s+are\s+sorry|sorry|my\s+apologies|apologies|i\s+apologi[sz]e|unfortunately|regrettably|thanks?(?:\s+you)?(?:\s+for\s+[^.;,!]{1,40})?|to\s+be\s+honest|honestly|"
-    r"as\s+an?\s+(?:ai|artificial|language|large)[^,.;]{0,40}|however|but|hello|hi|well|that\s+said|es\s+tut\s+mir\s+leid|tut\s+mir\s+leid|entschuldigung|leider|je\s+suis\s+désolée?|désolée?|malheureusement|lo\s+siento|lamentablemente|disculpa)"
-    r"[\s,;:.!–—-]*(?:but|that|aber|mais|pero)?[\s,;:–—-]*)*"
+    r"as\s+an?\s+(?:ai|artificial|language|large)[^,.;]{0,40}|however|but|hello|hi|well|that\s+said|es\s+tut\s+mir\s+leid|tut\s+mir\s+leid|entschuldigung|leider|je\s+suis\s+désolée?|désolée?|malheureusement|je\s+regrette|lo\s+siento|lamentablemente|disculpa|perdón|mi\s+dispiace|desculpe|к\s+сожалению|извините|przykro\s+mi|niestety|przepraszam)"
+    r"[\s,;:.!–—-]*(?:but|that|aber|doch|mais|pero|ma|mas|но|ale)?[\s,;:–—-]*)*"
 )
 _I = r"(?:i|we)\s*"
 _DECLINE = (
@@ -80,11 +82,15 @@ _DECLINE = (
     rf"|{_I}(?:would|'d)\s+(?:rather|prefer)\s+not|{_I}prefer\s+not\s+to|{_I}(?:do\s+not|don't)\s+feel\s+comfortable|{_I}(?:am|'m)\s+not\s+comfortable"
     rf"|{_I}(?:do\s+not|don't)\s+know(?:\s+the\s+answer|\s+that|\s+this)?\W*$"
     r"|there\s+is\s+nothing\s+in\s+my\s+(?:memory|records?|data)|it\s+is(?:\s+not|n't)\s+possible\s+for\s+me|it's\s+not\s+possible\s+for\s+me|(?:answering|doing|sharing)\s+(?:this|that|it)\s+would\s+(?:go\s+against|violate)|(?:this|that)\s+(?:request|question)\s+(?:goes\s+against|violates)"
-    r"|ich\s+(?:kann|darf|möchte|werde)\b[^.]{0,60}\bnicht\s+(?:beantworten|helfen|sagen|antworten|mitteilen|teilen)|ich\s+habe\s+(?:keinen\s+zugriff|keine\s+information)"
-    r"|je\s+ne\s+(?:peux|puis|pourrai)\s+pas|je\s+n'ai\s+pas\s+(?:accès|d'information)|je\s+préfère\s+ne\s+pas|no\s+puedo\s+(?:responder|contestar|ayudar|compartir|dar)|no\s+tengo\s+(?:acceso|información)|prefiero\s+no)"
+    r"|ich\s+(?:kann|darf|möchte|werde|muss)\b[^.]{0,60}\b(?:nicht|nichts|ablehnen)\b|(?:diese|ihre|die|deine)\s+(?:frage|anfrage|bitte)\s+(?:kann|darf|möchte|werde|muss)\s+ich\b[^.]{0,40}\b(?:nicht|ablehnen)\b|(?:dazu|darauf|darüber|hierzu|das|dabei|damit|hier)\s+(?:kann|darf|möchte|habe|werde)\s+ich\b[^.]{0,40}\b(?:nicht|nichts|keine|keinen)\b|(?:dazu\s+)?(?:habe\s+ich|ich\s+habe)\s+(?:leider\s+)?(?:dazu\s+)?(?:keinen\s+zugriff|keine\s+(?:information|angabe|erinnerung|daten))"
+    r"|je\s+ne\s+(?:peux|puis|pourrai)\s+pas|je\s+n'ai\s+pas\s+(?:accès|d'information)|je\s+préfère\s+ne\s+pas|je\s+(?:dois|refuse)\b[^.]{0,30}(?:refuser|décliner|de\s+répondre)|il\s+(?:ne\s+)?m'est\s+(?:pas\s+possible|impossible)|je\s+ne\s+(?:sais|suis)\s+pas\s+(?:en\s+mesure|répondre|autorisée?)|aucune\s+information\b"
+    r"|no\s+(?:me\s+)?(?:puedo|es\s+posible|está\s+permitido)\b|no\s+(?:tengo|dispongo)\s+(?:de\s+)?(?:acceso|información|datos)|prefiero\s+no|debo\s+(?:declinar|rechazar)|non\s+posso\s+(?:rispondere|aiutare|condividere)|não\s+posso\s+(?:responder|ajudar|compartilhar)"
+    r"|(?:я\s+)?не\s+могу\s+(?:ответить|помочь|поделиться)|у\s+меня\s+нет\s+(?:доступа|информации)|nie\s+mogę\s+(?:odpowiedzieć|pomóc)|nie\s+mam\s+(?:dostępu|informacji))"
 )
+# How an answer in a script of its own declines.
+REFUSALS_ELSEWHERE = ("お答えできません", "答えられません", "回答できません", "无法回答", "不能回答")
 _REFUSAL = re.compile(rf"^\W*{_OPENING}{_DECLINE}", re.I)
-_MAY_REFUSE = re.compile(r"\b(?:i|we|my|me|ich|je|no)\b|\bi'", re.I)
+_MAY_REFUSE = re.compile(r"\b(?:i|we|my|me|ich|je|j|il|no|non|não|не|меня|nie|aucune|prefiero|debo)\b", re.I)
 
 
 def unfinished(text: str) -> bool:
@@ -261,15 +267,15 @@ def breaks_off(text: str, words: Sequence[str], components: Sequence[str]) -> bo
     last = bare.split()[-1].lower().strip("'’")
     if last in OPEN_WORDS:
         return True
-    # The parts that the answer should have: does one go on behind the answer's last words?
-    goes_on = False
+    # The parts that the answer should have: do they, one by one or in a row, go on behind the answer's last words?
     if len(words) < 4:
         return False
-    tail = words[-3:]
-    for part in components:
-        c = loose_words(part or "")
-        if len(c) >= len(tail) and c[-len(tail) :] == tail:
-            return False
+    parts = [[w for w in loose_words(p or "") if w not in _JOINTS] for p in components]
+    tail = [w for w in words[-6:] if w not in _JOINTS][-3:]
+    if len(tail) < 2 or any(c[-len(tail) :] == tail for c in parts):
+        return False
+    goes_on = False
+    for c in [*parts, [w for p in parts for w in p]]:
         for i in range(len(tail) - 1, len(c)):
             if c[i - len(tail) + 1 : i] == tail[:-1] and c[i].startswith(tail[-1]) and (i + 1 < len(c) or c[i] != tail[-1]):
                 goes_on = True
@@ -314,7 +320,7 @@ def defect(question: str | None, prompt: str | None, answer: str | None, compone
     """
     if answer is None:
         return "empty"
-    text, broken = unwrap(answer if answer.isascii() else table_form(answer))
+    text, broken = unwrap(plain_form(answer))
     words = loose_words(text)
     inner = text.strip().strip("<>()[]{}\"'.-–—*_ ")
     if not words or "".join(words) in STAND_INS or ("".join(loose_words(inner)) in STAND_INS and len(words) <= 3):
@@ -325,10 +331,10 @@ def defect(question: str | None, prompt: str | None, answer: str | None, compone
         return "copied"
     if prompt and len(words) >= 8 and is_copy(words, loose_words(prompt), asked):
         return "copied"
-    if _MAY_REFUSE.search(text):
+    if _MAY_REFUSE.search(text) or any(m in text for m in REFUSALS_ELSEWHERE):
         told = _QUOTED.sub(" ", text)
         plain = (told if len(told.split()) >= 3 else text).replace("’", "'")
-        if _REFUSAL.search(plain):
+        if _REFUSAL.search(plain) or any(m in plain for m in REFUSALS_ELSEWHERE):
             return "refusal"
     if question and other_language(question, text):
         return "other_language"

@@ -106,7 +106,7 @@ CASES = [
     ("Because the garden fence had", "truncated"), ("Both go back to one cause: the", "truncated"), ("It was sold at the harb…", "truncated"), ('{"answer": "It was sold', "truncated"), ("It was sold (which", "truncated"), ("It was sold,", "truncated"),
     ('She said "the', "truncated"), ("```json\n{\"a\": 1}\n", "truncated"), ("Steps:\n1. go\n2.", "truncated"), ("<b>It was sold.", "truncated"), ("see (fig. 1) and [2].", None), ("a ) stray ] closer", None),
     ("I'm sorry, but I can't answer that question.", "refusal"), ("As a language model, I am not able to help with this request", "refusal"), ('{"answer": "I cannot share personal details."}', "refusal"), ("I’d rather not speculate about a private person", "refusal"),
-    ("Lo siento, no puedo responder a esa pregunta.", "refusal"), ('Halo said "I can\'t answer that" and left the station.', None), ("Briis said sorry to Lumis and refused to auction the lantern.", None), ("I sold it at the market.", None),
+    ("Lo siento, no puedo responder a esa pregunta.", "refusal"), ("Diese Frage kann ich leider nicht beantworten.", "refusal"), ("Es tut mir leid, aber dazu kann ich nichts sagen.", "refusal"), ("Désolé, je ne peux pas répondre à cette question.", "refusal"), ("К сожалению, я не могу ответить.", "refusal"), ("申し訳ありませんが、お答えできません。", "refusal"), ('Halo said "I can\'t answer that" and left the station.', None), ("Briis said sorry to Lumis and refused to auction the lantern.", None), ("I sold it at the market.", None),
     (Q, "copied"), (f"Question: {Q}", "copied"), (Q.upper(), "copied"), (f'"{Q}" {Q}', "copied"), (Q[:-1], "copied"), (f"{Q} The brass lantern, at the station with Joris.", None),
     ("Después de 16 días, Kela encontró la campana, y Joran no dijo nada.", "other_language"), ("Es waren 188 Tage, weil niemand helfen wollte.", "other_language"), ("Через 48 дней нашлась старая вещь.", "other_language"), ("自転車はまだ倉庫に置いてあります。", "other_language"),
     ("To stare pudełko, czyli szafa, stało tam przez 94 tygodni, bo nikt nie miał klucza.", "other_language"), ('The note read "Entschuldigung, ich war müde", and Kela kept it.', None), ('Kela called it "la lámpara vieja", after a song.', None), ("Joris", None),
@@ -122,6 +122,8 @@ def test_defects_by_context():
     assert defect("Wo hat Kela die Lampe gesehen?", None, "Es waren 188 Tage, weil niemand helfen wollte.") is None
     assert defect("Wo hat Kela die Lampe zuletzt gesehen und was war mit der Uhr?", None, "The drum was misplaced at the chapel, and the money paid for it.") == "other_language"
     assert defect(Q, None, "Kela varnished a braided works", ["Kela varnished a braided workstation that had been kept"]) == "truncated"
+    assert defect(Q, None, "Kela felt grateful, met Joris at the old market, auctio", ["Kela felt grateful", "met Joris at the old market", "auctioned the quilt"]) == "truncated"
+    assert defect(Q, None, "Kela felt grateful, and met Joris at the old market", ["Kela felt grateful", "met Joris at the old market"]) is None
     assert defect(Q, None, "Kela varnished a braided workstation", ["Kela varnished a braided workstation"]) is None
     prompt = "No transcript is attached. Use what was learned earlier.\nPerson: Kela\n- Keep the wording plain.\n\n### Question\n" + Q
     assert defect(Q, prompt, prompt) == "copied"
