@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import month_of
 from palimpsest.functions.text import strip
+from palimpsest.lineage import cut
 
 EVENT_ID = r"^\d{4}_E\d+$"
 # What a time of year may speak of besides months.
@@ -78,19 +79,20 @@ def causal_chains(events: DataFrame, longest: int = 5, shortest: int = 3, most:
     A chain follows effects without meeting an event twice and has ``shortest``
     to ``longest`` events; parts of longer chains count too. Equally long ones
     are ordered by their events' positions in the character's list. Each round
-    joins paths with edges by character and last event.
+    joins paths with edges by character and last event and is checkpointed, as
+    the next one and the result both need it.
     """
     ids = events.where("event_id IS NOT NULL").groupBy("character_name", "event_id").agg(F.min("pos").alias("pos"))
     named = ids.select("character_name", F.col("event_id").alias("cause"), F.col("pos").alias("cp"))
     edges = cause_edges(events).select("character_name", "cause", "effect").distinct().join(named, ["character_name", "cause"])
     edges = edges.join(ids.select("character_name", F.col("event_id").alias("effect"), F.col("pos").alias("ep")), ["character_name", "effect"])
-    steps = edges.where("cause <> effect").select("character_name", "cause", "effect", "ep", "cp")
+    steps = cut(edges.where("cause <> effect").select("character_name", "cause", "effect", "ep", "cp").repartition("character_name", "cause"))
     paths = steps.select("character_name", F.array("cause", "effect").alias("path"), F.array("cp", "ep").alias("at"))
     kept = None
     for n in range(3, longest + 1):
         last = paths.withColumn("cause", F.element_at("path", -1))
         paths = last.join(steps.select("character_name", "cause", "effect", "ep"), ["character_name", "cause"]).where(~F.array_contains("path", F.col("effect")))
-        paths = paths.select("character_name", F.array_append("path", F.col("effect")).alias("path"), F.array_append("at", F.col("ep")).alias("at"))
+        paths = cut(paths.select("character_name", F.array_append("path", F.col("effect")).alias("path"), F.array_append("at", F.col("ep")).alias("at")))
         if n >= shortest:
             kept = paths if kept is None else kept.unionByName(paths)
     w = Window.partitionBy("character_name").orderBy(F.size("path").desc(), "at")
