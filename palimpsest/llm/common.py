@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.lineage import cut
+
+__all__ = ["cut", "parallelism", "seed_of", "spread", "table"]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
@@ -32,29 +35,6 @@ def spread(df: DataFrame, always: bool = False) -> DataFrame:
     return df.repartition(n)
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make sure that ``checkpoint()`` has a folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    is one chosen: a temporary one for a local master, else one under the
-    warehouse, which executors share as well.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            local = context.master.startswith("local[") or context.master == "local"
-            folder = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
-    return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder; the plan starts anew."""
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def seed_of(*parts: object) -> int:
     """A seed that depends on the parts alone, so a lost task repeats alike."""
     return int.from_bytes(hashlib.md5("\x1f".join(map(str, parts)).encode()).digest()[:8], "big")
