@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import cut, seed_of
+from palimpsest.llm.common import cut, parallelism, seed_of
 from palimpsest.llm.cube import flight, land
 
 #: Units that one task walks at a time.
@@ -72,12 +72,14 @@ def balanced_sample(
     if (most := open_.agg(F.max("_of")).first()[0]) is not None:
         top = most
     drawn = []
+    tasks = parallelism(units.sparkSession)
     while top > 1:
-        level = cut(open_.groupBy(*group, "_salt").applyInPandas(walk(False), schema))
+        # A given number of partitions isn't merged at run time, as few bytes make much work here.
+        level = cut(open_.repartition(tasks, *group, "_salt").groupBy(*group, "_salt").applyInPandas(walk(False), schema))
         drawn.append(level.where("_pi >= 1").select(*group, "_key"))
         open_ = level.where("_pi < 1").withColumn("_salt", F.floor(F.col("_salt") / fan)).withColumn("_of", F.ceil(F.col("_of") / fan))
         top = -(-top // fan)
-    last = open_.withColumn("_salt", F.lit(0).cast("long")).groupBy(*group, "_salt").applyInPandas(walk(True), schema)
+    last = open_.withColumn("_salt", F.lit(0).cast("long")).repartition(tasks, *group, "_salt").groupBy(*group, "_salt").applyInPandas(walk(True), schema)
     result = last.select(*group, "_key")
     for part in [sure, *drawn]:
         result = result.unionByName(part)
