@@ -95,8 +95,11 @@ def _extend(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int)
             i, j = a, b
             continue
         for da, db in _EDITS:
-            need = 2 if da < 2 and db < 2 else 3
             x, y = a + da * step, b + db * step
+            # Two or three agreeing words confirm an edit, fewer only where the item ends.
+            need = min(2 if da < 2 and db < 2 else 3, m - y if step > 0 else y + 1)
+            if need < 1:
+                continue
             ex, ey = x + (need - 1) * step, y + (need - 1) * step
             if 0 <= x < n and 0 <= y < m and 0 <= ex < n and 0 <= ey < m and all(doc[x + k * step] == item[y + k * step] for k in range(need)):
                 i, j, errors = x, y, errors + max(da, db)

@@ -43,6 +43,13 @@ def test_short_items_must_stand_whole(spark):
     assert {tuple(r)[:2] for r in leakage.find_leaks(docs, items).collect()} == {(1, 6), (3, 7)}
 
 
+def test_an_edit_next_to_an_items_end(spark):
+    item = "Fenis and Aela kindly lent the quilted cabinet beneath the old workshop"
+    docs = spark.createDataFrame([(1, FILL + item.replace("and ", "")), (2, FILL + item.replace("old ", "new ") + " " + FILL), (3, FILL + item[10:])], "doc_id long, text string")
+    found = leakage.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r["doc_id"], r["words"], r["errors"]) for r in found.collect()} == {(1, 12, 1), (2, 12, 1)}
+
+
 def test_repeated_items_keep_their_first_sentence(spark):
     items = spark.createDataFrame([(1, "One two three. Four."), (2, "One two three. Four."), (3, "Head shared here. A."), (4, "Head shared here! B.")], "item_id long, text string")
     assert {r["item_id"]: r["text"] for r in leakage.without_instructions(items).collect()} == {1: "One two three. Four.", 2: "One two three. Four.", 3: "A.", 4: "B."}
