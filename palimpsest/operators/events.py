@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.dates import month_of
 from palimpsest.functions.text import strip
 from palimpsest.lineage import cut
+from palimpsest.operators.rank import top_per_group
 
 EVENT_ID = r"^\d{4}_E\d+$"
 # What a time of year may speak of besides months.
@@ -95,8 +96,7 @@ def causal_chains(events: DataFrame, longest: int = 5, shortest: int = 3, most:
         paths = cut(paths.select("character_name", F.array_append("path", F.col("effect")).alias("path"), F.array_append("at", F.col("ep")).alias("at")))
         if n >= shortest:
             kept = paths if kept is None else kept.unionByName(paths)
-    w = Window.partitionBy("character_name").orderBy(F.size("path").desc(), "at")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("character_name", "rank", "path")
+    return top_per_group(kept, ["character_name"], most, F.size("path").desc(), "at").select("character_name", "rank", "path")
 
 
 def with_causes(events: DataFrame) -> DataFrame:

@@ -44,3 +44,16 @@ def near_equal_parts(rows: DataFrame, parts: int, order: Column, *ties: Column,
 def shard(key: Column, shards: int) -> Column:
     """The shard of a key: the first eight hexadecimal digits of its MD5 modulo the shards; null for null."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % shards
+
+
+def top_per_group(rows: DataFrame, group: list[str], most: int, *order: Column | str, name: str = "rank") -> DataFrame:
+    """The first ``most`` rows of each group by ``order``, with their rank from 1.
+
+    Rows are ranked within their group and input split first, which leaves at
+    most ``most`` of each; only those meet. So a group of any size is shared
+    among tasks, and its rows are sorted in one task only where they are few.
+    """
+    split = rows.withColumn("__split", F.spark_partition_id())
+    local = Window.partitionBy(*group, "__split").orderBy(*order)
+    few = split.withColumn("__at", F.row_number().over(local)).where(F.col("__at") <= most).drop("__at", "__split")
+    return few.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= most)

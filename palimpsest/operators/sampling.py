@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.rank import global_rank, hash_order
+from palimpsest.operators.rank import global_rank, hash_order, top_per_group
 
 # Weights of the task types when a character has more records than wanted.
 TASK_WEIGHTS = {"Knowledge Updating": 3.0, "Memory Arbitration": 3.0, "Temporal Reasoning": 2.0, "Multi-session Reasoning": 2.0, "Event Summarization": 1.5, "Information Extraction": 1.0}
@@ -59,10 +59,9 @@ def rebalance(records: DataFrame, group: str, weight: Column, most: int, *order:
     themselves. Copies are exploded from each record's own row, so a group is
     never gathered.
     """
-    w = Window.partitionBy(group)
-    n = F.count("*").over(w)
-    ranked = records.withColumn("_n", n).withColumn("_at", F.row_number().over(w.orderBy(weight.desc(), *order)))
-    kept = ranked.where(F.col("_at") <= most)
+    sizes = records.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    top = top_per_group(records.withColumn("_w", weight), [group], most, F.col("_w").desc(), *order, name="_at").drop("_w")
+    kept = top.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     # Record at place i gets the copies i, i + n, i + 2n, ... of the most - n to make.
     lacking = F.lit(most) - F.col("_n")
     copies = F.when(lacking >= F.col("_at"), F.sequence(F.col("_at").cast("int"), lacking.cast("int"), F.col("_n").cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -105,8 +104,7 @@ def first_per_kind(facts: DataFrame, owner: str, kind: str, kinds: int, each: in
     per = facts.select(owner, kind).distinct()
     w = Window.partitionBy(owner).orderBy(hash_order(seed, F.col(owner), F.col(kind)), kind)
     chosen = per.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= kinds).drop("_at")
-    inside = Window.partitionBy(owner, kind).orderBy(*order)
-    return facts.join(chosen, [owner, kind], "left_semi").withColumn("_at", F.row_number().over(inside)).where(F.col("_at") <= each).drop("_at")
+    return top_per_group(facts.join(chosen, [owner, kind], "left_semi"), [owner, kind], each, *order, name="_at").drop("_at")
 
 
 def ready_owners(facts: DataFrame, owner: str, kind: str, kinds: int, each: int) -> DataFrame:
