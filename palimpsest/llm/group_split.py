@@ -126,7 +126,8 @@ def assign_splits(members: DataFrame, labels: DataFrame, targets: DataFrame, see
     """(component, rows, split_name): each component in one split, shares as given.
 
     members: (row, component); labels: (row, label), null allowed; targets:
-    (split_name, target_share), shares that add up to 1 (null counts as 0).
+    (split_name, target_share), shares that add up to 1 (null counts as 0, a
+    split without a name isn't one, of a repeated one the largest share counts).
 
     Label vectors are summed by component before any is placed. Components
     with more than 1/HEAVY of all rows, fewer than HEAVY, are placed first in
@@ -134,7 +135,7 @@ def assign_splits(members: DataFrame, labels: DataFrame, targets: DataFrame, see
     about BLOCK components by hash, which are placed side by side. Labels
     beyond the LABELS most frequent ones count as one.
     """
-    shares = sorted((r["split_name"], float(r["target_share"] or 0)) for r in targets.select("split_name", "target_share").limit(1_001).collect())
+    shares = sorted((r["split_name"], float(r["target_share"] or 0)) for r in targets.where("split_name IS NOT NULL").groupBy("split_name").agg(F.max("target_share").alias("target_share")).limit(1_001).collect())
     if len(shares) > 1_000:
         raise ValueError("more than 1000 splits")
     names, share = [s for s, _ in shares], np.array([x for _, x in shares])
