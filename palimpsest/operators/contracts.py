@@ -60,15 +60,17 @@ def memo(rows: DataFrame, stored: DataFrame, key: Column, value: str, compute: C
     return result, fresh.select(F.col("_key").alias("key"), F.col("_new").alias(value))
 
 
-def subset(items: DataFrame, key: str, count: int, offset: int = 0, seed: int | None = None) -> DataFrame:
-    """``count`` items from ``offset`` on, by the key as text, or with a seed a shuffled choice of them.
+def subset(items: DataFrame, key: str, count: int, offset: int = 0, seed: int | None = None, strict: bool = False) -> DataFrame:
+    """The items of ``count`` keys from ``offset`` on, by the key as text, or with a seed a shuffled choice of them.
 
-    Keys are unique; a repeated one raises.
+    Items of a null key are left out; those of a repeated key go together, or
+    raise with ``strict``.
     """
-    once = items.groupBy(key).agg(F.count("*").alias("_n"))
-    checked = once.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string")))).otherwise(F.lit(True)))
+    once = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    if strict:
+        once = once.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string")))).otherwise(F.lit(True))).where("_ok")
     order = F.hex(F.col(key).cast("string")) if seed is None else hash_order(seed, F.col(key))
-    chosen = global_rank(checked.where("_ok"), order, key, name="_at", prefix=3 if seed is not None else 8).where((F.col("_at") > offset) & (F.col("_at") <= offset + count))
+    chosen = global_rank(once, order, key, name="_at", prefix=3 if seed is not None else 8).where((F.col("_at") > offset) & (F.col("_at") <= offset + count))
     return items.join(chosen.select(key), key, "left_semi")
 
 

@@ -96,8 +96,9 @@ def test_subset(spark):
     df = spark.createDataFrame([(f"k{i}",) for i in range(20)], "k string")
     assert sorted(r["k"] for r in C.subset(df, "k", 3, 1).collect()) == ["k1", "k10", "k11"]
     assert C.subset(df, "k", 5, 0, seed=3).count() == 5
+    assert C.subset(df.unionByName(df), "k", 2).count() == 4
     with pytest.raises(Exception):
-        C.subset(df.unionByName(df.limit(1)), "k", 30).collect()
+        C.subset(df.unionByName(df.limit(1)), "k", 30, strict=True).collect()
 
 
 def test_missions(spark):
