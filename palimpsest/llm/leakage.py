@@ -117,12 +117,7 @@ def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, i
     """
     need = min(LEAST, len(item))
     parts: list[tuple[int, int, int, int, int]] = []
-    for p, q in sorted(hits):
-        if doc[p] != item[q] or any(a <= p <= b and c <= q <= d for a, b, c, d, _ in parts):
-            continue
-        a, c, e1 = _extend(doc, item, p, q, -1)
-        b, d, e2 = _extend(doc, item, p, q, 1)
-        parts.append((a, b, c, d, e1 + e2))
+    near: list[tuple[int, int, int, int, int]] = []  # parts that may hold further hits
     best: tuple[int, int, int] | None = None
 
     def offer(words: int, errors: int, start: int) -> None:
@@ -130,17 +125,33 @@ def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, i
         if words >= need and errors * WORDS_FOR_ERROR <= words and (best is None or words > best[0]):
             best = words, errors, start
 
+    for p, q in sorted(hits):
+        near = [x for x in near if x[1] >= p]
+        if doc[p] != item[q] or any(a <= p and c <= q <= d for a, _, c, d, _ in near):
+            continue
+        a, c, e1 = _extend(doc, item, p, q, -1)
+        b, d, e2 = _extend(doc, item, p, q, 1)
+        offer(d - c + 1, e1 + e2, a)
+        if best and best[0] == len(item) and not best[1]:
+            return best  # the whole item, word by word
+        near.append((a, b, c, d, e1 + e2))
+        parts.append(near[-1])
+    # For each first word of the item the stretches by their last word and errors, the last one in the document.
+    after: dict[int, dict[tuple[int, int], int]] = {}
+    for a, _, c, d, e in parts:
+        ends = after.setdefault(c, {})
+        ends[d, e] = max(a, ends.get((d, e), -1))
     for a, b, c, d, e in parts:
-        offer(d - c + 1, e, a)
-        for a2, _, c2, d2, e2 in parts:  # one interruption
-            if a2 > b and 0 <= c2 - d - 1 <= 1:
-                offer(d2 - c + 1, e + e2 + (c2 - d - 1), a)
+        for lost in (0, 1):  # one interruption, at which a word may be lost
+            for (d2, e2), a2 in after.get(d + 1 + lost, {}).items():
+                if a2 > b:
+                    offer(d2 - c + 1, e + e2 + lost, a)
         if need - 3 <= d - c + 1 < need:
-            short = item[d + 1 : d + 4]
-            if len(short) == 3 and any(list(doc[x : x + 3]) == list(short) for x in range(b + 1, min(b + REACH, len(doc)))):
+            short = list(item[d + 1 : d + 4])
+            if len(short) == 3 and any(list(doc[x : x + 3]) == short for x in range(b + 1, min(b + REACH, len(doc)))):
                 offer(d - c + 4, e, a)
-            short = item[max(0, c - 3) : c]
-            if len(short) == 3 and any(list(doc[x : x + 3]) == list(short) for x in range(max(0, a - REACH), a - 2)):
+            short = list(item[max(0, c - 3) : c])
+            if len(short) == 3 and any(list(doc[x : x + 3]) == short for x in range(max(0, a - REACH), a - 2)):
                 offer(d - c + 4, e, max(0, a - REACH))
     return best
 

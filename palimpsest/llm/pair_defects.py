@@ -150,36 +150,40 @@ def unfinished(text: str) -> bool:
 
 
 def tiles(a: Sequence[str], b: Sequence[str], least: int = TILE) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in a, start in b, length), the longest first, no word used twice."""
+    """Greedy string tiling: (start in a, start in b, length), the longest first, no word used twice.
+
+    Matches are looked for from runs of ``least`` words that both have, and
+    only from where they begin.
+    """
     free_a, free_b = [True] * len(a), [True] * len(b)
     result = []
     while True:
+        where: dict[tuple[str, ...], list[int]] = {}
+        for j in range(len(b) - least + 1):
+            if all(free_b[j : j + least]):
+                where.setdefault(tuple(b[j : j + least]), []).append(j)
         longest, found = least, []
-        before: dict[int, int] = {}
-        where: dict[str, list[int]] = {}
-        for j, w in enumerate(b):
-            if free_b[j]:
-                where.setdefault(w, []).append(j)
-        ends = []
-        for i, w in enumerate(a):
-            row = {}
-            if free_a[i]:
-                for j in where.get(w, ()):
-                    row[j] = before.get(j - 1, 0) + 1
-                    if row[j] >= longest:
-                        if row[j] > longest:
-                            ends = []
-                        longest = row[j]
-                        ends.append((i, j))
-            before = row
-        for i, j in ends:
-            s, t = i - longest + 1, j - longest + 1
-            if all(free_a[s : i + 1]) and all(free_b[t : j + 1]):
-                free_a[s : i + 1] = free_b[t : j + 1] = [False] * longest
-                found.append((s, t, longest))
-        if not found:
+        for i in range(len(a) - least + 1):
+            if not all(free_a[i : i + least]):
+                continue
+            for j in where.get(tuple(a[i : i + least]), ()):
+                if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
+                    continue  # part of a match that began before
+                n = least
+                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                if n > longest:
+                    longest, found = n, []
+                if n == longest:
+                    found.append((i, j))
+        marked = False
+        for i, j in found:
+            if all(free_a[i : i + longest]) and all(free_b[j : j + longest]):
+                free_a[i : i + longest] = free_b[j : j + longest] = [False] * longest
+                result.append((i, j, longest))
+                marked = True
+        if not marked:
             return result
-        result += found
 
 
 def is_copy(answer: Sequence[str], source: Sequence[str], question: Sequence[str]) -> bool:
@@ -189,8 +193,13 @@ def is_copy(answer: Sequence[str], source: Sequence[str], question: Sequence[str
     known = set(source)
     if sum(w in known for w in answer) < COPIED * len(answer):
         return False
-    rest = list(answer)
-    used, covered = 0, 0
+    # Whole copies of the source or the question in a row are taken off at once.
+    start, used = 0, 0
+    for whole in (list(source), list(question)):
+        while whole and list(answer[start : start + len(whole)]) == whole:
+            start += len(whole)
+            used = max(used, len(whole))
+    rest, covered = list(answer[start:]), start
     while len(rest) >= TILE:
         parts = tiles(rest, source)
         got = sum(n for *_, n in parts)
