@@ -109,3 +109,25 @@ def test_trie_automaton():
 
 def test_loose_words():
     assert loose_words("<b>The</b> Ｃａｆé&#39;s ​hand-stitched — “Тор”!") == ["the", "cafes", "handstitched", "top"]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+    return row[-1]
+
+
+def test_trie_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(20)}
+        trie = lookalike.Trie()
+        for w in [*words, *words]:
+            trie.add(w, 1)
+        for _ in range(3):
+            q = "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
+            for budget in (0, 1, 2):
+                assert set(trie.alike(q, float(budget))) == {(float(edits(q, w)), 2, w) for w in words if edits(q, w) <= budget}
