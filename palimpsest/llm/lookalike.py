@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -17,16 +19,36 @@ from palimpsest.llm.fold import alike, table_form
 SPACES = r"[\s\p{Z}]+"
 #: Characters of distinct words in a shard.
 SHARD = 2_000_000
+#: ASCII words with a more frequent spelling in other letters that all tasks get; more are joined by a shuffle.
+FEW_WORDS = 100_000
 _SPLIT = re.compile("([ \\t\\n\\x0b\\f\\r\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+)")  # as SPACES
 
 
 class Leaf:
-    """A word with its count; its characters from ``at`` on have no nodes of their own."""
+    """A word with its count and path; the path's characters from ``at`` on have no nodes of their own."""
 
-    __slots__ = ("at", "count", "word")
+    __slots__ = ("at", "path", "words")
 
-    def __init__(self, word: str, count: int, at: int) -> None:
-        self.word, self.count, self.at = word, count, at
+    def __init__(self, path: str, at: int) -> None:
+        self.path, self.at = path, at
+        self.words: dict[str, int] = {}
+
+
+@lru_cache(maxsize=65_536)
+def _form(c: str) -> str:
+    return table_form(alike(c)) if c else ""
+
+
+def _path(word: str) -> str:
+    """The characters by which a word stands in the trie: its own, composed, so that its form can be read off one by one.
+
+    A word whose form can't be, as marks change places or compose over an
+    ignorable, stands there by its form.
+    """
+    if word.isascii():
+        return word
+    path, form = unicodedata.normalize("NFC", word), table_form(word)
+    return path if "".join(map(_form, path)) == form else form
 
 
 class Trie:
@@ -36,26 +58,28 @@ class Trie:
         self.root: dict = {}
 
     def add(self, word: str, count: int) -> None:
+        leaf = self._leaf(_path(word))
+        leaf.words[word] = leaf.words.get(word, 0) + count
+
+    def _leaf(self, path: str) -> Leaf:
         node = self.root
-        for i, c in enumerate(word):
+        for i, c in enumerate(path):
             child = node.get(c)
             if child is None:
-                node[c] = Leaf(word, count, i + 1)
-                return
+                node[c] = child = Leaf(path, i + 1)
+                return child
             if isinstance(child, Leaf):
-                if child.word == word:
-                    child.count += count
-                    return
+                if child.path == path:
+                    return child
                 inner: dict = {}
-                rest = child.word[i + 1 : i + 2]
+                rest = child.path[i + 1 : i + 2]
                 child.at = i + 2 if rest else i + 1
                 inner[rest] = child
                 node[c] = child = inner
             node = child
-        if "" in node:
-            node[""].count += count
-        else:
-            node[""] = Leaf(word, count, len(word))
+        if "" not in node:
+            node[""] = Leaf(path, len(path))
+        return node[""]
 
     def alike(self, word: str, budget: float = 0.0, cost: float = 1.0) -> list[tuple[float, int, str]]:
         """(cost, count, spelling) of the words that a weighted edit automaton accepts.
@@ -72,15 +96,16 @@ class Trie:
         best: dict[tuple[int, int, str], float] = {}
 
         def accept(leaf: Leaf, spent: float) -> None:
-            if leaf.word not in found or spent < found[leaf.word][0]:
-                found[leaf.word] = (spent, leaf.count)
+            for w, n in leaf.words.items():
+                if w not in found or spent < found[w][0]:
+                    found[w] = (spent, n)
 
         # A state: trie node, place in the target, characters of a composed form still to come, cost.
         states: list[tuple[dict | Leaf, int, str, float]] = [(self.root, 0, "", 0.0)]
         while states:
             node, at, owed, spent = states.pop()
             if isinstance(node, Leaf):
-                rest = owed + table_form(node.word[node.at :])
+                rest = owed + "".join(map(_form, node.path[node.at :]))
                 edits = _edits(target[at:], rest, int((budget - spent) / cost + 1e-9))
                 if spent + edits * cost <= budget:
                     accept(node, spent + edits * cost)
@@ -102,7 +127,7 @@ class Trie:
             if at < len(target) and spent + cost <= budget:
                 states.append((node, at + 1, "", spent + cost))
             for c, child in node.items():
-                form = table_form(alike(c)) if c else ""
+                form = _form(c)
                 if c and (spent + cost <= budget or target.startswith(form, at)):
                     states.append((child, at, form, spent))
         return sorted((c, n, w) for w, (c, n) in found.items())
@@ -136,17 +161,19 @@ def _forms(words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spell(shard: pd.DataFrame) -> pd.DataFrame:
-    """The canonical spelling of each unusual word of a shard."""
+    """The canonical spelling of each word of a shard that isn't in it."""
     trie = Trie()
-    for word, n in zip(shard["word"], shard["n"], strict=True):
-        if table_form(word) == word:  # spelled in ordinary characters throughout
+    for word, n, form in zip(shard["word"], shard["n"], shard["form"], strict=True):
+        if form:  # a word of ignorables alone looks like no word
             trie.add(word, int(n))
     out = []
-    for word in shard.loc[~shard["word"].map(str.isascii), "word"]:
-        hits = [(-n, w) for cost, n, w in trie.alike(word) if cost == 0]
-        spelling = min(hits)[1] if hits else table_form(word)
-        if spelling != word:
-            out.append((word, spelling))
+    canonical: dict[str, str] = {}  # by form, on which alone the walk depends
+    for word, form in zip(shard["word"], shard["form"], strict=True):
+        if form not in canonical:
+            hits = [(-n, w) for cost, n, w in trie.alike(form) if cost == 0]
+            canonical[form] = min(hits)[1] if hits else form
+        if canonical[form] != word:
+            out.append((word, canonical[form]))
     return pd.DataFrame(out, columns=["word", "spelling"])
 
 
@@ -155,11 +182,12 @@ def spellings(documents: DataFrame, text: str) -> DataFrame:
 
     The vocabulary is the words of all texts with their counts. Words that look
     alike have the same table form; by it they are shared out over shards, in
-    each of which a trie of the words in ordinary characters is walked by each
-    unusual word. The most frequent spelling found (the first by code points of
-    equals) is canonical; a word that the vocabulary doesn't have is normalized
-    by table. A shard is a bounded number of distinct words, however often they
-    occur and however many documents there are.
+    each of which a trie of all their spellings is walked by each form. The most
+    frequent spelling found (the first by code points of equals) is canonical,
+    in whatever script it is; one without an unusual character may have to give
+    way to it too. Words of ignorables alone are dropped by table. A shard is a
+    bounded number of distinct words, however often they occur and however many
+    documents there are.
     """
     words = documents.where(F.col(text).isNotNull()).select(F.explode(F.split(text, SPACES)).alias("word"))
     counted = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
@@ -181,15 +209,28 @@ def canonical_texts(documents: DataFrame, key: str = "doc_id", text: str = "text
     Full-width and half-width forms, ligatures, no-break and other spaces,
     ignorable characters, composed and decomposed accents and look-alike
     letters make no difference; case, accents, line breaks and every other
-    visible difference stay. ASCII texts are their own form, so only the others
-    are taken apart. Null has the form null; empty is empty.
+    visible difference stay. ASCII texts are their own form, unless a word of
+    theirs is more often spelled in other letters. Null has the form null; empty
+    is empty.
     """
-    ascii_ = documents.where(~has_unusual(F.col(text)) | F.col(text).isNull()).select(key, text, F.col(text).alias("form"))
+    ascii_ = documents.where(~has_unusual(F.col(text)) | F.col(text).isNull()).select(key, text)
     other = documents.where(has_unusual(F.col(text))).select(key, text)
-    changed = spellings(documents, text)
-    uses = other.select(key, F.explode(F.array_distinct(F.split(text, SPACES))).alias("word")).where(has_unusual(F.col("word")))
-    # One map for each document: at most as many entries as it has distinct words.
-    own = uses.join(changed, "word").groupBy(key).agg(F.collect_list(F.struct("word", "spelling")).alias("own"))
+    changed = cut(spellings(documents, text))
+    # ASCII words that give way to another spelling: few as a rule, and then every task gets them.
+    plain = changed.where(~has_unusual(F.col("word")))
+    giving_way = plain.count()
+    if giving_way <= FEW_WORDS:
+        plain = F.broadcast(plain)
+
+    def owned(uses: DataFrame) -> DataFrame:
+        # One map for each document: at most as many entries as it has distinct words.
+        return uses.groupBy(key).agg(F.collect_set(F.struct("word", "spelling")).alias("own"))
+
+    uses = other.select(key, F.explode(F.array_distinct(F.split(text, SPACES))).alias("word"))
+    mixed = uses.where(has_unusual(F.col("word"))).join(changed, "word")
+    if giving_way:
+        mixed = mixed.unionByName(uses.where(~has_unusual(F.col("word"))).join(plain, "word"))
+    own = owned(mixed)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,8 +242,14 @@ def canonical_texts(documents: DataFrame, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(key), b.column(text), pa.array(forms, pa.string())], names=[key, text, "form"])
 
     kind = documents.schema[key].dataType.simpleString()
-    done = spread(other.join(own, key, "left"), always=True).mapInArrow(rewrite, f"{key} {kind}, {text} string, form string")
-    return ascii_.unionByName(done)
+    schema = f"{key} {kind}, {text} string, form string"
+    done = spread(other.join(own, key, "left"), always=True).mapInArrow(rewrite, schema)
+    if not giving_way:
+        return ascii_.withColumn("form", F.col(text)).unionByName(done)
+    used = owned(ascii_.select(key, F.explode(F.split(text, SPACES)).alias("word")).join(plain, "word"))
+    with_own = ascii_.join(used, key, "left")
+    kept = with_own.where("own IS NULL").select(key, text, F.col(text).alias("form"))
+    return kept.unionByName(with_own.where("own IS NOT NULL").mapInArrow(rewrite, schema)).unionByName(done)
 
 
 def alike_pairs(forms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

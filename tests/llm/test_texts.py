@@ -98,6 +98,16 @@ def test_alike_pairs(spark):
     assert lookalike.alike_pairs(lookalike.canonical_texts(docs.limit(0))).count() == 0
 
 
+def test_the_most_frequent_spelling_is_canonical(spark):
+    moscow, mixed = "Москва", table_form("Москва")
+    texts = [f"{moscow} {moscow}", moscow, mixed, "cop coffee", "сор сор", "сор of­fice", "office office", "c \u200b d", "c  d", "cafe\u0301 cafe\u0301", "café", "\u200b"]
+    assert mixed != moscow and table_form("сор") == "cop"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forms = {r["doc_id"]: r["form"] for r in lookalike.canonical_texts(docs).collect()}
+    want = [f"{moscow} {moscow}", moscow, moscow, "сор coffee", "сор сор", "сор office", "office office", "c  d", "c  d", "cafe\u0301 cafe\u0301", "cafe\u0301", ""]
+    assert [forms[i] for i in range(len(texts))] == want
+
+
 def test_trie_automaton():
     trie = lookalike.Trie()
     for w, n in (("office", 5), ("café", 2), ("coffee", 1)):
