@@ -76,6 +76,11 @@ def edits_for(n: int) -> int:
     return max(1, min(WORD_EDITS, int(EDITED_SHARE * n)))
 
 
+def changes_for(n: int) -> int:
+    """Changed words that the verification may accept in a question of n words: as a misspelled one counts half, twice the edits."""
+    return 2 * edits_for(n)
+
+
 def segments(words: Sequence[str], k: int) -> list[tuple[int, list[str]]]:
     """(start, words) of the k + 1 segments, of nearly equal length, the shorter ones first."""
     n = len(words)
@@ -88,15 +93,18 @@ def segments(words: Sequence[str], k: int) -> list[tuple[int, list[str]]]:
     return result
 
 
-def places(n: int, m: int, k: int, s: int, start: int, size: int) -> range:
+def places(n: int, m: int, k: int, s: int, start: int, size: int, lone: int | None = None) -> range:
     """Where segment s of a string of n words may stand in one of m words within k edits.
 
     Left of a matching segment at most s edits can be, right of it at most
-    k - s; this is the multi-match-aware choice of positions.
+    k - s; this is the multi-match-aware choice of positions. Where only
+    ``lone`` of the edits can be insertions and deletions, those on both sides
+    together are no more.
     """
     d = m - n
-    low = max(0, start - s, start + d - (k - s))
-    high = min(m - size, start + s, start + d + (k - s))
+    spare = k if lone is None else (lone - abs(d)) // 2
+    low = max(0, start - s, start + d - (k - s), start + min(0, d) - spare)
+    high = min(m - size, start + s, start + d + (k - s), start + max(0, d) + spare)
     return range(low, high + 1)
 
 
@@ -214,8 +222,7 @@ def _eval_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         out = []
         for key, block, question in zip(*[b.column(c).to_pylist() for c in ("key", "block", "question")], strict=True):
             words = question.split(" ")
-            k = edits_for(len(words))
-            for s, (_, part) in enumerate(segments(words, k)):
+            for s, (_, part) in enumerate(segments(words, changes_for(len(words)))):
                 out.append((key, f"{block}|{len(words)}|{s}|{' '.join(part)}"))
         yield _keys(out)
 
@@ -227,11 +234,11 @@ def _train_substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             words = question.split(" ")
             m = len(words)
             for n in lengths:
-                k = edits_for(n)
+                k, changes = edits_for(n), changes_for(n)
                 if abs(m - n) > k:
                     continue
-                for s, (start, part) in enumerate(segments([""] * n, k)):
-                    for p in places(n, m, k, s, start, len(part)):
+                for s, (start, part) in enumerate(segments([""] * n, changes)):
+                    for p in places(n, m, changes, s, start, len(part), k):
                         out.append((key, f"{block}|{n}|{s}|{' '.join(words[p : p + len(part)])}"))
         yield _keys(list(set(out)))
 
@@ -253,15 +260,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rare_words(words: Sequence[str], k: int, counts: dict[str, int]) -> list[str]:
     """The k + 1 rarest words of a question, repetitions numbered.
 
-    Two questions within k edits share all but k of the longer one's words, so
+    Two questions within k changed words share all but k of the longer one's, so
     they share one of these. Words that aren't counted are rarer than all others.
+    Questions of one or two words may share none; the empty word joins them.
     """
     seen: dict[str, int] = {}
     numbered = []
     for w in words:
         seen[w] = seen.get(w, 0) + 1
         numbered.append((counts.get(w, 0), f"{w}#{seen[w]}"))
-    return [w for _, w in sorted(numbered)[: k + 1]]
+    return [w for _, w in sorted(numbered)[: k + 1]] + [""] * (len(words) <= 2)
 
 
 def _candidates(left: DataFrame, right: DataFrame, texts: DataFrame, hot_pairs: int) -> DataFrame:
@@ -269,7 +277,7 @@ def _candidates(left: DataFrame, right: DataFrame, texts: DataFrame, hot_pairs:
 
     A segment that very many texts have on both sides, as questions of one form
     about one block do, would give all pairs of a group. Such segments are joined
-    by the segment and one of the k + 1 rarest words, which loses no pair.
+    by the segment and one of the 2k + 1 rarest words, which loses no pair.
     """
     counts = left.groupBy("h").agg(F.count("*").alias("nl")).join(right.groupBy("h").agg(F.count("*").alias("nr")), "h")
     hot = cut(counts.where(F.col("nl") * F.col("nr") > hot_pairs).select("h"))
@@ -282,7 +290,7 @@ def _candidates(left: DataFrame, right: DataFrame, texts: DataFrame, hot_pairs:
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # k is that of the longest partner possible, so that both sides take enough words.
-            found = [rare_words(q.split(" "), WORD_EDITS, frequent) for q in b.column("question").to_pylist()]
+            found = [rare_words(q.split(" "), 2 * WORD_EDITS, frequent) for q in b.column("question").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("train"), b.column("key"), pa.array(found, pa.list_(pa.string()))], names=["train", "key", "rare"])
 
     marked = texts.select("train", "key", "question").mapInArrow(rare, "train boolean, key string, rare array<string>")
@@ -303,8 +311,9 @@ def overlaps(records: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     are the same answer.
 
     Edit-distance segment join over words: each distinct question of an
-    evaluation split is cut into k + 1 segments, of which at least one stands
-    unchanged in a question within k edits; the train questions' substrings at
+    evaluation split is cut into 2k + 1 segments, of which at least one stands
+    unchanged in a question within cost k, as a misspelled word costs half and so
+    at most 2k words are changed; the train questions' substrings at
     the positions possible are joined with them, in the same block. Candidates
     are verified by banded dynamic programming. Equal records are joined once,
     as one text, and expanded at the end; train texts of blocks that no

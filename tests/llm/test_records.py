@@ -77,6 +77,34 @@ def word_distance(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("hot_pairs", [split_overlap.HOT_PAIRS, 0])
+def test_misspelled_words_lose_no_pair(spark, hot_pairs):
+    """Questions with more than k changed words whose cost is within k, as misspelled ones count half."""
+    long = "alpha bravo charlie delta echoes foxtrot golfing hotel indigo juliett kilogram limas"
+    cases = [
+        (long, "alpha XX charlie YY echoes ZZ golfing hottel indigo juliett kilogramm limas"),
+        (long, "XX bravo YY delta foxtrot ZZ golfing hotel indigoo juliett kilogram limmas"),
+        ("lantern market ferry chapel", "lanttern market ferry chappel"),
+        ("lantern market", "lanttern markket"),
+        ("one two three four five " + long, "vv ww xx yy zz " + long.replace("hotel", "hottel").replace("limas", "limmas")),
+        (long, long.replace("a", "aa").replace("o", "oo")),
+    ]
+    rng = random.Random(5)
+    words = long.split()
+    for _ in range(150):
+        a = rng.sample(words, rng.randint(1, 12))
+        b = [w + w[-1] if (x := rng.random()) < 0.4 else "zz" if x < 0.55 else w for w in a if rng.random() > 0.08]
+        cases.append((" ".join(a), " ".join(b) or "zz"))
+    rows = [record(2 * i + side, ("train", "eval_seen")[side], "Kela Bo", [f"20{i:03}_E1"], q, "It was Joris.") for i, c in enumerate(cases) for side, q in enumerate(c)]
+    want = set()
+    for i, (a, b) in enumerate(cases):
+        x, y = split_overlap.bare_words(b), split_overlap.bare_words(a)
+        if split_overlap.question_edits(x, y, split_overlap.edits_for(len(x))) <= split_overlap.edits_for(len(x)):
+            want.add((2 * i, 2 * i + 1))
+    assert {(0, 1), (4, 5), (6, 7), (8, 9)} <= want and len(want) > 40
+    assert {tuple(r) for r in split_overlap.overlaps(spark.createDataFrame(rows, RECORD), hot_pairs=hot_pairs).collect()} == want
+
+
 def test_segments_miss_nothing():
     rng = random.Random(2)
     for _ in range(3_000):
