@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -17,8 +18,8 @@ from palimpsest.llm.fold import loose_words
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 #: Consecutive words of an item that make a leak; a shorter item must stand there whole.
 LEAST = 12
-#: A leak has at most one altered, dropped or inserted word in so many words of the item.
-WORDS_FOR_ERROR = 7
+#: A leak has at most one altered, dropped or inserted word in so many words of the item; two in any LEAST words.
+WORDS_FOR_ERROR, ERRORS = 7, 2
 #: Words of the document within which a piece too short for a seed is looked for beyond an interruption.
 REACH = 60
 #: Characters of test items that make one index, which all tasks get; more are taken in several rounds.
@@ -86,9 +87,14 @@ class Index:
                     yield int(at[k]), int(self.item_of[x]), int(self.place[x])
 
 
-def _extend(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """Go from an agreeing pair of words as far as single edits lead; (i, j, edits)."""
+#: Words that agree one by one: first in the document, first and last in the item, words edited before them.
+Run = tuple[int, int, int, int]
+
+
+def _extend(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int) -> list[tuple[int, int, int, int, int]]:
+    """Go from an agreeing pair of words as far as single edits lead; (i, j, i, j, edits before) of the runs that agree, first and last pair."""
     n, m, errors = len(doc), len(item), 0
+    first, runs = (i, j), []
     while True:
         a, b = i + step, j + step
         if 0 <= a < n and 0 <= b < m and doc[a] == item[b]:
@@ -102,10 +108,52 @@ def _extend(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int)
                 continue
             ex, ey = x + (need - 1) * step, y + (need - 1) * step
             if 0 <= x < n and 0 <= y < m and 0 <= ex < n and 0 <= ey < m and all(doc[x + k * step] == item[y + k * step] for k in range(need)):
-                i, j, errors = x, y, errors + max(da, db)
+                runs.append((*first, i, j, errors))
+                i, j, errors = x, y, max(da, db)
+                first = x, y
                 break
         else:
-            return i, j, errors
+            return [*runs, (*first, i, j, errors)]
+
+
+def _chain(doc: Sequence[int], item: Sequence[int], p: int, q: int) -> list[Run]:
+    """The runs of the stretch around an agreeing pair of words, in their order."""
+    back, on = _extend(doc, item, p, q, -1), _extend(doc, item, p, q, 1)
+    # Backwards the edits stand behind the run that comes after them.
+    runs = [(x[2], x[3], x[1], y[4]) for x, y in zip(back[:0:-1], [(0,) * 5, *back[:0:-1]], strict=False)]
+    middle = (back[0][2], back[0][3], on[0][3], back[1][4] if len(back) > 1 else 0)
+    return [*runs, middle, *((x[0], x[1], x[3], x[4]) for x in on[1:])]
+
+
+def _window(runs: Sequence[Run], need: int) -> tuple[int, int, int] | None:
+    """(words, errors, start) of the longest sequence of runs with few enough errors for its words.
+
+    At most one error in WORDS_FOR_ERROR words or, from LEAST words on, at most ERRORS.
+    """
+    best: tuple[int, int, int] | None = None
+    spent = 0  # errors up to the run
+    before: list[int] = []
+    low: list[tuple[int, int]] = []  # falling minima of first word less what the errors up to there take, negated, with their runs
+    near = 0
+    for t, (_, c, d, e) in enumerate(runs):
+        spent += e
+        before.append(spent)
+        value = WORDS_FOR_ERROR * spent - c
+        if not low or value > low[-1][0]:
+            low.append((value, t))
+        starts = []
+        k = bisect_left(low, (WORDS_FOR_ERROR * spent - d - 1, -1))
+        if k < len(low):
+            starts.append(low[k][1])
+        while spent - before[near] > ERRORS:
+            near += 1
+        if d - runs[near][1] + 1 >= LEAST:
+            starts.append(near)
+        for s in starts:
+            words = d - runs[s][1] + 1
+            if words >= need and (best is None or words > best[0]):
+                best = words, spent - before[s], runs[s][0]
+    return best
 
 
 def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, int]]) -> tuple[int, int, int] | None:
@@ -117,25 +165,27 @@ def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, i
     """
     need = min(LEAST, len(item))
     parts: list[tuple[int, int, int, int, int]] = []
-    near: list[tuple[int, int, int, int, int]] = []  # parts that may hold further hits
+    near: list[tuple[int, int, int, int, set[int]]] = []  # parts that may hold further hits; of one without a leak only those on its runs
     best: tuple[int, int, int] | None = None
 
     def offer(words: int, errors: int, start: int) -> None:
         nonlocal best
-        if words >= need and errors * WORDS_FOR_ERROR <= words and (best is None or words > best[0]):
+        if words >= need and (errors * WORDS_FOR_ERROR <= words or words >= LEAST and errors <= ERRORS) and (best is None or words > best[0]):
             best = words, errors, start
 
     for p, q in sorted(hits):
         near = [x for x in near if x[1] >= p]
-        if doc[p] != item[q] or any(a <= p and c <= q <= d for a, _, c, d, _ in near):
+        if doc[p] != item[q] or any(a <= p and c <= q <= d and (not lines or q - p in lines) for a, _, c, d, lines in near):
             continue
-        a, c, e1 = _extend(doc, item, p, q, -1)
-        b, d, e2 = _extend(doc, item, p, q, 1)
-        offer(d - c + 1, e1 + e2, a)
+        runs = _chain(doc, item, p, q)
+        a, c, d = runs[0][0], runs[0][1], runs[-1][2]
+        b = runs[-1][0] + d - runs[-1][1]
+        if window := _window(runs, need):
+            offer(*window)
         if best and best[0] == len(item) and not best[1]:
             return best  # the whole item, word by word
-        near.append((a, b, c, d, e1 + e2))
-        parts.append(near[-1])
+        near.append((a, b, c, d, set() if window else {x[1] - x[0] for x in runs}))
+        parts.append((a, b, c, d, sum(x[3] for x in runs[1:])))
     # For each first word of the item the stretches by their last word and errors, the last one in the document.
     after: dict[int, dict[tuple[int, int], int]] = {}
     for a, _, c, d, e in parts:
@@ -179,7 +229,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, index_chars: int = INDEX_
 
     documents: (doc_id, text); items: (item_id, text). A leak is an item's text
     without its shared instruction, whole or at least LEAST consecutive words of
-    it, with at most one wrong word in WORDS_FOR_ERROR and one interruption.
+    it, with at most one wrong word in WORDS_FOR_ERROR, or two in LEAST words, and
+    one interruption; any part of a longer, worse stretch counts.
     ``words`` are the item's words covered, ``at`` the document's word where
     they begin. Null and empty texts leak nothing; repeated documents each count.
 

@@ -50,6 +50,38 @@ def test_an_edit_next_to_an_items_end(spark):
     assert {(r["doc_id"], r["words"], r["errors"]) for r in found.collect()} == {(1, 12, 1), (2, 12, 1)}
 
 
+def test_a_part_of_a_stretch_with_many_edits(spark):
+    """Twelve words in a row count whatever edits stand behind them, and two single edits in twelve words."""
+    words = [f"w{i}" for i in range(24)]
+    worse = words[:12] + [x for i in range(12, 24, 3) for x in (f"x{i}", *words[i + 1 : i + 3])]
+    two = [w if i not in (4, 8) else "zz" for i, w in enumerate(words[:12])]
+    three = [w if i not in (3, 6, 9) else "zz" for i, w in enumerate(words[:12])]
+    docs = {1: worse, 2: worse[::-1], 3: words[:11] + worse[12:], 4: two, 5: three, 6: words[:5] + worse[12:]}
+    frame = spark.createDataFrame([(i, FILL + " ".join(d) + " " + FILL) for i, d in docs.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[::-1])), (3, " ".join(words[:12]))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["words"], r["errors"]) for r in leakage.find_leaks(frame, items).collect()}
+    assert found[1, 1][0] >= 12 and found[2, 2][0] >= 12
+    assert found[1, 3] == (12, 0) and found[4, 1] == found[4, 3] == (12, 2)
+    assert not any(d in (5, 6) for d, _ in found)
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(2_000):
+        runs, i, j = [], 3, rng.randint(0, 4)
+        for _ in range(rng.randint(1, 9)):
+            e, n = rng.randint(1, 2), rng.randint(1, 12)
+            runs.append((i, j, j + n - 1, e))
+            i, j = i + n + e, j + n + e
+        need, want = rng.choice([5, 12]), 0
+        for s in range(len(runs)):
+            for t in range(s, len(runs)):
+                n, e = runs[t][2] - runs[s][1] + 1, sum(x[3] for x in runs[s + 1 : t + 1])
+                if n >= need and (7 * e <= n or (n >= 12 and e <= 2)):
+                    want = max(want, n)
+        assert (leakage._window(runs, need) or (0,))[0] == want
+
+
 def test_repeated_items_keep_their_first_sentence(spark):
     items = spark.createDataFrame([(1, "One two three. Four."), (2, "One two three. Four."), (3, "Head shared here. A."), (4, "Head shared here! B.")], "item_id long, text string")
     assert {r["item_id"]: r["text"] for r in leakage.without_instructions(items).collect()} == {1: "One two three. Four.", 2: "One two three. Four.", 3: "A.", 4: "B."}
