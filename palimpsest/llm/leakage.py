@@ -20,8 +20,6 @@ MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4),
 LEAST = 12
 #: A leak has at most one altered, dropped or inserted word in so many words of the item; two in any LEAST words.
 WORDS_FOR_ERROR, ERRORS = 7, 2
-#: Words of the document within which a piece too short for a seed is looked for beyond an interruption.
-REACH = 60
 #: Characters of test items that make one index, which all tasks get; more are taken in several rounds.
 INDEX_CHARS = 20_000_000
 
@@ -156,6 +154,51 @@ def _window(runs: Sequence[Run], need: int) -> tuple[int, int, int] | None:
     return best
 
 
+def _joined(runs: list[Run], runs2: list[Run]) -> Iterator[list[Run]]:
+    """Two stretches with the interruption between them as one; where both have a word of the item, either one's is left out."""
+    d, c2 = runs[-1][2], runs2[0][1]
+    if c2 > d:
+        yield [*runs, (*runs2[0][:3], c2 - d - 1), *runs2[1:]]
+        return
+    # The second begins where the first ends, at its next run if it has an edit there.
+    rest = [x for x in runs2 if x[2] > d]
+    if rest:
+        i, c, e, _ = rest[0]
+        cut_off = max(0, d + 1 - c)
+        yield [*runs, (i + cut_off, c + cut_off, e, max(0, c - d - 1)), *rest[1:]]
+    head = [x for x in runs if x[1] < c2]
+    i, c, e, lost = head[-1]
+    e = min(e, c2 - 1)
+    yield [*head[:-1], (i, c, e, lost), (*runs2[0][:3], c2 - 1 - e), *runs2[1:]]
+
+
+def _find(doc: Sequence[int], words: Sequence[int], low: int, high: int) -> int:
+    """Where words stand in the document from ``low`` on and before ``high``, -1 if nowhere."""
+    words, n = list(words), len(words)
+    try:
+        while True:
+            x = doc.index(words[0], low, max(low, high - n + 1))
+            if list(doc[x : x + n]) == words:
+                return x
+            low = x + 1
+    except ValueError:
+        return -1
+
+
+def _with_end(doc: Sequence[int], item: Sequence[int], runs: list[Run], b: int, short: int) -> list[Run]:
+    """A stretch with the item's next words, too few for a seed, that stand beyond an interruption."""
+    d = runs[-1][2]
+    at = _find(doc, item[d + 1 : d + 1 + short], b + 1, len(doc)) if d + short < len(item) else -1
+    return [*runs, (at, d + 1, d + short, 0)] if at >= 0 else runs
+
+
+def _with_start(doc: Sequence[int], item: Sequence[int], runs: list[Run], a: int, short: int) -> list[Run]:
+    """The same for the item's words before the stretch."""
+    c = runs[0][1]
+    at = _find(doc, item[c - short : c], 0, a) if c >= short else -1
+    return [(at, c - short, c - 1, 0), (*runs[0][:3], 0), *runs[1:]] if at >= 0 else runs
+
+
 def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, int]]) -> tuple[int, int, int] | None:
     """(words, errors, start in the document) of the item's longest leak, if it has one.
 
@@ -164,14 +207,14 @@ def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, i
     that follow one another in the item count as one with an interruption.
     """
     need = min(LEAST, len(item))
-    parts: list[tuple[int, int, int, int, int]] = []
+    parts: list[tuple[int, int, list[Run]]] = []
     near: list[tuple[int, int, int, int, set[int]]] = []  # parts that may hold further hits; of one without a leak only those on its runs
     best: tuple[int, int, int] | None = None
 
-    def offer(words: int, errors: int, start: int) -> None:
+    def offer(window: tuple[int, int, int] | None) -> None:
         nonlocal best
-        if words >= need and (errors * WORDS_FOR_ERROR <= words or words >= LEAST and errors <= ERRORS) and (best is None or words > best[0]):
-            best = words, errors, start
+        if window and (best is None or window[0] > best[0]):
+            best = window
 
     for p, q in sorted(hits):
         near = [x for x in near if x[1] >= p]
@@ -180,29 +223,34 @@ def overlap(doc: Sequence[int], item: Sequence[int], hits: Sequence[tuple[int, i
         runs = _chain(doc, item, p, q)
         a, c, d = runs[0][0], runs[0][1], runs[-1][2]
         b = runs[-1][0] + d - runs[-1][1]
-        if window := _window(runs, need):
-            offer(*window)
+        offer(window := _window(runs, need))
         if best and best[0] == len(item) and not best[1]:
             return best  # the whole item, word by word
         near.append((a, b, c, d, set() if window else {x[1] - x[0] for x in runs}))
-        parts.append((a, b, c, d, sum(x[3] for x in runs[1:])))
-    # For each first word of the item the stretches by their last word and errors, the last one in the document.
-    after: dict[int, dict[tuple[int, int], int]] = {}
-    for a, _, c, d, e in parts:
-        ends = after.setdefault(c, {})
-        ends[d, e] = max(a, ends.get((d, e), -1))
-    for a, b, c, d, e in parts:
-        for lost in (0, 1):  # one interruption, at which a word may be lost
-            for (d2, e2), a2 in after.get(d + 1 + lost, {}).items():
-                if a2 > b:
-                    offer(d2 - c + 1, e + e2 + lost, a)
-        if need - 3 <= d - c + 1 < need:
-            short = list(item[d + 1 : d + 4])
-            if len(short) == 3 and any(list(doc[x : x + 3]) == short for x in range(b + 1, min(b + REACH, len(doc)))):
-                offer(d - c + 4, e, a)
-            short = list(item[max(0, c - 3) : c])
-            if len(short) == 3 and any(list(doc[x : x + 3]) == short for x in range(max(0, a - REACH), a - 2)):
-                offer(d - c + 4, e, max(0, a - REACH))
+        parts.append((a, b, runs))
+    # Each stretch once by its place in the item and its edits: the first in the document and the last, as one must end before the other begins.
+    firsts: dict[tuple, tuple[int, list[Run]]] = {}
+    lasts: dict[tuple, tuple[int, list[Run]]] = {}
+    for a, b, runs in parts:
+        shape = tuple(x[1:] for x in runs)
+        firsts[shape] = min(firsts.get(shape, (b, runs)), (b, runs))
+        lasts[shape] = max(lasts.get(shape, (a, runs)), (a, runs))
+    after: dict[int, list[tuple[int, list[Run]]]] = defaultdict(list)
+    for a, runs in lasts.values():
+        after[runs[0][1]].append((a, runs))
+    for b, runs in firsts.values():
+        c, d = runs[0][1], runs[-1][2]
+        for c2 in range(c + 1, d + 3):  # one interruption, at which a word may be lost, or the item's next words be taken for it
+            for a2, runs2 in after.get(c2, ()):
+                if a2 > b and runs2[-1][2] > max(d, c + (best[0] if best else need) - 2):
+                    for joined in _joined(runs, runs2):
+                        offer(_window(joined, need))
+    if best is None:
+        for shape, (b, runs) in firsts.items():
+            a, runs2 = lasts[shape]
+            for short in range(max(1, need - (runs[-1][2] - runs[0][1] + 1)), 4):
+                offer(_window(_with_end(doc, item, runs, b, short), need))
+                offer(_window(_with_start(doc, item, runs2, a, short), need))
     return best
 
 

@@ -65,6 +65,21 @@ def test_a_part_of_a_stretch_with_many_edits(spark):
     assert not any(d in (5, 6) for d, _ in found)
 
 
+def test_one_interruption_wherever_it_falls(spark):
+    """Twelve words in two pieces of any lengths, the inserted text long or beginning with the item's next words."""
+    words = [f"w{i}" for i in range(12)]
+    remark = "user: nobody else was there then "
+    docs = {}
+    for n in range(1, 12):
+        for name, between in (("short", remark), ("long", remark * 20), ("next", f"{words[n]} {remark}"), ("last", f"{remark} {words[n - 1]}"), ("two", " ".join(words[n : n + 2]) + " " + remark)):
+            docs[n, name] = " ".join(words[:n]) + " " + between + " " + " ".join(words[n:])
+    gone = {"first": " ".join(words[:11]), "swapped": " ".join(words[6:]) + " " + remark + " ".join(words[:6]), "twice": " ".join([*words[:4], remark, *words[4:8], remark, *words[8:]])}
+    keys = [*docs, *gone]
+    frame = spark.createDataFrame([(i, FILL + (docs | gone)[k] + " " + FILL) for i, k in enumerate(keys)], "doc_id long, text string")
+    found = {keys[r["doc_id"]] for r in leakage.find_leaks(frame, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert found == set(docs)
+
+
 def test_windows_against_brute_force():
     rng = random.Random(8)
     for _ in range(2_000):
