@@ -19,6 +19,8 @@ COPIED, COPIED_FROM = 0.85, 0.8
 TILE = 3
 #: Function words that an answer's language needs, and by how many they must exceed those of the question's language.
 WORDS_OF_LANGUAGE, AHEAD = 2, 2
+#: Words of an answer so short that one function word is enough, if none is of the question's language.
+SHORT_ANSWER = 6
 
 # What stands for nothing.
 STAND_INS = set(
@@ -27,19 +29,26 @@ STAND_INS = set(
 )
 # Words of each language that seldom occur in the others.
 LANGUAGE_WORDS = {
-    "en": "the of and was were is are it that which who whose with for from had has have been because this they she he his her their there at by what when where why how did does not into after before about took in no only as to so an then both",
-    "de": "der die das und ist war waren nicht ein eine einen einem einer mit von zu zum zur auf für hat hatte haben weil dass den dem des im wo wer wie warum wann nach bei auch erst noch niemand wollte sehr es sich wurde als aus um kein keine keinen viele tage welche wird",
-    "fr": "le les des du et est était étaient une dans pour avec qui que qu où quand pourquoi comment au aux sur pas ne ce cette ces il elle ils elles son sa ses leur parce après avant chez été toujours personne combien jours très déjà travaillait vieille la de un en",
-    "es": "el los las y fue era eran una para con que por qué dónde cuándo cómo del al no su sus lo porque después antes había hasta días cuántos muy nadie nada esta este en la de un dejó compró también",
-    "it": "il lo gli che di della del nella nel per con non è era una uno perché dopo prima anche sono stato dove quando come molto più giorni nessuno questo questa",
-    "pt": "o os as que não uma um para com por do da dos das no na em foi era porque depois antes também muito mais dias ninguém onde quando como este esta",
-    "nl": "de het een en van is was waren niet met voor op aan dat die deze omdat naar bij ook nog wel geen zijn werd heeft had dagen niemand waar wanneer hoe",
-    "pl": "to i w na nie jest był była było się że do z po przez bo nikt miał tam stało czyli dla przed jak kiedy gdzie który która bardzo tego jej jego dniach tygodni",
-    "sv": "och att det som en ett är var inte med för på av till från den har hade efter innan också mycket ingen dagar när där varför hur",
-    "tr": "bir ve bu için ile değil çok ne neden nasıl nerede sonra önce gün kimse vardı olan daha",
-    "cs": "a je byl byla bylo se že na do z po pro před jak kdy kde který která velmi nikdo protože dnů tam ale",
+    "en": "the of and was were is are it that which who whose with for from had has have been because this they she he his her their there at by what when where why how did does not into after before about took in no only as to so an then both i you we me my your him them us our am do will would can could should may might must if or but than some any all each other out up down over under again very just through until while during every still also own got get went came made said kept on a met men door",
+    "de": "der die das und ist war waren nicht ein eine einen einem einer mit von zu zum zur auf für hat hatte haben weil dass den dem des im wo wer wie warum wann nach bei auch erst noch niemand wollte sehr es sich wurde als aus um kein keine keinen viele tage welche wird sie er ich wir ihr ihre ihren ihrem ihrer mein meine sein seine seinen seinem seiner unser unsere aber oder wenn dann doch nur schon hier dort dieser diese dieses diesen diesem jeder jede alle etwas nichts über unter zwischen durch gegen ohne bis seit während wegen vor hinter neben ob obwohl damit kann können konnte muss musste werden worden wurden sind habe hatten beim vom ins ihn ihm ihnen uns mich dich mehr immer wieder zusammen gegenüber",
+    "fr": "le les des du et est était étaient une dans pour avec qui que qu où quand pourquoi comment au aux sur pas ne ce cette ces il elle ils elles son sa ses leur parce après avant chez été toujours personne combien jours très déjà travaillait vieille la de un en je tu nous vous mes tes nos vos notre votre lui leurs ont avait avaient sont suis être avoir mais donc sous sans entre vers depuis pendant contre cet celui celle ceux puis alors aussi encore tout tous toute toutes même fut furent rien car jamais ensemble",
+    "es": "el los las y fue era eran una para con que por qué dónde cuándo cómo del al no su sus lo porque después antes había hasta días cuántos muy nadie nada esta este en la de un dejó compró también yo tú él ella ellos ellas nosotros mi mis tu tus le les se me nos pero sin sobre entre desde hacia durante contra cuando donde como si ya más todo todos toda todas otro otra ese esa eso estos estas han he habían son soy fueron ser estar estaba estaban siempre nunca juntos o",
+    "it": "il lo gli che di della del nella nel per con non è era una uno perché dopo prima anche sono stato dove quando come molto più giorni nessuno questo questa io lei lui noi loro mio mia suo sua suoi i le un al alla dal dalla dei delle degli sul sulla tra fra ma se già sempre mai tutto tutti ha hanno aveva avevano erano stata stati fu senza così ed",
+    "pt": "o os as que não uma um para com por do da dos das no na em foi era porque depois antes também muito mais dias ninguém onde quando como este esta eu ele ela eles elas nós meu minha seu sua seus suas lhe ao à às pelo pela mas sem sobre entre até desde já sempre nunca tudo todos tem têm tinha foram ser estava estavam são isso isto",
+    "nl": "de het een en van is was waren niet met voor op aan dat die deze omdat naar bij ook nog wel geen zijn werd heeft had dagen niemand waar wanneer hoe ik jij hij zij wij ze we mijn haar hun ons onze maar of als dan toen hier daar alle iets niets over onder tussen door tegen zonder tot sinds tijdens kan konden moest worden hebben heb hadden uit om er te altijd nooit weer samen",
+    "pl": "to i w na nie jest był była było się że do z po przez bo nikt miał tam stało czyli dla przed jak kiedy gdzie który która bardzo tego jej jego dniach tygodni ja ty on ona oni my wy mój moja swój swoją swoje a ale lub czy gdy tu tutaj ten ta te tych tym nad pod bez od ze we o są byli były być miała mieli ma już tylko zawsze nigdy razem",
+    "sv": "och att det som en ett är var inte med för på av till från den har hade efter innan också mycket ingen dagar när där varför hur jag du han hon vi ni de mitt min sin sitt sina hans hennes deras men eller om då här denna detta dessa alla något under över mellan genom mot utan sedan kan kunde måste blev blivit vara varit alltid aldrig igen tillsammans",
+    "tr": "bir ve bu için ile değil çok ne neden nasıl nerede sonra önce gün kimse vardı olan daha ben sen o biz siz onlar benim onun onların ama veya eğer şimdi burada orada her hiç şey gibi kadar göre ise idi değildi yok sadece hep asla birlikte",
+    "cs": "a je byl byla bylo se že na do z po pro před jak kdy kde který která velmi nikdo protože dnů tam ale já ty on ona oni my vy můj její jeho nebo když tady tento tato nad pod bez od jsou jsem byli být měla měli už jen vždy nikdy spolu",
+    "fi": "ja on oli ovat olivat ei ole että se ne hän he minä sinä me te mutta tai kun jos niin kuin myös vain sitten ennen jälkeen kanssa ilman joka mikä mitä missä miksi koska tämä tuo hänen heidän oman koko vielä aina kaikki yksi",
+    "hu": "a az és egy nem is hogy volt voltak van vannak ő ők én te mi ti de vagy ha mert már csak még után előtt alatt között nélkül aki ami amely mit hol miért mikor ez ezt azt mindig soha minden lett meg el",
+    "da": "og det at som en et er var ikke med for på af til fra den de havde efter inden også meget ingen hvor når hvorfor jeg du han hun vi min sin hans hendes deres men eller hvis da her der denne dette alle noget under over mellem mod uden blev været",
+    "no": "og det at som en et er var ikke med for på av til fra den de hadde etter før også mye ingen hvor når hvorfor jeg du han hun vi min sin hans hennes deres men eller hvis da her der denne dette alle noe under over mellom mot uten ble vært",
+    "ro": "și în la de pe cu un o nu este era au a fost că care pentru din prin după înainte fără dar sau dacă când unde cum el ea ei ele meu sa său lor acest această mai foarte toate nimic niciodată",
 }
 _WORDS_OF = {w: [x for x, ws in LANGUAGE_WORDS.items() if w in ws.split()] for ws in LANGUAGE_WORDS.values() for w in ws.split()}
+# Words of these lists that stand in names, or in texts of other languages, too.
+PARTICLES = set("met war hat die men man door car care come son sin sole dove prima comment pendant ensemble encore min con mis mod mot nu non pan pas pod prin per ser sans sedan sur tai tam tot till van var volt wie worden hen her han hans har hep hon hun fra er era est ed ha dan dar dal dem des ben bis bin bo ale alla ami au cum il im ja jos kan lo lei lui lett lor ma mas mes mi mia mio mit na ne ni nos ob od om op os pe pelo po qu sa sen si su ta te ti til tu um un ve vi wo ya yo ze kun ole oman juntos idi ise ile de del della di da das do dos du des la le les el los las al van von der den ter ten zu y e o a i en ibn bin st et per via pro no on me so is at to in an am do she he be we us".split())
 # Letters that only some of these languages have.
 LANGUAGE_LETTERS = {"ß": "de", "ñ": "es", "¿": "es", "¡": "es", "ł": "pl", "ą": "pl", "ę": "pl", "ż": "pl", "ź": "pl", "ś": "pl", "ø": "da", "ã": "pt", "õ": "pt", "ğ": "tr", "ı": "tr", "ř": "cs", "ě": "cs", "ů": "cs"}
 # Words that don't end a statement.
@@ -261,6 +270,10 @@ def other_language(question: str, answer: str) -> bool:
         return False
     if not in_a or not in_q:  # one of them has a script of its own
         return a != q
+    words = re.findall(r"[^\W\d_]+", answer)
+    if a != q and len(words) <= SHORT_ANSWER and not in_a.get(q) and in_q[q] >= WORDS_OF_LANGUAGE:
+        # Capitalized words may be names.
+        return in_a[a] >= WORDS_OF_LANGUAGE or any(w.islower() and w not in PARTICLES and a in _WORDS_OF.get(w, ()) for w in words)
     return a != q and in_a[a] >= WORDS_OF_LANGUAGE and in_a[a] - in_a.get(q, 0) >= AHEAD and in_q[q] >= WORDS_OF_LANGUAGE
 
 

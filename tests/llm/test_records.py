@@ -249,3 +249,12 @@ def test_split_oversized(spark):
     assert {(r["item_kind"], r["row_id"], r["turn_idx"], r["item_cut"]) for r in rows} == {("content", 1, 0, "natural"), ("content", 1, 1, "forced"), ("prompt", 2, -1, "natural")}
     assert all(len(r["text"]) <= 60 for r in rows)
     assert chunking.split_oversized(df.limit(0), limits).count() == 0
+
+
+def test_short_answers_in_another_language():
+    asked = "What did Kela and Joris do at the market after the ferry had left?"
+    for answer in ("Sie reparierte Lampen mit Halo.", "Joris wartete zwischen zwei Booten.", "Elle vendait toujours des lampes.", "Han sålde lampor tillsammans.", "Hän korjasi lamppuja ilman Jorista.", "Lámpákat javított Joris nélkül."):
+        assert defect(asked, None, answer) == "other_language", answer
+    for answer in ("Joris met Kela.", "Joris de Vries", "Bo Kela, Lei Hans", "Feno felt wary, met Kelia.", "Repaired lamps with Halo.", "Brass lantern, folding chairs"):
+        assert defect(asked, None, answer) != "other_language", answer
+    assert defect("Was hat Kela nach dem Markt gemacht und wer war dabei?", None, "She repaired lamps with Halo.") == "other_language"
