@@ -21,7 +21,8 @@ def _shares(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _shares(spark, folder)[1].where("short").select("plan_id", "task_type")
+    # The whole report is made, with the draw; of the counts alone the optimizer would leave it out.
+    return cut(_shares(spark, folder)[1]).where("short").select("plan_id", "task_type")
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,7 +105,8 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mix(spark, folder)[1].where("short").select("plan_id", "source")
+    # As p1_found: the whole report, with the draw.
+    return cut(_mix(spark, folder)[1]).where("short").select("plan_id", "source")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,3 +24,16 @@ def test_query(spark, folder, duck, name):
         df.collect()
     if name in COLUMNS:
         assert df.count() == df.distinct().count()
+
+
+@pytest.mark.parametrize(("name", "module", "draw"), [("p1_found", "proportion_sample", "sample_to_shares"), ("p7_found", "mixing", "mix_sources")])
+def test_found_runs_the_draw(spark, folder, monkeypatch, name, module, draw):
+    """The rows come from the whole report, the draw's columns too."""
+    made = []
+    real = queries.cut
+    monkeypatch.setattr(queries, "cut", lambda df: made.append(df.columns) or real(df))
+    report = QUERIES[name.replace("found", "report")](spark, folder)
+    found = QUERIES[name](spark, folder)
+    assert report.columns in made
+    assert "Pandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == report.where("short").count()
