@@ -19,8 +19,8 @@ SENTENCE_MARKS = ".!?。！？．｡…‼⁇⁈⁉"
 PARAGRAPH, LINE, SENTENCE, SPACE, MARK, FORCED = 0.0, 0.2, 0.4, 1.0, 1.2, 50.0
 #: Weight of a piece's missing size, as the square of its share of the limit.
 IMBALANCE = 1.0
-#: A text of more than so many limits is cut by the window, so that memory stays bounded.
-WINDOW = 400
+#: Size limits that all tasks get; more are joined by a shuffle.
+FEW_LIMITS = 10_000
 
 _BOUNDARY = re.compile(rf"(?P<paragraph>\s*\n\s*\n\s*)|(?P<line>[^\S\n]*\n\s*)|(?P<sentence>(?<=[{SENTENCE_MARKS}])[\"'”’)\]」]*\s+)|(?P<space>\s+)|(?P<mark>(?<=[{SENTENCE_MARKS}])(?=[^\s{SENTENCE_MARKS}]))")
 _COST = {"paragraph": PARAGRAPH, "line": LINE, "sentence": SENTENCE, "space": SPACE, "mark": MARK}
@@ -91,13 +91,8 @@ def best_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """:func:`best_cuts` over a text of any length, WINDOW limits at a time."""
-    pieces, at = [], 0
-    while len(text) - at > WINDOW * limit:
-        part = best_cuts(text[at : at + WINDOW * limit], limit, overlap)[: WINDOW // 2]
-        pieces += [(at + s, at + e, kind) for s, e, kind in part]
-        at = pieces[-1][1] - overlap
-    return pieces + [(at + s, at + e, kind) for s, e, kind in best_cuts(text[at:], limit, overlap)]
+    """:func:`best_cuts` over a whole text, of any length."""
+    return best_cuts(text, limit, overlap)
 
 
 def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
@@ -119,7 +114,9 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     Only oversized texts leave the JVM; they are found by their length in the
     scan and spread over all tasks.
     """
-    bounds = F.broadcast(limits.where("max_chars IS NOT NULL").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars")).limit(10_000))
+    bounds = limits.where("max_chars IS NOT NULL").select("item_kind", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
+    if bounds.limit(FEW_LIMITS + 1).count() <= FEW_LIMITS:
+        bounds = F.broadcast(bounds)
     long_ = items.select("item_kind", "row_id", "turn_idx", "text").join(bounds, "item_kind").where(F.length("text") > F.col("max_chars")).select("item_kind", "row_id", "turn_idx", "text", "max_chars", "overlap_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

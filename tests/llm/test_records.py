@@ -258,3 +258,10 @@ def test_short_answers_in_another_language():
     for answer in ("Joris met Kela.", "Joris de Vries", "Bo Kela, Lei Hans", "Feno felt wary, met Kelia.", "Repaired lamps with Halo.", "Brass lantern, folding chairs"):
         assert defect(asked, None, answer) != "other_language", answer
     assert defect("Was hat Kela nach dem Markt gemacht und wer war dabei?", None, "She repaired lamps with Halo.") == "other_language"
+
+
+def test_a_very_long_text_is_cut_at_the_least_cost():
+    rng = random.Random(9)
+    text = "".join("x" * rng.randint(1, 9) + rng.choice([" ", " ", ". ", "\n\n"]) for _ in range(6_000))
+    assert len(text) > 400 * 40  # more than was once cut at a time
+    assert chunking.split_text(text, 40, 3) == chunking.best_cuts(text, 40, 3)
