@@ -99,10 +99,11 @@ def numbers_without_dates(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, numeric_token)))
 
 
-def entities(text: Column, most: int = 5) -> Column:
-    """Up to ``most`` distinct runs of one to three capitalised words, in order."""
+def entities(text: Column, most: int | None = 5) -> Column:
+    """Up to ``most`` distinct runs, or all for None, of one to three capitalised words, in order."""
     found = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})"), 1)
-    return F.slice(F.array_distinct(found), 1, most)
+    distinct = F.array_distinct(found)
+    return distinct if most is None else F.slice(distinct, 1, most)
 
 
 def years(text: Column) -> Column:

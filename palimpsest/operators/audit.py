@@ -137,7 +137,7 @@ def vote_result(votes: Column, focused: int = 5, strong: int = 4) -> Column:
     majority of the further votes, of all where there are no further ones.
     """
     first = F.slice(votes, 1, focused)
-    rest = F.when(F.size(votes) > focused, F.slice(votes, focused + 1, 1_000)).otherwise(votes)
+    rest = F.when(F.size(votes) > focused, F.slice(votes, F.lit(focused + 1), F.size(votes))).otherwise(votes)
 
     def yes(v: Column) -> Column:
         return F.size(F.filter(v, lambda x: F.upper(F.trim(x)) == "YES"))

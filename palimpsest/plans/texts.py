@@ -61,7 +61,7 @@ def answer_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {TASKS} SELECT row_id, CAST(task_idx AS INTEGER) AS task_idx, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(task.gold_answer, ''), '([A-Z][a-z]+(?: [A-Z][a-z]+){{0,2}})', 1))), '|') AS names FROM tasks")
 def answer_entities(spark: SparkSession, folder: str) -> DataFrame:
-    found = text.entities(F.coalesce(F.col("task.gold_answer"), F.lit("")), 1_000)
+    found = text.entities(F.coalesce(F.col("task.gold_answer"), F.lit("")), None)
     return _tasks(spark, folder).select("row_id", "task_idx", F.array_join(F.array_sort(found), "|").alias("names"))
 
 

@@ -159,3 +159,13 @@ def test_parts_differ_by_one(spark, n, parts):
     rows = near_equal_parts(spark.range(n), parts, hash_order(1, F.col("id")), F.col("id"), name="part").collect()
     sizes = [sum(r["part"] == p for r in rows) for p in range(1, parts + 1)]
     assert sum(sizes) == n and (max(sizes) - min(sizes) <= 1) and sizes == sorted(sizes, reverse=True)
+
+
+def test_many_votes_and_names_are_all_counted(spark):
+    from palimpsest.functions import text
+    from palimpsest.operators import audit
+
+    votes = ["NO"] * 5 + ["YES"] * 1_000 + ["NO"] * 1_500
+    names = " and ".join("A" + "".join(chr(97 + int(x)) for x in f"{i:04}") for i in range(1_200))
+    row = spark.createDataFrame([(votes, names)], "votes array<string>, names string").select(audit.vote_result(F.col("votes")), F.size(text.entities(F.col("names"), None))).first()
+    assert tuple(row) == (audit.MISSING, 1_200)
