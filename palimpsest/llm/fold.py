@@ -7,6 +7,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import xxhash
+
 # Letters of other scripts, and a few signs, that look like the Latin letter or sign behind them.
 CYRILLIC = "А A В B Е E Ѕ S І I Ј J К K М M Н H О O Р P С C Т T У Y Х X а a е e ѕ s і i ј j о o р p с c у y х x һ h ԁ d ԛ q ԝ w ӏ l Ӏ I Ү Y ү y Ԛ Q Ԝ W"
 GREEK = "Α A Β B Ε E Ζ Z Η H Ι I Κ K Μ M Ν N Ο O Ρ P Τ T Υ Y Χ X ο o ν v ϲ c Ϲ C ϳ j Ϳ J ι i κ k ρ p α a υ u"
@@ -94,16 +96,31 @@ def loose_word(word: str) -> str:
 _word = lru_cache(maxsize=200_000)(loose_word)
 
 
-def loose_words(text: str) -> list[str]:
-    """The words of a text, white space between them, in :func:`loose_word` form.
+@lru_cache(maxsize=200_000)
+def _id(word: str) -> int:
+    word = loose_word(word)
+    return xxhash.xxh64_intdigest(word) | 1 if word else 0
 
-    Character references and tags are dropped first, so markup, layout and
-    punctuation make no difference. Words without a letter or digit are left out.
-    """
+
+def _prepared(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub("", text)
     if not text.isascii():
         text = "".join([alike(c) if c > "\x7f" else c for c in text])
-    return [w for w in map(_word, text.split()) if w]
+    return text
+
+
+def loose_words(text: str) -> list[str]:
+    """The words of a text, white space between them, in :func:`loose_word` form.
+
+    Character references and tags are dropped first, so markup, layout and
+    punctuation make no difference. Words without a letter or digit are left out.
+    """
+    return [w for w in map(_word, _prepared(text).split()) if w]
+
+
+def loose_ids(text: str) -> list[int]:
+    """Hashes of 64 bits of :func:`loose_words`."""
+    return [w for w in map(_id, _prepared(text).split()) if w]

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import spread
-from palimpsest.llm.fold import loose_words
+from palimpsest.llm.common import cut, spread
+from palimpsest.llm.fold import loose_ids, loose_words
 
 #: Masks of the seeds: the word positions that must agree; the ones left out may differ.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
@@ -20,8 +20,12 @@ MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4),
 LEAST = 12
 #: A leak has at most one altered, dropped or inserted word in so many words of the item; two in any LEAST words.
 WORDS_FOR_ERROR, ERRORS = 7, 2
-#: Characters of test items that make one index, which all tasks get; more are taken in several rounds.
-INDEX_CHARS = 20_000_000
+#: Bits of the filter of the items' seeds, as a power of two: the least, the most (16 MB), and bits for each seed.
+FILTER_LEAST, FILTER_MOST, BITS_FOR_SEED = 16, 27, 512
+#: Parts into which the documents that share one seed are split.
+SALTS = 8
+#: Items whose seeds a verifying task keeps at hand.
+KEPT_ITEMS = 2_000
 
 _EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2))  # words of document and item skipped over
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -40,8 +44,40 @@ def _hashes(ids: np.ndarray, mask: Sequence[int], number: int) -> tuple[np.ndarr
     return at, h
 
 
+def seeds_of(ids: np.ndarray, owner: np.ndarray, masks: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, seed) of all windows under each mask; words of one owner stand together, ids are hashes of words."""
+    owners, seeds = [], []
+    for mask in masks:
+        n = len(ids) - mask[-1]
+        if n <= 0:
+            continue
+        h = np.full(n, sum(1 << o for o in mask), dtype=np.uint64)
+        for o, f in zip(mask, _FACTORS, strict=False):
+            h = (h ^ (h >> np.uint64(29))) * f + ids[o : o + n]
+        h = (h ^ (h >> np.uint64(31))) * _FACTORS[0]
+        inside = np.flatnonzero(owner[:n] == owner[mask[-1] :])
+        owners.append(owner[inside])
+        seeds.append(h[inside])
+    if not seeds:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(owners), np.concatenate(seeds)
+
+
+def _hashed(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, owner) of the words of several texts in a row."""
+    ids = [loose_ids(t) if t else [] for t in texts]
+    owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    return np.fromiter((w for x in ids for w in x), np.uint64, len(owner)), owner
+
+
+def _places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that a seed sets."""
+    most = np.uint64((1 << bits) - 1)
+    return (seeds & most).astype(np.int64), ((seeds >> np.uint64(64 - bits)) & most).astype(np.int64)
+
+
 class Index:
-    """Seeds of a bounded number of test items."""
+    """Seeds of a few test items."""
 
     def __init__(self, items: Sequence[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
@@ -272,7 +308,67 @@ def without_instructions(items: DataFrame, key: str = "item_id", text: str = "te
     return halves.join(shared, "_norm", "left").select(key, F.when(F.col("_shared"), F.col("_rest")).otherwise(F.col("_whole")).alias(text))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, index_chars: int = INDEX_CHARS) -> DataFrame:
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, owner = _hashed(b.column("text").to_pylist())
+        size = np.bincount(owner, minlength=b.num_rows)
+        own, seed = seeds_of(ids, owner, MASKS)
+        keep = size[own] >= 4
+        owners, seeds, lengths = [own[keep]], [seed[keep]], [np.full(int(keep.sum()), 4)]
+        for n in (1, 2, 3):  # items of so few words are found whole
+            short = size[owner] == n
+            own, seed = seeds_of(ids[short], owner[short], [tuple(range(n))])
+            owners.append(own)
+            seeds.append(seed)
+            lengths.append(np.full(len(own), n))
+        own, seed, length = np.concatenate(owners), np.concatenate(seeds), np.concatenate(lengths)
+        item = b.column("item").to_numpy(zero_copy_only=False)[own] if len(own) else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed.view(np.int64)), pa.array(length, pa.int32())], names=["item", "seed", "length"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[int, Index] = {}
+    for b in batches:
+        out: list[tuple[int, int, int, int, int]] = []
+        before, words = None, []
+        for key, doc, text, item, item_text in zip(*[b.column(c).to_pylist() for c in ("key", "doc_id", "text", "item", "item_text")], strict=True):
+            if key != before:
+                before, words = key, loose_words(text)
+            if (index := kept.get(item)) is None:
+                if len(kept) >= KEPT_ITEMS:
+                    kept.clear()
+                index = kept[item] = Index([(item, item_text)])
+            ids = [index.vocabulary.get(w, 0) for w in words]
+            hits = [(p, q) for p, _, q in index.hits(np.array(ids, dtype=np.int64))]
+            if hits and (leak := overlap(ids, index.items[0][1], hits)):
+                out.append((doc, item, *leak))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item", "words", "errors", "at"])
+
+
+def seed_filter(seeds: DataFrame, most: int = FILTER_MOST) -> tuple[int, np.ndarray]:
+    """(power of two, bits) of a Bloom filter of the items' seeds, two bits for each.
+
+    Its size follows the number of seeds up to 2 ** ``most`` bits, whatever the
+    number of items; a full filter lets more seeds through and loses none.
+    """
+    count = seeds.count()
+    bits = min(most, max(FILTER_LEAST, int(count * BITS_FOR_SEED).bit_length()))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.concatenate(_places(b.column("seed").to_numpy(zero_copy_only=False).view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    # At most 2 ** most / 64 words, of eight bytes each.
+    words = seeds.select("seed").mapInArrow(parts, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    filled = np.zeros(1 << (bits - 6), np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    return bits, filled.view(np.uint8)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER_MOST) -> DataFrame:
     """(doc_id, item_id, words, errors, at): the test items that leaked into each document.
 
     documents: (doc_id, text); items: (item_id, text). A leak is an item's text
@@ -280,42 +376,50 @@ def find_leaks(documents: DataFrame, items: DataFrame, index_chars: int = INDEX_
     it, with at most one wrong word in WORDS_FOR_ERROR, or two in LEAST words, and
     one interruption; any part of a longer, worse stretch counts.
     ``words`` are the item's words covered, ``at`` the document's word where
-    they begin. Null and empty texts leak nothing; repeated documents each count.
-
-    Spaced-seed hashing: the items' windows under each mask are hashed into an
-    index, each document's windows look themselves up in it while it is
-    scanned, and the overlap is verified around the hits. The items are a
-    query set: up to ``index_chars`` characters of them make one index that
-    all tasks get; a larger set is taken in blocks of that size, each a scan
-    of the documents. No document text is shuffled but to even out small scans.
+    they begin. Null and empty texts leak nothing; repeated documents and items
+    each count.
+
+    Spaced-seed hashing: the words of items and documents are hashed under the
+    same masks, and the hashes are joined. A Bloom filter of the items' seeds, at
+    most 2 ** ``filter_bits`` bits whatever the number of items, goes to all tasks,
+    so that a scan of the documents leaves only those with a seed that may be an
+    item's; their seeds alone are shuffled, a seed's documents over SALTS parts.
+    Documents and items that share a seed are verified pair by pair around all
+    their hits. Items of one text are one item until the end.
     """
-    cleaned = without_instructions(items)
-    spark = documents.sparkSession
-    chars = cleaned.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // index_chars))
-    texts = spread(documents.select("doc_id", "text").where("text IS NOT NULL"))
-    result = None
-    for block in range(blocks):
-        part = cleaned.where(F.expr(f"pmod(xxhash64(item_id, 6L), {blocks}L) = {block}")).orderBy("item_id").collect()
-        shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in batches:
-                out: list[tuple[int, int, int, int, int]] = []
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = [index.vocabulary.get(w, 0) for w in loose_words(text)]
-                    by_item = defaultdict(list)
-                    for p, n, q in index.hits(np.array(ids, dtype=np.int64)):
-                        by_item[n].append((p, q))
-                    for n, hits in by_item.items():
-                        item, words = index.items[n]
-                        if leak := overlap(ids, words, hits):
-                            out.append((key, item, *leak))
-                columns = zip(*out, strict=True) if out else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "words", "errors", "at"])
-
-        found = texts.mapInArrow(run, "doc_id long, item_id long, words int, errors int, at int")
-        result = found if result is None else result.unionByName(found)
-    return result
+    cleaned = cut(without_instructions(items).withColumn("digest", F.sha2("text", 256)))
+    distinct = cleaned.where("text <> ''").groupBy("digest").agg(F.min("item_id").cast("long").alias("item"), F.first("text").alias("text"))
+    members = cleaned.select("item_id", "digest").join(distinct.select("digest", "item"), "digest").select("item", "item_id")
+    distinct = cut(distinct.select("item", "text"))
+    seeds = cut(spread(distinct).mapInArrow(_item_seeds, "item long, seed long, length int"))
+    lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # of 1 to 4
+    masks = [m for n in lengths for m in (MASKS if n == 4 else [tuple(range(n))])]
+    bits, filled = seed_filter(seeds, filter_bits)
+    shared = documents.sparkSession.sparkContext.broadcast(filled)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = shared.value
+        for b in batches:
+            ids, owner = _hashed(b.column("text").to_pylist())
+            own, seed = seeds_of(ids, owner, masks)
+            one, two = _places(seed, bits)
+            may = np.flatnonzero((has[one >> 3] >> (one & 7).astype(np.uint8)) & (has[two >> 3] >> (two & 7).astype(np.uint8)) & 1)
+            own, seed = own[may], seed[may].view(np.int64)
+            order = np.lexsort((seed, own))
+            own, seed = own[order], seed[order]
+            first = np.append(True, (own[1:] != own[:-1]) | (seed[1:] != seed[:-1])) if len(own) else np.empty(0, bool)
+            own, seed = own[first], seed[first]
+            rows, start = np.unique(own, return_index=True)
+            found = pa.ListArray.from_arrays(pa.array(np.append(start, len(own)), pa.int32()), pa.array(seed))
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(taken), b.column("text").take(taken), found], names=["doc_id", "text", "seeds"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    # Written once, so that the rows' numbers are the same whenever they are read.
+    kept = cut(spread(texts).mapInArrow(scan, "doc_id long, text string, seeds array<long>")).withColumn("key", F.monotonically_increasing_id())
+    hits = kept.select("key", F.explode("seeds").alias("seed"), F.expr(f"pmod(xxhash64(key), {SALTS})").alias("salt"))
+    parts = seeds.select("item", "seed").distinct().withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    pairs = hits.join(parts, ["seed", "salt"]).select("key", "item").distinct()
+    whole = pairs.join(kept.select("key", "doc_id", "text"), "key").join(distinct.select("item", F.col("text").alias("item_text")), "item")
+    found = spread(whole, always=True).sortWithinPartitions("key").mapInArrow(_verify, "doc_id long, item long, words int, errors int, at int")
+    return found.join(members, "item").select("doc_id", "item_id", "words", "errors", "at")
