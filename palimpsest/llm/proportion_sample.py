@@ -124,6 +124,16 @@ def sample_to_shares(members: DataFrame, targets: DataFrame, seed: int = 1) -> t
         "drawn",
         F.round(F.coalesce(F.try_divide("drawn", "in_all"), F.lit(0.0)), 6).alias("share"),
         F.round(F.col("drawn") - F.col("wanted"), 6).alias("residual"),
-        (F.col("members") < F.col("wanted")).alias("short"),
+        _short().alias("short"),
     )
     return sample, report
+
+
+def _short() -> Column:
+    """Whether the draw shows that a category falls short: it lacks a whole member or more, or took all there are and still lacks a part.
+
+    The landing leaves a category with enough members at the whole number
+    below or above what is wanted, so this is so just where there are fewer.
+    """
+    lacking = F.col("wanted") - F.col("drawn")
+    return (lacking > 0) & ((lacking >= 1) | (F.col("drawn") == F.col("members")))

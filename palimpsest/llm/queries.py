@@ -21,7 +21,7 @@ def _shares(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    # The whole report is made, with the draw; of the counts alone the optimizer would leave it out.
+    # ``short`` is read off the draw.
     return cut(_shares(spark, folder)[1]).where("short").select("plan_id", "task_type")
 
 
@@ -105,7 +105,7 @@ def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    # As p1_found: the whole report, with the draw.
+    # As in p1_found.
     return cut(_mix(spark, folder)[1]).where("short").select("plan_id", "source")
 
 
@@ -126,6 +126,28 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, folder, "documents")).select("doc_id", "form")
 
 
+def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, task_type, members, wanted, short, landed): the report without the numbers that chance decides.
+
+    ``landed``: the draw is less than one member off what is wanted and there.
+    """
+    report = _shares(spark, folder)[1]
+    landed = F.abs(F.col("drawn") - F.least("wanted", "members")) < 1
+    return report.select("plan_id", "task_type", "members", "wanted", "short", landed.alias("landed"))
+
+
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(plan_id, source, documents, short, landed): the report without the numbers that chance or the tokenizer decide.
+
+    ``landed``: the draw is no more tokens off what is wanted and can be given than LANDED of the longest documents may have.
+    """
+    documents = table(spark, folder, "documents")
+    report = _mix(spark, folder)[1].join(table(spark, folder, "mix_targets").select("plan_id", "source", "max_repeats"), ["plan_id", "source"])
+    most = documents.agg(F.max(F.octet_length("text")).alias("most"))  # a document has no more tokens than bytes
+    off = F.abs(F.col("reached") - F.least(F.col("wanted"), F.coalesce("max_repeats", F.lit(0)) * F.col("there")))
+    return report.crossJoin(F.broadcast(most)).select("plan_id", "source", "documents", "short", (off <= mixing.LANDED * F.col("most")).alias("landed"))  # one row
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit() and callable(f)}
 

@@ -7,7 +7,7 @@ from palimpsest.llm.proportion_sample import OTHER_NAMES, TASK_TYPES, _compact
 _NAMES = ", ".join(f"('{_compact(x)}', '{t}')" for t, s in TASK_TYPES.items() for x in [t, s, *OTHER_NAMES[t]])
 _FULL = ", ".join(f"('{_compact(t)}', '{t}')" for t in TASK_TYPES)
 
-P1_FOUND = f"""
+_P1 = f"""
 WITH names(k, t) AS (VALUES {_NAMES}), names1 AS (SELECT DISTINCT k, t FROM names), full_names(k, t) AS (VALUES {_FULL}),
 tasks AS (
   SELECT row_id, batch_no, coalesce(id, 'row ' || row_id) AS id, unnest(generate_series(1, len(tasks_covered))) AS p, tasks_covered FROM dialogue_records
@@ -24,10 +24,11 @@ tasks AS (
 ), sizes AS (
   SELECT pool, batch_no, task_type, count(*) AS members FROM typed WHERE task_type IS NOT NULL GROUP BY ALL
 )
-SELECT p.plan_id, p.task_type FROM task_targets p
-LEFT JOIN sizes s ON s.pool = p.pool AND s.batch_no IS NOT DISTINCT FROM p.batch_no AND s.task_type = p.task_type
-WHERE coalesce(s.members, 0) < round(greatest(p.min_rows, p.target_share * p.sample_size), 9)
 """
+_P1_WANTED = "coalesce(round(greatest(coalesce(p.min_rows, 0), coalesce(p.target_share * p.sample_size, 0)), 9), 0)"
+_P1_JOIN = "FROM task_targets p LEFT JOIN sizes s ON s.pool = p.pool AND s.batch_no IS NOT DISTINCT FROM p.batch_no AND s.task_type = p.task_type"
+P1_FOUND = f"{_P1} SELECT p.plan_id, p.task_type {_P1_JOIN} WHERE coalesce(s.members, 0) < {_P1_WANTED}"
+P1_COUNTS = f"{_P1} SELECT p.plan_id, p.task_type, coalesce(s.members, 0) AS members, {_P1_WANTED} AS wanted, coalesce(s.members, 0) < {_P1_WANTED} AS short, true AS landed {_P1_JOIN}"
 
 _NAME_KEY = "regexp_replace(lower(trim(regexp_replace(regexp_replace({0}, '\\p{{Cf}}+', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))), '^([^,]+?) ?, ?([^,]+)$', '\\2 \\1')"
 _ID_KEY = "regexp_replace(lower(regexp_replace({0}, '^\\s*(\\pL+:)+', '')), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
@@ -53,11 +54,15 @@ SELECT item_kind, row_id, CAST(turn_idx AS INTEGER) AS turn_idx,
 FROM items JOIN size_limits USING (item_kind) WHERE length(t) > max_chars
 """
 
-P7_FOUND = """
-WITH counted AS (SELECT source, sum(coalesce(len(regexp_extract_all(text, '\\pL+|\\pN+|[^\\s\\pL\\pN]+')), 0)) AS n FROM documents GROUP BY source),
-whole AS (SELECT sum(n) AS n FROM counted)
-SELECT m.plan_id, m.source FROM mix_targets m LEFT JOIN counted c ON c.source = m.source, whole w
-WHERE coalesce(m.target_share, 0) * coalesce(m.budget_ratio, 0) * w.n > coalesce(m.max_repeats, 0) * coalesce(c.n, 0)
+_P7 = """
+WITH counted AS (SELECT source, count(*) AS documents, sum(coalesce(len(regexp_extract_all(text, '\\pL+|\\pN+|[^\\s\\pL\\pN]+')), 0)) AS n FROM documents GROUP BY source),
+whole AS (SELECT sum(n) AS n FROM counted), wanted AS (
+  SELECT m.plan_id, m.source, coalesce(c.documents, 0) AS documents,
+    coalesce(m.target_share, 0) * coalesce(m.budget_ratio, 0) * w.n > coalesce(m.max_repeats, 0) * coalesce(c.n, 0) AS short
+  FROM mix_targets m LEFT JOIN counted c ON c.source = m.source, whole w
+)
 """
+P7_FOUND = f"{_P7} SELECT plan_id, source FROM wanted WHERE short"
+P7_COUNTS = f"{_P7} SELECT *, true AS landed FROM wanted"
 
-ORACLES = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.cube import flight, land
 from palimpsest.llm.cube_spark import balanced_sample
-from palimpsest.llm.mixing import count_tokens, mix_sources
+from palimpsest.llm import mixing
+from palimpsest.llm.mixing import count_tokens, mix_sources, parts_of
 from palimpsest.llm.proportion_sample import dialogue_members, sample_to_shares, summary_members, task_type
 
 MEMBERS = "pool string, batch_no int, member string, task_type string"
@@ -86,6 +87,27 @@ def test_tokens_of_whole_texts(spark):
     assert counted[1] == counted[2] == 0 and counted[3] == 2 and 59_990 <= counted[4] <= 60_010
 
 
+def test_parts_have_the_tokens_of_the_whole_text():
+    rng = np.random.default_rng(3)
+    encoding = mixing._encoding(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}")
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab1é,. \n\t'"), size=200)) + "they'll" * 3
+        whole = encoding.encode_ordinary(text)
+        assert [t for p in parts_of(text, 7) for t in encoding.encode_ordinary(p)] == whole
+        assert "".join(parts_of(text, 7)) == text
+    long = "x" * 150_000
+    assert list(parts_of(long)) == [long]
+    assert mixing._merged(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}", "ab" * 3_000) == len(encoding.encode_ordinary("ab" * 3_000))
+
+
+def test_a_large_plan_is_joined_by_a_shuffle(spark, monkeypatch):
+    documents = spark.createDataFrame([(i, "s" if i % 3 else "t", "some words here") for i in range(90)], "doc_id long, source string, text string")
+    plans = spark.createDataFrame([(1, "s", 0.4, 3, 0.5), (1, "t", 0.5, 2, 1.0)], PLANS)
+    want = sorted(mix_sources(documents, plans)[0].collect())
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 0)
+    assert sorted(mix_sources(documents, plans)[0].collect()) == want
+
+
 def test_mix(spark):
     docs = [(i, "big", f"word number {i} and some more words", "x") for i in range(200)] + [(1_000 + i, "small", "a few words here", "x") for i in range(10)] + [(2_000, None, "no source", "x"), (2_001, "big", None, "x")]
     documents = spark.createDataFrame(docs, "doc_id long, source string, text string, tokens string")
