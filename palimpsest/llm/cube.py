@@ -93,10 +93,24 @@ def flight(pi: np.ndarray, a: np.ndarray, rng: np.random.Generator) -> np.ndarra
 
 
 def land(pi: np.ndarray, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Resolve the rest: columns of a are given up from the last to the first."""
+    """Resolve the rest: columns of a are given up from the last to the first.
+
+    Before one is given up, the few units left move as far as all columns still
+    there allow; as these may depend on one another, fewer units than columns
+    may be able to. So of units of several kinds with a column each, no kind
+    ends a whole unit off its sum.
+    """
     a = np.asarray(a, dtype=float).reshape(len(pi), -1)
+    scale = np.maximum(np.abs(a).max(axis=0), 1e-300) if a.size else 1.0
     for p in range(a.shape[1], -1, -1):
-        if not ((pi > 0) & (pi < 1)).any():
-            break
         pi = flight(pi, a[:, :p], rng)
+        while len(rest := np.flatnonzero((pi > 0) & (pi < 1))):
+            matrix = (a / scale)[rest, :p].T
+            _, size, v = np.linalg.svd(matrix, full_matrices=True) if p else (None, np.empty(0), np.eye(len(rest)))
+            if (size > 1e-9).sum() >= len(rest):
+                break
+            u = v[-1] / np.abs(v[-1]).max()
+            pi[rest] = _step(pi[rest][None], u[None], rng)[0]
+        else:
+            break
     return pi

@@ -17,6 +17,8 @@ from palimpsest.llm.fold import alike, table_form
 
 #: White space that separates words, whatever it is made of.
 SPACES = r"[\s\p{Z}]+"
+#: White space with another character as its form.
+UNUSUAL_SPACE = r"[\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 #: Characters of distinct words in a shard.
 SHARD = 2_000_000
 #: ASCII words with a more frequent spelling in other letters that all tasks get; more are joined by a shuffle.
@@ -243,7 +245,10 @@ def canonical_texts(documents: DataFrame, key: str = "doc_id", text: str = "text
 
     kind = documents.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, {text} string, form string"
-    done = spread(other.join(own, key, "left"), always=True).mapInArrow(rewrite, schema)
+    # Most texts have nothing to rewrite and stay in the JVM.
+    joined = other.join(own, key, "left").withColumn("_new", F.col("own").isNotNull() | F.col(text).rlike(UNUSUAL_SPACE))
+    same = joined.where("NOT _new").select(key, text, F.col(text).alias("form"))
+    done = spread(joined.where("_new").select(key, text, "own"), always=True).mapInArrow(rewrite, schema).unionByName(same)
     if not giving_way:
         return ascii_.withColumn("form", F.col(text)).unionByName(done)
     used = owned(ascii_.select(key, F.explode(F.split(text, SPACES)).alias("word")).join(plain, "word"))
@@ -256,12 +261,18 @@ def alike_pairs(forms: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(doc_id_a, doc_id_b), a < b: texts that differ but have the same form.
 
     Forms that only one text has, however often it is repeated, are dropped by
-    an aggregate of digests before any pair is made; pairs come from an equi-join
-    on the digest of the form between different texts. Nulls match nothing.
+    an aggregate of digests (two hashes of 64 bits) before any pair is made. Pairs
+    are made of the different texts of a form, each once, and then expanded to
+    the documents that have them. Nulls match nothing.
     """
-    marked = cut(forms.where("form IS NOT NULL").select(F.col(key).alias("id"), F.sha2("form", 256).alias("f"), F.sha2(text, 256).alias("t")))
-    several = marked.groupBy("f").agg((F.min("t") != F.max("t")).alias("differ")).where("differ").select("f")
-    few = marked.join(several, "f", "left_semi")
-    a, b = few.alias("a"), few.alias("b")
-    pair = a.join(b, (F.col("a.f") == F.col("b.f")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.t") != F.col("b.t")))
-    return pair.select(F.col("a.id").alias(f"{key}_a"), F.col("b.id").alias(f"{key}_b"))
+    digest = [F.xxhash64("form").alias("f"), F.xxhash64(F.lit(1), "form").alias("f2"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2")]
+    marked = cut(forms.where("form IS NOT NULL").select(F.col(key).alias("id"), *digest))
+    differ = (F.min("t") != F.max("t")) | (F.min("t2") != F.max("t2"))
+    several = marked.groupBy("f", "f2").agg(differ.alias("differ")).where("differ").select("f", "f2")
+    few = cut(marked.join(several, ["f", "f2"], "left_semi"))
+    texts = few.select("f", "f2", "t", "t2").distinct()
+    a, b = (texts.toDF("f", "f2", f"t_{x}", f"t2_{x}") for x in "ab")
+    pairs = a.join(b, ["f", "f2"]).where("t_a < t_b OR (t_a = t_b AND t2_a < t2_b)")
+    owners = [few.select("id", "f", "f2", "t", "t2").toDF(f"id_{x}", "f", "f2", f"t_{x}", f"t2_{x}") for x in "ab"]
+    both = pairs.join(owners[0], ["f", "f2", "t_a", "t2_a"]).join(owners[1], ["f", "f2", "t_b", "t2_b"])
+    return both.where("id_a <> id_b").select(F.least("id_a", "id_b").alias(f"{key}_a"), F.greatest("id_a", "id_b").alias(f"{key}_b"))

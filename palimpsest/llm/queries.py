@@ -11,6 +11,7 @@ from palimpsest.llm import chunking, group_split, leakage, lookalike, mixing, pa
 from palimpsest.llm.common import cut, table
 from palimpsest.llm.proportion_sample import dialogue_members, sample_to_shares, summary_members, task_type
 from palimpsest.llm.sql import ORACLES
+from palimpsest.llm.sql import p8_found as look_alike_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,4 +154,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, "p8_found": look_alike_sql()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.fold import table_form
 from palimpsest.llm.proportion_sample import OTHER_NAMES, TASK_TYPES, _compact
 
 _NAMES = ", ".join(f"('{_compact(x)}', '{t}')" for t, s in TASK_TYPES.items() for x in [t, s, *OTHER_NAMES[t]])
@@ -65,4 +66,33 @@ whole AS (SELECT sum(n) AS n FROM counted), wanted AS (
 P7_FOUND = f"{_P7} SELECT plan_id, source FROM wanted WHERE short"
 P7_COUNTS = f"{_P7} SELECT *, true AS landed FROM wanted"
 
+
+
+def _form_sql() -> str:
+    """The table form of a text by the table alone, character by character, and one composition."""
+    single, dropped, several = {}, [], {}
+    for o in range(0x80, 0x30000):
+        c = chr(o)
+        if 0xD800 <= o < 0xE000 or (form := table_form(c)) == c:
+            continue
+        if not form:
+            dropped.append(c)
+        elif len(form) == 1:
+            single[c] = form
+        else:
+            several[c] = form
+    dropped += list(map(chr, range(0xE0100, 0xE01F0)))
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    form = f"translate(nfc_normalize(text), {quote(''.join(single) + ''.join(dropped))}, {quote(''.join(single.values()))})"
+    for c, to in several.items():
+        if 0xFB00 <= ord(c) <= 0xFB06:  # the ligatures
+            form = f"replace({form}, '{c}', '{to}')"
+    return f"nfc_normalize({form})"
+
+
+def p8_found() -> str:
+    forms = f"SELECT doc_id, text, {_form_sql()} AS form FROM documents WHERE text IS NOT NULL"
+    return f"WITH forms AS MATERIALIZED ({forms}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
+
+
 ORACLES = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}

@@ -26,6 +26,18 @@ def test_flight_keeps_the_balance(n, p):
     assert set(np.unique(land(done, a, rng))) <= {0.0, 1.0}
 
 
+def test_no_kind_lands_a_whole_unit_off():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        kind = rng.integers(0, 6, rng.integers(1, 60))
+        share = rng.random(6)
+        pi = share[kind]
+        a = np.column_stack([pi, *[np.where(kind == k, pi, 0.0) for k in range(5)]]) / pi[:, None]
+        done = land(flight(pi, a, rng), a, rng)
+        assert set(np.unique(done)) <= {0.0, 1.0} and abs(done.sum() - pi.sum()) < 1
+        assert all(abs(done[kind == k].sum() - pi[kind == k].sum()) < 1 for k in range(6))
+
+
 def test_draws_have_their_probabilities():
     rng = np.random.default_rng(1)
     pi = np.array([0.2, 0.5, 0.5, 0.8, 0.3, 0.7])
