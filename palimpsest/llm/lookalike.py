@@ -153,7 +153,7 @@ def _edits(a: str, b: str, most: int) -> int:
 
 def has_unusual(text: Column) -> Column:
     """Whether a text has a character outside ASCII; only those can look like another."""
-    return text.rlike(r"[^\x00-\x7F]")
+    return F.octet_length(text) > F.length(text)
 
 
 def _forms(words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
