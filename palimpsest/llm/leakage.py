@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, spread
+from palimpsest.llm.common import cut, parallelism, spread
 from palimpsest.llm.fold import loose_ids, loose_words
 
 #: Masks of the seeds: the word positions that must agree; the ones left out may differ.
@@ -45,8 +45,8 @@ def _hashes(ids: np.ndarray, mask: Sequence[int], number: int) -> tuple[np.ndarr
 
 
 def seeds_of(ids: np.ndarray, owner: np.ndarray, masks: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, seed) of all windows under each mask; words of one owner stand together, ids are hashes of words."""
-    owners, seeds = [], []
+    """(place among all words, seed) of all windows under each mask; words of one owner stand together, ids are hashes of words."""
+    places, seeds = [], []
     for mask in masks:
         n = len(ids) - mask[-1]
         if n <= 0:
@@ -56,11 +56,11 @@ def seeds_of(ids: np.ndarray, owner: np.ndarray, masks: Sequence[Sequence[int]])
             h = (h ^ (h >> np.uint64(29))) * f + ids[o : o + n]
         h = (h ^ (h >> np.uint64(31))) * _FACTORS[0]
         inside = np.flatnonzero(owner[:n] == owner[mask[-1] :])
-        owners.append(owner[inside])
+        places.append(inside)
         seeds.append(h[inside])
     if not seeds:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(seeds)
+    return np.concatenate(places), np.concatenate(seeds)
 
 
 def _hashed(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -312,35 +312,44 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, owner = _hashed(b.column("text").to_pylist())
         size = np.bincount(owner, minlength=b.num_rows)
-        own, seed = seeds_of(ids, owner, MASKS)
-        keep = size[own] >= 4
-        owners, seeds, lengths = [own[keep]], [seed[keep]], [np.full(int(keep.sum()), 4)]
+        start = np.append(0, np.cumsum(size))
+        at, seed = seeds_of(ids, owner, MASKS)
+        keep = size[owner[at]] >= 4
+        ats, seeds, lengths = [at[keep]], [seed[keep]], [np.full(int(keep.sum()), 4)]
         for n in (1, 2, 3):  # items of so few words are found whole
-            short = size[owner] == n
-            own, seed = seeds_of(ids[short], owner[short], [tuple(range(n))])
-            owners.append(own)
+            short = np.flatnonzero(size[owner] == n)
+            at, seed = seeds_of(ids[short], owner[short], [tuple(range(n))])
+            ats.append(short[at])
             seeds.append(seed)
-            lengths.append(np.full(len(own), n))
-        own, seed, length = np.concatenate(owners), np.concatenate(seeds), np.concatenate(lengths)
-        item = b.column("item").to_numpy(zero_copy_only=False)[own] if len(own) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed.view(np.int64)), pa.array(length, pa.int32())], names=["item", "seed", "length"])
+            lengths.append(np.full(len(at), n))
+        at, seed, length = np.concatenate(ats).astype(np.int64), np.concatenate(seeds), np.concatenate(lengths)
+        item = b.column("item").to_numpy(zero_copy_only=False)[owner[at]] if len(at) else np.empty(0, np.int64)
+        place = at - start[owner[at]] if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(seed.view(np.int64)), pa.array(place, pa.int64()), pa.array(length, pa.int32())], names=["item", "seed", "q", "length"])
+
+
+def may_leak(doc: set[str], item: Sequence[str]) -> bool:
+    """Whether a document has so many of an item's words that it can hold a leak of it."""
+    need = min(LEAST, len(item))
+    return sum(w in doc for w in item) >= need - (ERRORS if need >= LEAST else need // WORDS_FOR_ERROR)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: dict[int, Index] = {}
+    """Rows come document by document: the text, then a row for each item with the places of the seeds that agree."""
+    items: dict[int, list[str]] = {}
+    doc, words, known = None, [], set()
     for b in batches:
         out: list[tuple[int, int, int, int, int]] = []
-        before, words = None, []
-        for key, doc, text, item, item_text in zip(*[b.column(c).to_pylist() for c in ("key", "doc_id", "text", "item", "item_text")], strict=True):
-            if key != before:
-                before, words = key, loose_words(text)
-            if (index := kept.get(item)) is None:
-                if len(kept) >= KEPT_ITEMS:
-                    kept.clear()
-                index = kept[item] = Index([(item, item_text)])
-            ids = [index.vocabulary.get(w, 0) for w in words]
-            hits = [(p, q) for p, _, q in index.hits(np.array(ids, dtype=np.int64))]
-            if hits and (leak := overlap(ids, index.items[0][1], hits)):
+        for text, doc_id, item, item_text, hits in zip(*[b.column(c).to_pylist() for c in ("text", "doc_id", "item", "item_text", "hits")], strict=True):
+            if item is None:
+                doc, words = doc_id, loose_words(text)
+                known = set(words)
+                continue
+            if (own := items.get(item)) is None:
+                if len(items) >= KEPT_ITEMS:
+                    items.clear()
+                own = items[item] = loose_words(item_text)
+            if may_leak(known, own) and (leak := overlap(words, own, [(h >> 32, h & 0xFFFFFFFF) for h in hits])):
                 out.append((doc, item, *leak))
         columns = zip(*out, strict=True) if out else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -385,13 +394,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER
     so that a scan of the documents leaves only those with a seed that may be an
     item's; their seeds alone are shuffled, a seed's documents over SALTS parts.
     Documents and items that share a seed are verified pair by pair around all
-    their hits. Items of one text are one item until the end.
+    their hits, document by document, each text once. Items of one text are one
+    item until the end.
     """
     cleaned = cut(without_instructions(items).withColumn("digest", F.sha2("text", 256)))
     distinct = cleaned.where("text <> ''").groupBy("digest").agg(F.min("item_id").cast("long").alias("item"), F.first("text").alias("text"))
     members = cleaned.select("item_id", "digest").join(distinct.select("digest", "item"), "digest").select("item", "item_id")
     distinct = cut(distinct.select("item", "text"))
-    seeds = cut(spread(distinct).mapInArrow(_item_seeds, "item long, seed long, length int"))
+    seeds = cut(spread(distinct).mapInArrow(_item_seeds, "item long, seed long, q long, length int"))
     lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # of 1 to 4
     masks = [m for n in lengths for m in (MASKS if n == 4 else [tuple(range(n))])]
     bits, filled = seed_filter(seeds, filter_bits)
@@ -401,25 +411,31 @@ def find_leaks(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER
         has = shared.value
         for b in batches:
             ids, owner = _hashed(b.column("text").to_pylist())
-            own, seed = seeds_of(ids, owner, masks)
+            at, seed = seeds_of(ids, owner, masks)
             one, two = _places(seed, bits)
             may = np.flatnonzero((has[one >> 3] >> (one & 7).astype(np.uint8)) & (has[two >> 3] >> (two & 7).astype(np.uint8)) & 1)
-            own, seed = own[may], seed[may].view(np.int64)
-            order = np.lexsort((seed, own))
-            own, seed = own[order], seed[order]
-            first = np.append(True, (own[1:] != own[:-1]) | (seed[1:] != seed[:-1])) if len(own) else np.empty(0, bool)
-            own, seed = own[first], seed[first]
+            at, seed = at[may], seed[may].view(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, seed = at[order], seed[order]
+            begins = np.append(0, np.cumsum(np.bincount(owner, minlength=b.num_rows)))
+            own = owner[at] if len(at) else at
             rows, start = np.unique(own, return_index=True)
-            found = pa.ListArray.from_arrays(pa.array(np.append(start, len(own)), pa.int32()), pa.array(seed))
+            bounds = pa.array(np.append(start, len(own)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (seed, at - begins[own] if len(at) else at)]
             taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(taken), b.column("text").take(taken), found], names=["doc_id", "text", "seeds"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(taken), b.column("text").take(taken), *lists], names=["doc_id", "text", "seeds", "places"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     # Written once, so that the rows' numbers are the same whenever they are read.
-    kept = cut(spread(texts).mapInArrow(scan, "doc_id long, text string, seeds array<long>")).withColumn("key", F.monotonically_increasing_id())
-    hits = kept.select("key", F.explode("seeds").alias("seed"), F.expr(f"pmod(xxhash64(key), {SALTS})").alias("salt"))
-    parts = seeds.select("item", "seed").distinct().withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    pairs = hits.join(parts, ["seed", "salt"]).select("key", "item").distinct()
-    whole = pairs.join(kept.select("key", "doc_id", "text"), "key").join(distinct.select("item", F.col("text").alias("item_text")), "item")
-    found = spread(whole, always=True).sortWithinPartitions("key").mapInArrow(_verify, "doc_id long, item long, words int, errors int, at int")
+    kept = cut(spread(texts).mapInArrow(scan, "doc_id long, text string, seeds array<long>, places array<long>")).withColumn("key", F.monotonically_increasing_id())
+    hits = kept.select("key", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("key", F.col("h.seeds").alias("seed"), F.col("h.places").alias("p"), F.expr(f"pmod(xxhash64(key), {SALTS})").alias("salt"))
+    parts = seeds.select("item", "seed", "q").withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    place = F.shiftleft(F.col("p"), 32).bitwiseOR(F.col("q"))
+    pairs = cut(hits.join(parts, ["seed", "salt"]).groupBy("key", "item").agg(F.collect_set(place).alias("hits")))
+    none = F.lit(None)
+    wanted = kept.join(pairs.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "text", none.cast("long").alias("item"), none.cast("string").alias("item_text"), none.cast("array<long>").alias("hits"))
+    asked = pairs.join(distinct.withColumnRenamed("text", "item_text"), "item").select("key", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "item", "item_text", "hits")
+    tasks = parallelism(documents.sparkSession)
+    ordered = wanted.unionByName(asked).repartition(tasks, "key").sortWithinPartitions("key", F.col("item").asc_nulls_first())
+    found = ordered.mapInArrow(_verify, "doc_id long, item long, words int, errors int, at int")
     return found.join(members, "item").select("doc_id", "item_id", "words", "errors", "at")
