@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, seed_of
 
-#: A component with more than total / HEAVY rows is placed before all others; there are fewer than HEAVY of them.
+#: A component with more than total / HEAVY rows has a level of its own, the first; there are fewer than HEAVY of them.
 HEAVY = 2_000
-#: Components that one task places.
-BLOCK = 20_000
-#: Labels that take part in the stratification; the table of their totals is sent to all tasks.
-LABELS = 64
+#: Components that one task places, and the labels for which that holds; with more labels a task places fewer.
+BLOCK, LABELS = 20_000, 64
 
 
 def name_key(name: Column) -> Column:
@@ -129,50 +127,63 @@ def assign_splits(members: DataFrame, labels: DataFrame, targets: DataFrame, see
     (split_name, target_share), shares that add up to 1 (null counts as 0, a
     split without a name isn't one, of a repeated one the largest share counts).
 
-    Label vectors are summed by component before any is placed. Components
-    with more than 1/HEAVY of all rows, fewer than HEAVY, are placed first in
-    one task. What each split still lacks is then shared out over blocks of
-    about BLOCK components by hash, which are placed side by side. Labels
-    beyond the LABELS most frequent ones count as one.
+    Label vectors are summed by component before any is placed, over all labels.
+    Placement has two levels, each by grouped iterative stratification. In the
+    first, one task places the components with more than 1/HEAVY of all rows
+    (fewer than HEAVY) against the targets, as no share of a block could take
+    one. What each split then lacks of each label is shared out over blocks of
+    about BLOCK components by hash, which are placed side by side. The
+    outstanding counts of a label reach a block by a join; nothing that grows
+    with the labels or components is collected or broadcast.
     """
     shares = sorted((r["split_name"], float(r["target_share"] or 0)) for r in targets.where("split_name IS NOT NULL").groupBy("split_name").agg(F.max("target_share").alias("target_share")).limit(1_001).collect())
     if len(shares) > 1_000:
         raise ValueError("more than 1000 splits")
-    names, share = [s for s, _ in shares], np.array([x for _, x in shares])
+    names, share = [s for s, _ in shares], [x for _, x in shares]
     schema = "component string, rows long, split_name string"
     spark = members.sparkSession
     if not names:
         return spark.createDataFrame([], schema)
-    tagged = members.select("row", "component").join(labels.select("row", "label"), "row").groupBy("component", "label").agg(F.count("*").alias("n"))
-    top = [r["label"] for r in tagged.where("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
-    at = {x: i for i, x in enumerate(top)}
-    place = F.create_map(*[F.lit(x) for pair in at.items() for x in pair]) if at else F.create_map().cast("map<string,int>")
-    count = [F.sum(F.when(F.col("at") == i, F.col("n")).otherwise(0)).alias(f"l{i}") for i in range(len(at) + 1)]
-    vectors = cut(tagged.withColumn("at", F.coalesce(F.try_element_at(place, "label"), F.lit(len(at)))).groupBy("component").agg(*count, F.sum("n").alias("rows")))
-    columns = [f"l{i}" for i in range(len(at) + 1)]
-    sums = vectors.agg(F.count("*").alias("components"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
-    total = np.array([sums[c] for c in columns], dtype=float)
-    limit = total.sum() / HEAVY
-    want = np.outer(share, total)
-
-    def put(pdf: pd.DataFrame, outstanding: np.ndarray, *parts: object) -> pd.DataFrame:
-        pdf = pdf.sort_values("component").reset_index(drop=True)
-        rng = np.random.default_rng(seed_of(seed, *parts))
-        to = stratify(pdf[columns].to_numpy(float), outstanding.copy(), rng)
-        return pd.DataFrame({"component": pdf["component"], "rows": pdf["rows"], "split_name": [names[s] for s in to]})
-
-    heavy = cut(vectors.where(F.col("rows") > limit).withColumn("block", F.lit(0)).groupBy("block").applyInPandas(lambda pdf: put(pdf, want, "heavy"), schema))
-    taken = heavy.join(vectors.select("component", *columns), "component").groupBy("split_name").agg(*[F.sum(c).alias(c) for c in columns])
-    rest = want.copy()
-    for r in taken.collect():  # a row for each split
-        rest[names.index(r["split_name"])] -= np.array([r[c] for c in columns], dtype=float)
-    blocks = max(1, -(-int(sums["components"]) // BLOCK))
+    tagged = cut(members.select("row", "component").join(labels.select("row", "label"), "row").groupBy("component", F.col("label").cast("string").alias("label")).agg(F.count("*").alias("n")))
+    sizes = tagged.groupBy("component").agg(F.sum("n").alias("rows"))
+    totals = tagged.groupBy("label").agg(F.sum("n").alias("there"))
+    sums = sizes.agg(F.count("*").alias("components"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    wide = max(1.0, totals.count() / LABELS)
+    limit = sums["rows"] / max(len(names), HEAVY / wide)
+    sized = tagged.join(sizes, "component")
+    same_label = lambda a, b: F.col(f"{a}.label").eqNullSafe(F.col(f"{b}.label"))
+
+    def put(pdf: pd.DataFrame, outstanding: np.ndarray, component: np.ndarray, which: pd.Index, label: np.ndarray, *parts: object) -> pd.DataFrame:
+        vectors = np.zeros((len(which), label.max() + 1))
+        np.add.at(vectors, (component, label), pdf["n"].to_numpy(float))
+        to = stratify(vectors, outstanding, np.random.default_rng(seed_of(seed, *parts)))
+        return pd.DataFrame({"component": which, "rows": vectors.sum(axis=1).astype("int64"), "split_name": [names[s] for s in to]})
+
+    def coded(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, pd.Index, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values(["component", "label"], na_position="first", kind="stable").reset_index(drop=True)
+        component, which = pd.factorize(pdf["component"])
+        label, _ = pd.factorize(pdf["label"], use_na_sentinel=False)
+        _, first = np.unique(label, return_index=True)
+        return pdf, component, which, label, first
+
+    def first_level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, component, which, label, first = coded(pdf)
+        return put(pdf, np.outer(share, pdf["there"].to_numpy(float)[first]), component, which, label, "heavy")
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[columns].to_numpy(float).sum(axis=0)
-        light = np.maximum(rest, 0)
-        per = light / np.maximum(light.sum(axis=0), 1e-9)  # how the splits share what is left of each label
-        return put(pdf, per * own, *key)
-
-    light = vectors.where(F.col("rows") <= limit).withColumn("block", F.expr(f"pmod(xxhash64(component, {seed}L), {blocks}L)"))
-    return heavy.unionByName(light.groupBy("block").applyInPandas(block, schema))
+        pdf, component, which, label, first = coded(pdf)
+        lacking = np.stack(pdf["lacking"].to_numpy()[first]).T
+        own = np.bincount(label, weights=pdf["n"].to_numpy(float))
+        return put(pdf, lacking / np.maximum(lacking.sum(axis=0), 1e-9) * own, component, which, label, *key)
+
+    heavy = sized.where(F.col("rows") > limit).alias("a").join(totals.alias("b"), same_label("a", "b")).select("a.component", "a.label", "a.n", "b.there", F.lit(0).alias("block"))
+    placed = cut(heavy.groupBy("block").applyInPandas(first_level, schema))
+    taken = tagged.join(placed.select("component", "split_name"), "component").groupBy("label", "split_name").agg(F.sum("n").alias("n"))
+    taken = taken.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("split_name", "n"))).alias("taken"))  # an entry for each split
+    got = [F.coalesce(F.try_element_at("taken", F.lit(x)), F.lit(0)) for x in names]
+    lacking = F.array(*[F.greatest(F.lit(x) * F.col("there") - g, F.lit(0.0)) for x, g in zip(share, got, strict=True)])
+    rest = totals.alias("a").join(taken.alias("b"), same_label("a", "b"), "left").select("a.label", lacking.alias("lacking"))
+    blocks = max(1, int(-(-sums["components"] * wide // BLOCK)))
+    light = sized.where(F.col("rows") <= limit).withColumn("block", F.expr(f"pmod(xxhash64(component, {seed}L), {blocks}L)"))
+    light = light.alias("a").join(rest.alias("b"), same_label("a", "b")).select("a.component", "a.label", "a.n", "b.lacking", "a.block")
+    return placed.unionByName(light.groupBy("block").applyInPandas(block, schema))

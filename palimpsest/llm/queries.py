@@ -41,7 +41,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "parametric_eval_records")
-    return split_overlap.overlap_report(records, split_overlap.overlaps(records))
+    return split_overlap.overlap_report(records, split_overlap.overlap_classes(records))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, train, key, links): each record that can be compared, its class of equal texts and its number of links."""
+    return split_overlap.overlap_classes(table(spark, folder, "parametric_eval_records"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +79,22 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return members.join(placed, "component").select(F.col("row").alias("row_id"), "split_name")
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(split_name, target_share, met, torn): whether the split's rows are off its share by no more than one per cent and the largest component, and how many keys other splits have too."""
+    members, nodes = _ties(spark, folder)
+    members = cut(members)
+    labels = table(spark, folder, "parametric_eval_records").select(F.col("row_id").alias("row"), task_type(F.col("record.metadata.task_type")).alias("label"))
+    targets = table(spark, folder, "split_targets")
+    placed = cut(group_split.assign_splits(members, labels, targets))
+    rows = placed.groupBy("split_name").agg(F.sum("rows").alias("rows"))
+    whole = placed.agg(F.sum("rows").alias("whole"), F.max("rows").alias("largest"))  # one row
+    of_key = nodes.join(placed, "component").groupBy("node").agg(F.min("split_name").alias("split_name"), F.max("split_name").alias("other"))
+    torn = of_key.where("split_name <> other").groupBy("split_name").agg(F.count("*").alias("torn"))
+    off = F.abs(F.coalesce("rows", F.lit(0)) - F.col("target_share") * F.col("whole"))
+    report = targets.join(rows, "split_name", "left").join(torn, "split_name", "left").crossJoin(F.broadcast(whole))
+    return report.select("split_name", "target_share", (off <= F.col("largest") + 0.01 * F.col("whole")).alias("met"), F.coalesce("torn", F.lit(0)).cast("long").alias("torn"))
+
+
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     items = chunking.text_items(table(spark, folder, "contextual_eval_records"), table(spark, folder, "parametric_eval_records"))
     return chunking.split_oversized(items, table(spark, folder, "size_limits"))

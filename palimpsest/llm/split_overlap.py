@@ -6,7 +6,9 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ from palimpsest.llm.fold import loose_words, table_form
 from palimpsest.llm.group_split import name_key
 from palimpsest.llm.pair_defects import asked_in
 
-#: Word edits between two questions, at most this share of the words of one.
-WORD_EDITS, EDITED_SHARE = 6, 0.4
-#: Pairs that one segment may give before it is refined by rare words, and words known as frequent for that.
-HOT_PAIRS, FREQUENT_WORDS = 250_000, 10_000
+#: Word edits between two questions: this share of the first words of one, and one more for so many further words.
+EDITED_SHARE, FIRST_WORDS, WORDS_FOR_EDIT = 0.4, 15, 50
+#: Pairs from which on a segment counts as hot and is refined by rare words, and the parts into which a refined one is split.
+HOT_PAIRS, SALTS = 250_000, 8
 #: Share of an answer's words that may be edited, besides misspelled ones.
 ANSWER_EDITS = 0.1
 
@@ -73,7 +75,7 @@ def bare_words(text: str | None) -> list[str]:
 
 def edits_for(n: int) -> int:
     """Word edits allowed for a question of n words."""
-    return max(1, min(WORD_EDITS, int(EDITED_SHARE * n)))
+    return max(1, int(EDITED_SHARE * min(n, FIRST_WORDS)) + max(0, n - FIRST_WORDS) // WORDS_FOR_EDIT)
 
 
 def changes_for(n: int) -> int:
@@ -81,6 +83,14 @@ def changes_for(n: int) -> int:
     return 2 * edits_for(n)
 
 
+def most_changes(m: int) -> int:
+    """Changed words against the longest question that one of m words may come from."""
+    n = m
+    while n + 1 - edits_for(n + 1) <= m:
+        n += 1
+    return changes_for(n)
+
+
 def segments(words: Sequence[str], k: int) -> list[tuple[int, list[str]]]:
     """(start, words) of the k + 1 segments, of nearly equal length, the shorter ones first."""
     n = len(words)
@@ -217,34 +227,41 @@ def prepared(records: DataFrame) -> DataFrame:
     return spread(rows).mapInArrow(_prepare, "row_id long, train boolean, block string, question string, answer string")
 
 
+def _key_of(block: str, n: int, s: int, part: Sequence[str]) -> int:
+    """A hash of 64 bits of a segment in its block; a chance hit fails in the verification."""
+    return xxhash.xxh64_intdigest(f"{block}|{n}|{s}|{' '.join(part)}")
+
+
 def _eval_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
+        keys, found = [], []
         for key, block, question in zip(*[b.column(c).to_pylist() for c in ("key", "block", "question")], strict=True):
             words = question.split(" ")
-            for s, (_, part) in enumerate(segments(words, changes_for(len(words)))):
-                out.append((key, f"{block}|{len(words)}|{s}|{' '.join(part)}"))
-        yield _keys(out)
+            own = {_key_of(block, len(words), s, part) for s, (_, part) in enumerate(segments(words, changes_for(len(words))))}
+            keys += [key] * len(own)
+            found += own
+        yield _keys(keys, found)
 
 
 def _train_substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
         for key, block, question, lengths in zip(*[b.column(c).to_pylist() for c in ("key", "block", "question", "lengths")], strict=True):
             words = question.split(" ")
             m = len(words)
+            own: set[int] = set()
             for n in lengths:
                 k, changes = edits_for(n), changes_for(n)
                 if abs(m - n) > k:
                     continue
                 for s, (start, part) in enumerate(segments([""] * n, changes)):
-                    for p in places(n, m, changes, s, start, len(part), k):
-                        out.append((key, f"{block}|{n}|{s}|{' '.join(words[p : p + len(part)])}"))
-        yield _keys(list(set(out)))
+                    size = len(part)
+                    own.update(_key_of(block, n, s, words[p : p + size]) for p in places(n, m, changes, s, start, size, k))
+            if own:
+                yield _keys([key] * len(own), list(own))
 
 
-def _keys(out: list[tuple[str, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], names=["key", "seg"])
+def _keys(keys: list[str], found: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["key", "h"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,48 +274,86 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("ta").take(pa.array(keep, pa.int32())), b.column("tb").take(pa.array(keep, pa.int32()))], names=["ta", "tb"])
 
 
-def rare_words(words: Sequence[str], k: int, counts: dict[str, int]) -> list[str]:
-    """The k + 1 rarest words of a question, repetitions numbered.
-
-    Two questions within k changed words share all but k of the longer one's, so
-    they share one of these. Words that aren't counted are rarer than all others.
-    Questions of one or two words may share none; the empty word joins them.
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each question, repetitions numbered, with how many of them its prefix has."""
+    for b in batches:
+        keys, words, takes = [], [], []
+        for key, train, question in zip(*[b.column(c).to_pylist() for c in ("key", "train", "question")], strict=True):
+            own = question.split(" ")
+            seen: dict[str, int] = {}
+            for w in own:
+                seen[w] = seen.get(w, 0) + 1
+                words.append(f"{w}#{seen[w]}")
+            # Questions of one or two words may share none; the empty word joins them.
+            words += [""] * (len(own) <= 2)
+            n = len(own) + (len(own) <= 2)
+            keys += [key] * n
+            takes += [(most_changes(len(own)) if train else changes_for(len(own))) + 1 + (len(own) <= 2)] * n
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(takes, pa.int32())], names=["key", "w", "take"])
+
+
+def rare_words(texts: DataFrame) -> DataFrame:
+    """(train, key, w): the rarest words of each question, one more than may be changed.
+
+    Two questions within c changed words share all but c of the longer one's, so
+    the c + 1 rarest of each have one in common, whatever the counts are. Words
+    are counted over ``texts``; a frequent one is counted and looked up in parts.
     """
-    seen: dict[str, int] = {}
-    numbered = []
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-        numbered.append((counts.get(w, 0), f"{w}#{seen[w]}"))
-    return [w for _, w in sorted(numbered)[: k + 1]] + [""] * (len(words) <= 2)
+    words = cut(texts.select("train", "key", "question").mapInArrow(lambda batches: _numbered(batches), "key string, w string, take int"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    salted = words.withColumn("salt", F.expr(f"pmod(xxhash64(key), {SALTS})")).join(counts, ["w", "salt"])
+    # One list for each text: as many entries as it has words.
+    ordered = salted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("w") == "", F.lit(-1).cast("long")).otherwise(F.col("n")).alias("n"), "w"))).alias("ws"), F.max("take").alias("take"))
+    return ordered.select("key", F.explode(F.slice("ws", F.lit(1), F.col("take"))).alias("x")).select("key", F.col("x.w").alias("w"))
 
 
 def _candidates(left: DataFrame, right: DataFrame, texts: DataFrame, hot_pairs: int) -> DataFrame:
     """(ta, tb) of the texts that share a segment, (tb, h) of ``left`` and (ta, h) of ``right``.
 
     A segment that very many texts have on both sides, as questions of one form
-    about one block do, would give all pairs of a group. Such segments are joined
-    by the segment and one of the 2k + 1 rarest words, which loses no pair.
+    about one block do, would give all pairs of a group. Such hot segments are
+    split by the rare words of their questions, of which any pair has one in
+    common, and each of these over SALTS parts; no pair is lost.
     """
     counts = left.groupBy("h").agg(F.count("*").alias("nl")).join(right.groupBy("h").agg(F.count("*").alias("nr")), "h")
     hot = cut(counts.where(F.col("nl") * F.col("nr") > hot_pairs).select("h"))
     if not hot.take(1):
         return right.join(left, "h").select("ta", "tb").distinct()
     usual = right.join(hot, "h", "left_anti").join(left.join(hot, "h", "left_anti"), "h").select("ta", "tb")
-    words = texts.select(F.explode(F.split("question", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    frequent = {r["w"]: r["n"] for r in words.orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).collect()}
+    sides = [side.join(hot, "h", "left_semi").withColumnRenamed(name, "key") for side, name in ((right, "ta"), (left, "tb"))]
+    mine = [texts.where(F.col("train") == t).join(side.select("key").distinct(), "key", "left_semi") for t, side in zip((True, False), sides, strict=True)]
+    # A text may stand on both sides; each has its own prefix.
+    marked = rare_words(mine[0].unionByName(mine[1]).withColumn("key", F.concat(F.col("key"), F.when(F.col("train"), "+").otherwise("-"))))
+    refined = []
+    for side, name, sign in ((sides[0], "ta", "+"), (sides[1], "tb", "-")):
+        own = marked.where(F.endswith("key", F.lit(sign))).select(F.expr("left(key, length(key) - 1)").alias("key"), "w")
+        refined.append(side.join(own, "key").select(F.col("key").alias(name), F.xxhash64("h", "w").alias("h")))
+    a = refined[0].withColumn("salt", F.expr(f"pmod(xxhash64(ta), {SALTS})"))
+    b = refined[1].withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return usual.unionByName(a.join(b, ["h", "salt"]).select("ta", "tb")).distinct()
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # k is that of the longest partner possible, so that both sides take enough words.
-            found = [rare_words(q.split(" "), 2 * WORD_EDITS, frequent) for q in b.column("question").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("train"), b.column("key"), pa.array(found, pa.list_(pa.string()))], names=["train", "key", "rare"])
 
-    marked = texts.select("train", "key", "question").mapInArrow(rare, "train boolean, key string, rare array<string>")
-    refined = []
-    for side, name, is_train in ((right, "ta", True), (left, "tb", False)):
-        own = marked.where(F.col("train") == is_train).select(F.col("key").alias(name), F.explode("rare").alias("w"))
-        refined.append(side.join(hot, "h", "left_semi").join(own, name).select(name, F.xxhash64("h", "w").alias("h")))
-    return usual.unionByName(refined[0].join(refined[1], "h").select("ta", "tb")).distinct()
+def linked_texts(records: DataFrame, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """(rows, links) of the records that can be compared.
+
+    rows: (row_id, train, key), ``key`` being the class of equal texts in one
+    block; links: (ta, tb) of a train and an evaluation class that say the same,
+    see :func:`overlaps`.
+    """
+    text = F.sha2(F.concat_ws("\x1f", "block", "question", "answer"), 256)
+    rows = cut(prepared(records).withColumn("key", F.substring(text, 1, 32)))
+    texts = cut(rows.groupBy("train", "key").agg(F.first("block").alias("block"), F.first("question").alias("question"), F.first("answer").alias("answer")))
+    held, train = texts.where("NOT train"), texts.where("train")
+    lengths = held.groupBy("block").agg(F.collect_set(F.size(F.split("question", " "))).alias("lengths"))
+    used = train.join(lengths, "block")
+    left = cut(held.select("key", "block", "question").mapInArrow(_eval_segments, "key string, h long")).withColumnRenamed("key", "tb")
+    right = cut(used.select("key", "block", "question", "lengths").mapInArrow(_train_substrings, "key string, h long")).withColumnRenamed("key", "ta")
+    hits = _candidates(left, right, texts, hot_pairs)
+    content = texts.select("train", "key", "question", "answer")
+    a = content.where("train").select(F.col("key").alias("ta"), F.col("question").alias("qa"), F.col("answer").alias("ra"))
+    b = content.where("NOT train").select(F.col("key").alias("tb"), F.col("question").alias("qb"), F.col("answer").alias("rb"))
+    links = hits.join(a, "ta").join(b, "tb").select("ta", "tb", "qa", "ra", "qb", "rb").mapInArrow(_verify, "ta string, tb string")
+    return rows.select("row_id", "train", "key"), cut(links)
 
 
 def overlaps(records: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -318,34 +373,35 @@ def overlaps(records: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     are verified by banded dynamic programming. Equal records are joined once,
     as one text, and expanded at the end; train texts of blocks that no
     evaluation split has are dropped before any substring is made. A segment
-    that would give more than ``hot_pairs`` pairs is refined by rare words.
+    that would give more than ``hot_pairs`` pairs is split by rare words.
     """
-    text = F.sha2(F.concat_ws("\x1f", "block", "question", "answer"), 256)
-    rows = cut(prepared(records).withColumn("key", F.substring(text, 1, 32)))
-    texts = rows.groupBy("train", "key").agg(F.first("block").alias("block"), F.first("question").alias("question"), F.first("answer").alias("answer"))
-    held, train = texts.where("NOT train"), texts.where("train")
-    lengths = held.groupBy("block").agg(F.collect_set(F.size(F.split("question", " "))).alias("lengths"))
-    used = train.join(lengths, "block")
-    left = held.select("key", "block", "question").mapInArrow(_eval_segments, "key string, seg string")
-    right = used.select("key", "block", "question", "lengths").mapInArrow(_train_substrings, "key string, seg string")
-    # The long segment keys are compared by a hash of 64 bits; a chance hit fails in the verification.
-    h = F.xxhash64("seg").alias("h")
-    hits = _candidates(cut(left.select(F.col("key").alias("tb"), h)), cut(right.select(F.col("key").alias("ta"), h)), texts, hot_pairs)
-    content = texts.select("train", "key", "question", "answer")
-    a = content.where("train").select(F.col("key").alias("ta"), F.col("question").alias("qa"), F.col("answer").alias("ra"))
-    b = content.where("NOT train").select(F.col("key").alias("tb"), F.col("question").alias("qb"), F.col("answer").alias("rb"))
-    pairs = hits.join(a, "ta").join(b, "tb").select("ta", "tb", "qa", "ra", "qb", "rb").mapInArrow(_verify, "ta string, tb string")
+    rows, links = linked_texts(records, hot_pairs)
     in_train = rows.where("train").select(F.col("key").alias("ta"), F.col("row_id").alias("train_row"))
     in_eval = rows.where("NOT train").select(F.col("key").alias("tb"), F.col("row_id").alias("eval_row"))
-    return pairs.join(in_train, "ta").join(in_eval, "tb").select("train_row", "eval_row")
+    return links.join(in_train, "ta").join(in_eval, "tb").select("train_row", "eval_row")
+
+
+def overlap_classes(records: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """(row_id, train, key, links) of the records that can be compared: the class of equal texts and the rows of the other side linked to it.
+
+    Links are counted from the sizes of classes; no pair of rows is made.
+    """
+    rows, links = linked_texts(records, hot_pairs)
+    sizes = rows.groupBy("train", "key").agg(F.count("*").alias("n"))
+    counted = []
+    for train, own, other in ((True, "ta", "tb"), (False, "tb", "ta")):
+        of_other = sizes.where(F.col("train") != train).select(F.col("key").alias(other), "n")
+        counted.append(links.join(of_other, other).groupBy(F.col(own).alias("key")).agg(F.sum("n").alias("links")).withColumn("train", F.lit(train)))
+    return rows.join(counted[0].unionByName(counted[1]), ["train", "key"], "left").select("row_id", "train", "key", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def overlap_report(records: DataFrame, pairs: DataFrame) -> DataFrame:
+def overlap_report(records: DataFrame, classes: DataFrame) -> DataFrame:
     """Counts by evaluation split and source_file: (split_name, source_file, rows, overlapping, pairs).
 
-    Every evaluation split and source file has a row, those without an overlap
-    zeros; a null source file is a source of its own.
+    classes as :func:`overlap_classes` gives them. Every evaluation split and
+    source file has a row, those without an overlap zeros; a null source file is
+    a source of its own.
     """
-    by_row = pairs.groupBy(F.col("eval_row").alias("row_id")).agg(F.count("*").alias("n"))
+    by_row = classes.where("NOT train AND links > 0").select("row_id", F.col("links").alias("n"))
     held = records.where("split_name IS NOT NULL AND trim(split_name) <> 'train'").select("row_id", "split_name", "source_file")
     return held.join(by_row, "row_id", "left").groupBy("split_name", "source_file").agg(F.count("*").alias("rows"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))

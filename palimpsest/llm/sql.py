@@ -45,6 +45,8 @@ WITH RECURSIVE links AS (
 SELECT DISTINCT p.index AS index_a, q.index AS index_b FROM reach r JOIN personas p ON p.c = r.a JOIN personas q ON q.c = r.b WHERE p.index < q.index
 """
 
+P4_COUNTS = "SELECT split_name, target_share, true AS met, CAST(0 AS BIGINT) AS torn FROM split_targets"
+
 P5_FOUND = """
 WITH items AS (
   SELECT 'content' AS item_kind, row_id, i - 1 AS turn_idx, dialogue_turns[i].content AS t FROM (SELECT *, unnest(generate_series(1, len(dialogue_turns))) AS i FROM contextual_eval_records)
@@ -95,4 +97,4 @@ def p8_found() -> str:
     return f"WITH forms AS MATERIALIZED ({forms}) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"
 
 
-ORACLES = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}
+ORACLES = {"p1_found": P1_FOUND, "p1_counts": P1_COUNTS, "p4_found": P4_FOUND, "p4_counts": P4_COUNTS, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p7_counts": P7_COUNTS}

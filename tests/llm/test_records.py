@@ -42,8 +42,10 @@ def test_overlaps(spark):
     df = spark.createDataFrame(rows, RECORD)
     pairs = split_overlap.overlaps(df)
     assert {tuple(r) for r in pairs.collect()} == {(1, 2), (6, 2), (1, 5), (6, 5), (13, 12)}
-    report = {(r["split_name"]): (r["rows"], r["overlapping"], r["pairs"]) for r in split_overlap.overlap_report(df, pairs).where("source_file = 'f'").collect()}
+    report = {(r["split_name"]): (r["rows"], r["overlapping"], r["pairs"]) for r in split_overlap.overlap_report(df, split_overlap.overlap_classes(df)).where("source_file = 'f'").collect()}
     assert report == {"eval_seen": (5, 2, 3), "eval_unseen": (2, 1, 2)}
+    links = {r["row_id"]: (r["train"], r["links"]) for r in split_overlap.overlap_classes(df).where("links > 0").collect()}
+    assert links == {1: (True, 2), 6: (True, 2), 13: (True, 1), 2: (False, 2), 5: (False, 2), 12: (False, 1)}
     assert {tuple(r) for r in split_overlap.overlaps(df, hot_pairs=0).collect()} == {tuple(r) for r in pairs.collect()}
     assert split_overlap.overlaps(df.limit(0)).count() == 0
 
@@ -88,6 +90,8 @@ def test_misspelled_words_lose_no_pair(spark, hot_pairs):
         ("lantern market", "lanttern markket"),
         ("one two three four five " + long, "vv ww xx yy zz " + long.replace("hotel", "hottel").replace("limas", "limmas")),
         (long, long.replace("a", "aa").replace("o", "oo")),
+        (" ".join(f"word{i}" for i in range(400)), " ".join(f"word{i}" if i % 31 else "zz" for i in range(400))),
+        (" ".join(f"word{i}" for i in range(400)), " ".join(f"word{i}" if i % 28 else "zz" for i in range(400))),
     ]
     rng = random.Random(5)
     words = long.split()
@@ -101,7 +105,7 @@ def test_misspelled_words_lose_no_pair(spark, hot_pairs):
         x, y = split_overlap.bare_words(b), split_overlap.bare_words(a)
         if split_overlap.question_edits(x, y, split_overlap.edits_for(len(x))) <= split_overlap.edits_for(len(x)):
             want.add((2 * i, 2 * i + 1))
-    assert {(0, 1), (4, 5), (6, 7), (8, 9)} <= want and len(want) > 40
+    assert {(0, 1), (4, 5), (6, 7), (8, 9)} <= want and len({(12, 13), (14, 15)} & want) == 1 and len(want) > 40
     assert {tuple(r) for r in split_overlap.overlaps(spark.createDataFrame(rows, RECORD), hot_pairs=hot_pairs).collect()} == want
 
 
@@ -223,6 +227,18 @@ def test_even_groups_meet_the_targets(spark):
     assert abs(got["train"] - 2_400) < 60 and abs(got["test"] - 300) < 60 and abs(got["validation"] - 300) < 60
 
 
+def test_many_labels_and_a_heavy_component(spark):
+    """More labels than LABELS each keep their shares; one component holds a third of the rows."""
+    rows = [(i, "heavy" if i // 90 % 3 == 0 else str(i // 5), f"l{i % 90}") for i in range(18_000)]
+    df = spark.createDataFrame(rows, "row long, component string, label string")
+    targets = spark.createDataFrame([("train", 0.6), ("test", 0.4)], "split_name string, target_share double")
+    placed = group_split.assign_splits(df.select("row", "component"), df.select("row", "label"), targets).cache()
+    got = {r["split_name"]: r["n"] for r in placed.groupBy("split_name").agg(F.sum("rows").alias("n")).collect()}
+    assert abs(got["train"] - 10_800) < 300 and sum(got.values()) == 18_000
+    by_label = df.join(placed, "component").groupBy("label").agg(F.mean(F.when(F.col("split_name") == "train", 1.0).otherwise(0.0)).alias("share")).collect()
+    assert len(by_label) == 90 and all(abs(r["share"] - 0.6) < 0.1 for r in by_label)
+
+
 @given(st.text(alphabet="ab  .\n。́x", max_size=400), st.integers(2, 60), st.data())
 @settings(max_examples=300, deadline=None)
 def test_pieces(text, limit, data):
