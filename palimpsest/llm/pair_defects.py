@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import spread
+from palimpsest.llm.common import cut, spread
 from palimpsest.llm.fold import loose_words, plain_form
 
 #: Share of an answer's words that tiles of the question or prompt must cover, and of the question's that they use.
@@ -19,6 +19,10 @@ COPIED, COPIED_FROM = 0.85, 0.8
 TILE = 3
 #: Function words that an answer's language needs, and by how many they must exceed those of the question's language.
 WORDS_OF_LANGUAGE, AHEAD = 2, 2
+#: Words of an answer from which on an end without a mark is looked at, and letters of a broken word.
+LEAST_WORDS, LEAST_LETTERS = 4, 1
+#: Broken words that all tasks get; more are joined by a shuffle.
+FEW_WORDS = 100_000
 #: Words of an answer so short that one function word is enough, if none is of the question's language.
 SHORT_ANSWER = 6
 
@@ -31,7 +35,7 @@ STAND_INS = set(
 LANGUAGE_WORDS = {
     "en": "the of and was were is are it that which who whose with for from had has have been because this they she he his her their there at by what when where why how did does not into after before about took in no only as to so an then both i you we me my your him them us our am do will would can could should may might must if or but than some any all each other out up down over under again very just through until while during every still also own got get went came made said kept on a met men door",
     "de": "der die das und ist war waren nicht ein eine einen einem einer mit von zu zum zur auf für hat hatte haben weil dass den dem des im wo wer wie warum wann nach bei auch erst noch niemand wollte sehr es sich wurde als aus um kein keine keinen viele tage welche wird sie er ich wir ihr ihre ihren ihrem ihrer mein meine sein seine seinen seinem seiner unser unsere aber oder wenn dann doch nur schon hier dort dieser diese dieses diesen diesem jeder jede alle etwas nichts über unter zwischen durch gegen ohne bis seit während wegen vor hinter neben ob obwohl damit kann können konnte muss musste werden worden wurden sind habe hatten beim vom ins ihn ihm ihnen uns mich dich mehr immer wieder zusammen gegenüber",
-    "fr": "le les des du et est était étaient une dans pour avec qui que qu où quand pourquoi comment au aux sur pas ne ce cette ces il elle ils elles son sa ses leur parce après avant chez été toujours personne combien jours très déjà travaillait vieille la de un en je tu nous vous mes tes nos vos notre votre lui leurs ont avait avaient sont suis être avoir mais donc sous sans entre vers depuis pendant contre cet celui celle ceux puis alors aussi encore tout tous toute toutes même fut furent rien car jamais ensemble",
+    "fr": "à le les des du et est était étaient une dans pour avec qui que qu où quand pourquoi comment au aux sur pas ne ce cette ces il elle ils elles son sa ses leur parce après avant chez été toujours personne combien jours très déjà travaillait vieille la de un en je tu nous vous mes tes nos vos notre votre lui leurs ont avait avaient sont suis être avoir mais donc sous sans entre vers depuis pendant contre cet celui celle ceux puis alors aussi encore tout tous toute toutes même fut furent rien car jamais ensemble",
     "es": "el los las y fue era eran una para con que por qué dónde cuándo cómo del al no su sus lo porque después antes había hasta días cuántos muy nadie nada esta este en la de un dejó compró también yo tú él ella ellos ellas nosotros mi mis tu tus le les se me nos pero sin sobre entre desde hacia durante contra cuando donde como si ya más todo todos toda todas otro otra ese esa eso estos estas han he habían son soy fueron ser estar estaba estaban siempre nunca juntos o",
     "it": "il lo gli che di della del nella nel per con non è era una uno perché dopo prima anche sono stato dove quando come molto più giorni nessuno questo questa io lei lui noi loro mio mia suo sua suoi i le un al alla dal dalla dei delle degli sul sulla tra fra ma se già sempre mai tutto tutti ha hanno aveva avevano erano stata stati fu senza così ed",
     "pt": "o os as que não uma um para com por do da dos das no na em foi era porque depois antes também muito mais dias ninguém onde quando como este esta eu ele ela eles elas nós meu minha seu sua seus suas lhe ao à às pelo pela mas sem sobre entre até desde já sempre nunca tudo todos tem têm tinha foram ser estava estavam são isso isto",
@@ -48,7 +52,8 @@ LANGUAGE_WORDS = {
 }
 _WORDS_OF = {w: [x for x, ws in LANGUAGE_WORDS.items() if w in ws.split()] for ws in LANGUAGE_WORDS.values() for w in ws.split()}
 # Words of these lists that stand in names, or in texts of other languages, too.
-PARTICLES = set("met war hat die men man door car care come son sin sole dove prima comment pendant ensemble encore min con mis mod mot nu non pan pas pod prin per ser sans sedan sur tai tam tot till van var volt wie worden hen her han hans har hep hon hun fra er era est ed ha dan dar dal dem des ben bis bin bo ale alla ami au cum il im ja jos kan lo lei lui lett lor ma mas mes mi mia mio mit na ne ni nos ob od om op os pe pelo po qu sa sen si su ta te ti til tu um un ve vi wo ya yo ze kun ole oman juntos idi ise ile de del della di da das do dos du des la le les el los las al van von der den ter ten zu y e o a i en ibn bin st et per via pro no on me so is at to in an am do she he be we us".split())
+PARTICLES = set("met war hat die men man door car care come son sin sole dove prima comment pendant ensemble encore min con mis mod mot nu non pan pas pod prin per ser sans sedan sur tai tam tot till van var volt wie worden hen her han hans har hep hon hun fra er era est ed ha dan dar dal dem des ben bis bin bo ale alla ami au cum il im ja jos kan lo lei lui lett lor ma mas mes mi mia mio mit na ne ni nos ob od om op os pe pelo po qu sa sen si su ta te ti til tu um un ve vi wo ya yo ze kun ole oman juntos idi ise ile de del della di da das do dos du des la le les el los las al van von der den ter ten zu y e o a i à en ibn bin st et per via pro no on me so is at to in an am do she he be we us".split())
+ENGLISH = {w for w in LANGUAGE_WORDS["en"].split() if w not in PARTICLES}
 # Letters that only some of these languages have.
 LANGUAGE_LETTERS = {"ß": "de", "ñ": "es", "¿": "es", "¡": "es", "ł": "pl", "ą": "pl", "ę": "pl", "ż": "pl", "ź": "pl", "ś": "pl", "ø": "da", "ã": "pt", "õ": "pt", "ğ": "tr", "ı": "tr", "ř": "cs", "ě": "cs", "ů": "cs"}
 # Words that don't end a statement.
@@ -71,6 +76,8 @@ _NEEDS = re.compile(r"[`*_<\"“”„«»「」『』()\[\]{}（）［］【】
 _QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』")
 _LABEL = re.compile(r"^\W*(?:(?:the\s+)?(?:final\s+)?(?:answer|response|output|reply|antwort|réponse|respuesta)(?:\s+is)?\s*[:：]\s*)+", re.I)
 _FRAME = re.compile(r"^\W*(?:(?:you|i was)\s+asked|(?:the\s+|your\s+|my\s+)?(?:question|query|prompt|instruction|task|frage|pregunta)(?:\s+(?:is|was|reads))?|q)\s*[:：]\s*", re.I)
+#: A clause that begins with a conjunction and has no more than what it speaks of.
+_HALF_CLAUSE = re.compile(r"\b(?:because|although|though|whereas|unless|whenever|weil|obwohl|dass|parce\s+que|parce\s+qu['’]|porque|aunque)\s*(?:(?:the|a|an|his|her|their|its|my|our|your|der|die|das|ein|eine|seine?|ihre?|le|la|les|un|une|sa|son|ses|el|los|las|una|su|sus)\s+)?[^\W\d_]+$", re.I)
 _BARE_ITEM = re.compile(r"(?:^|\n)\s*(?:[-*•]|\d{1,3}[.)])\s*$")
 _END = re.compile(r"[.!?。！？…\"'”’»」』）)\]】}*`>]$")
 _OPEN_END = re.compile(r"(?:[,;:/&+=(\[{<–—\-、，；：]|\.\.\.|…)$")
@@ -98,8 +105,25 @@ _DECLINE = (
 )
 # How an answer in a script of its own declines.
 REFUSALS_ELSEWHERE = ("お答えできません", "答えられません", "回答できません", "无法回答", "不能回答")
-_REFUSAL = re.compile(rf"^\W*{_OPENING}{_DECLINE}", re.I)
-_MAY_REFUSE = re.compile(r"\b(?:i|we|my|me|ich|je|j|il|no|non|não|не|меня|nie|aucune|prefiero|debo)\b", re.I)
+# Further sentences that decline, put together from who speaks, what is denied, what is not done and to what.
+_NOT = r"(?:not|n't|never|hardly)"
+_ACT = r"(?:answer|help|assist|provide|share|comply|discuss|respond|reply|disclose|reveal|comment|speak|talk|address|weigh\s+in|go\s+into|get\s+into|say|tell|give\s+out|look\s+up|retrieve|verify|determine)"
+_MATTER = r"(?:(?:this|that|it|such|these|those)(?:\s+(?:question|request|query|matter|topic|subject|information|detail|details|kind\s+of\s+\w+|sort\s+of\s+\w+))?|the\s+(?:question|request|query|answer|information|details?|topic|subject)(?:\s+(?:you|that|requested|asked)[^.]{0,30}?)?)"
+_RULES = r"(?:guidelines?|policy|policies|instructions?|programming|rules?|training|principles|settings|design|restrictions)"
+_KNOWLEDGE = r"(?:information|knowledge|context|details?|data|facts?|access|means|ability|permission|authority|records?|memory|background|expertise)"
+_OTHERWISE = (
+    rf"(?:{_MATTER}\s*(?:is|are|was|'s)\s*{_NOT}\s+(?:something|anything|a\s+\w+|one)\s+(?:that\s+)?{_I}(?:can|could|am\s+able\s+to|will|would|may|want\s+to|wish\s+to|feel)\b"
+    rf"|{_MATTER}\s*(?:is|are|'s|lies?|falls?)\s*(?:simply\s+|currently\s+|just\s+)?(?:(?:{_NOT}\s+)(?:available|accessible|known|visible|possible)|unavailable|inaccessible|unknown|hidden|off\s+limits)\s+(?:to|for)\s+(?:me|us)\b"
+    rf"|{_MATTER}\s*(?:is|are|'s|lies?|falls?|goes)\s+(?:well\s+)?(?:outside|beyond)\s+(?:of\s+)?(?:my|our|what\s+(?:i|we))\b"
+    rf"|(?:my|our)\s+{_RULES}\s+(?:(?:do|does|will|would|can)\s*{_NOT}\s+(?:allow|let|permit)|(?:can)?not\s+(?:allow|let|permit)|prevents?|forbids?|prohibits?|bars?|keeps?|stops?|restricts?|disallows?|rules?\s+(?:this|that|it)\s+out)\b"
+    rf"|{_I}(?:simply\s+|currently\s+|just\s+)?(?:lack|am\s+(?:lacking|missing|without)|'m\s+(?:lacking|missing|without))\s+(?:the\s+|any\s+|enough\s+|sufficient\s+|that\s+|this\s+)?(?:\w+\s+)?{_KNOWLEDGE}\b"
+    rf"|{_I}(?:must|should|will|'ll|'d|would|have\s+to|need\s+to|am\s+going\s+to|'m\s+going\s+to|'m|am)?\s*(?:have\s+to\s+|need\s+to\s+|respectfully\s+|better\s+)?(?:pass|passing|skip|abstain|abstaining|sit)\s+(?:on\s+|from\s+)?(?:here|this|that|it|answering|this\s+one|out)\b"
+    rf"|{_I}(?:do\s+not|don't|will\s+not|won't|would\s+not|wouldn't)\s+(?:\w+\s+)?(?:wish|want|intend|plan|care)\s+to\s+{_ACT}\b"
+    rf"|{_I}(?:am|'m|have\s+been|was)\s+(?:{_NOT}\s+)?(?:forbidden|prohibited|barred|restricted|instructed\s+{_NOT}|told\s+{_NOT}|permitted|authori[sz]ed|in\s+a\s+position|equipped|designed|programmed)\s+(?:to\s+|from\s+)?{_ACT}"
+    r"|no\s+comment\W*$|no\s+can\s+do\b|(?:you(?:'ll|\s+will)\s+(?:have|need)\s+to|please)\s+(?:ask|consult)\s+(?:someone|somebody|another|anyone)\s+else\b)"
+)
+_REFUSAL = re.compile(rf"^\W*{_OPENING}(?:{_DECLINE}|{_OTHERWISE})", re.I)
+_MAY_REFUSE = re.compile(r"\b(?:i|we|my|me|us|our|no\s+comment|no\s+can|someone|somebody|ich|je|j|il|no|non|não|не|меня|nie|aucune|prefiero|debo)\b", re.I)
 
 
 def unfinished(text: str) -> bool:
@@ -273,12 +297,14 @@ def other_language(question: str, answer: str) -> bool:
     words = re.findall(r"[^\W\d_]+", answer)
     if a != q and len(words) <= SHORT_ANSWER and not in_a.get(q) and in_q[q] >= WORDS_OF_LANGUAGE:
         # Capitalized words may be names.
+        if q == "en" and any(w.islower() and not w.isascii() and w not in question.lower() for w in words) and not any(w in ENGLISH for w in words):
+            return True
         return in_a[a] >= WORDS_OF_LANGUAGE or any(w.islower() and w not in PARTICLES and a in _WORDS_OF.get(w, ()) for w in words)
     return a != q and in_a[a] >= WORDS_OF_LANGUAGE and in_a[a] - in_a.get(q, 0) >= AHEAD and in_q[q] >= WORDS_OF_LANGUAGE
 
 
-def breaks_off(text: str, words: Sequence[str], components: Sequence[str]) -> bool:
-    """Whether an answer breaks off before its end."""
+def breaks_off(text: str, words: Sequence[str], components: Sequence[str], broken_word: bool = False) -> bool:
+    """Whether an answer breaks off before its end; ``broken_word`` says that its last word is a part of one."""
     bare = text.rstrip()
     if unfinished(bare):
         return True
@@ -287,7 +313,9 @@ def breaks_off(text: str, words: Sequence[str], components: Sequence[str]) -> bo
     if _END.search(bare) or len(words) < 2:
         return False
     last = bare.split()[-1].lower().strip("'’")
-    if last in OPEN_WORDS:
+    if last in OPEN_WORDS or (broken_word and len(words) >= LEAST_WORDS):
+        return True
+    if len(words) >= LEAST_WORDS and _HALF_CLAUSE.search(bare):
         return True
     # The parts that the answer should have: do they, one by one or in a row, go on behind the answer's last words?
     if len(words) < 4:
@@ -329,14 +357,15 @@ def unwrap(text: str) -> tuple[str, bool]:
     return _LABEL.sub("", s), broken
 
 
-def defect(question: str | None, prompt: str | None, answer: str | None, components: Sequence[str] | None = None) -> str | None:
+def defect(question: str | None, prompt: str | None, answer: str | None, components: Sequence[str] | None = None, broken_word: bool = False) -> str | None:
     """The defect of an answer to its question (or prompt), or null.
 
     empty: null, without a letter or digit, or only a stand-in for nothing;
     copied: gives back the question or prompt and nothing else; refusal: the
     answer itself declines, told refusals and quoted ones don't count;
     other_language: another language or script than the question's; truncated:
-    something is left open, or the last word can't be the last. The first that
+    something is left open, or the last word can't be the last, being open, the
+    mere subject of a clause, or a part of a word (``broken_word``). The first that
     holds, in this order. A null question only rules out copied and
     other_language.
     """
@@ -360,7 +389,7 @@ def defect(question: str | None, prompt: str | None, answer: str | None, compone
             return "refusal"
     if question and other_language(question, text):
         return "other_language"
-    if broken or breaks_off(text, words, components or ()):
+    if broken or breaks_off(text, words, components or (), broken_word):
         return "truncated"
     return None
 
@@ -383,20 +412,53 @@ def record_pairs(records: DataFrame) -> DataFrame:
     return records.select(F.lit("parametric_eval_records").alias("tab"), "row_id", F.lit(-1).alias("task_idx"), question.alias("question"), F.col("record.prompt").alias("prompt"), F.col("record.reference").alias("answer"), F.col("record.metadata.answer_components").alias("components"))
 
 
+def _words_of(text: F.Column) -> F.Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{M}\p{Nd}'’]+")
+
+
+def broken_words(pairs: DataFrame) -> DataFrame:
+    """(last): what stands at the unmarked end of answers and is no word of any question or answer but begins one.
+
+    The words known are those of all questions and answers, of an answer without
+    an end mark but its last; a word begins another one that occurs at least
+    twice. Nothing is collected: words and their beginnings are joined.
+    """
+    open_ = last_word(F.col("answer"))
+    words = _words_of(F.col("answer"))
+    own = F.when(open_ == "", words).otherwise(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+    used = pairs.select(F.explode(own).alias("w")).unionByName(pairs.select(F.explode(_words_of(F.col("question"))).alias("w")))
+    known = cut(used.where("w <> ''").groupBy("w").agg(F.count("*").alias("n")))
+    ends = pairs.select(open_.alias("last")).where(F.length("last") >= LEAST_LETTERS).distinct()
+    unknown = cut(ends.join(known.withColumnRenamed("w", "last"), "last", "left_anti"))
+    longest = unknown.agg(F.coalesce(F.max(F.length("last")), F.lit(0)).alias("most"))  # one row
+    begun = known.where("n > 1").crossJoin(F.broadcast(longest)).where("most > 0 AND length(w) > 1").select(F.explode(F.expr("transform(sequence(1, greatest(1, least(length(w) - 1, most))), i -> left(w, i))")).alias("last"))
+    return unknown.join(begun, "last", "left_semi")
+
+
+def last_word(answer: F.Column) -> F.Column:
+    """The last word of an answer of some words that ends without a mark, else empty."""
+    return F.lower(F.regexp_extract(answer, r"(?:\S+\s+){3}([\p{L}\p{M}'’]*\p{L})\s*$", 1))
+
+
 def find_defects(pairs: DataFrame) -> DataFrame:
     """(tab, row_id, task_idx, defect) of the pairs whose answer is defective.
 
-    pairs as :func:`task_pairs` gives them; each row is judged by itself, so
-    repeated rows each count. Texts are read whole.
+    pairs as :func:`task_pairs` gives them; each row is judged by itself, but
+    for the words known from all pairs (:func:`broken_words`), so repeated rows
+    each count. Texts are read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tab, row, idx, question, prompt, answer, components = (b.column(i).to_pylist() for i in range(7))
-            kinds = [defect(*x) for x in zip(question, prompt, answer, components, strict=True)]
+            tab, row, idx, question, prompt, answer, components, broken = (b.column(i).to_pylist() for i in range(8))
+            kinds = [defect(*x) for x in zip(question, prompt, answer, components, broken, strict=True)]
             keep = [i for i, k in enumerate(kinds) if k]
             columns = [[x[i] for i in keep] for x in (tab, row, idx, kinds)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["tab", "row_id", "task_idx", "defect"])
 
-    ordered = pairs.select("tab", "row_id", "task_idx", "question", "prompt", "answer", "components")
+    broken = cut(broken_words(pairs).withColumn("broken", F.lit(True)))
+    if broken.count() <= FEW_WORDS:
+        broken = F.broadcast(broken)
+    marked = pairs.withColumn("last", F.coalesce(last_word(F.col("answer")), F.lit(""))).join(broken, "last", "left")
+    ordered = marked.select("tab", "row_id", "task_idx", "question", "prompt", "answer", "components", F.coalesce("broken", F.lit(False)).alias("broken"))
     return spread(ordered).mapInArrow(run, "tab string, row_id long, task_idx int, defect string")

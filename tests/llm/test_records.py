@@ -163,6 +163,26 @@ def test_defects_by_context():
     assert defect(Q, None, "It was sold. " * 50_000) is None
 
 
+REFUSED = ["No comment.", "That information is unavailable to me.", "This isn't something I can discuss.", "My guidelines prevent me from answering.", "Sorry, no can do.", "I lack the information needed.", "I'd have to pass here.", "Our policy does not allow it.", "That lies beyond what I can say.", "I am not authorized to share this.", "I'm going to skip this one.", "I do not wish to discuss it."]
+TOLD = ["My guidelines for the garden were simple.", "I passed the station on this side of the river.", "This is something Kela could discuss with Joris.", "That information was kept by Joris.", "I lacked a ladder, so Joris lent me one.", "No comment from Joris changed her mind.", "The policy did not allow it, so Kela left.", "Kela said that it was beyond her.", "It was unknown to Joris."]
+
+
+def test_refusals_in_other_words():
+    assert [x for x in REFUSED if defect(Q, None, x) != "refusal"] == []
+    assert [x for x in TOLD if defect(Q, None, x) == "refusal"] == []
+
+
+def test_words_that_break_off(spark):
+    """Words that no text has but as beginnings of others; whole words, names and short answers stay."""
+    answers = {
+        1: "Kela sold it at the bakery near the harbour", 2: "Joris went to the harbour at night.", 3: "Kela sold it at the bakery near the harb", 4: "Kela sold it at the bakery near the zzyx", 5: "harbo", 6: "He met her there, at Joris", 7: "Kela sold it because her brother", 8: "Kela left before the storm",
+        9: "The harbour of Joris was full, the storm came", 10: "Kela sold it at the bakery near the harbou.",
+    }
+    df = spark.createDataFrame([record(i, "train", "k", [], Q, a) for i, a in answers.items()], RECORD)
+    found = {(r["row_id"], r["defect"]) for r in pair_defects.find_defects(pair_defects.record_pairs(df)).collect()}
+    assert found == {(3, "truncated"), (7, "truncated")}
+
+
 def test_find_defects(spark):
     rows = [record(1, "train", "k", [], Q, None), record(2, "train", "k", [], Q, "Joris"), (3, "train", "f", None, "c", "c"), record(4, "train", "k", [], " ", Q, f"### Question\n{Q}\n### End\nx")]
     found = pair_defects.find_defects(pair_defects.record_pairs(spark.createDataFrame(rows, RECORD)))
@@ -268,10 +288,10 @@ def test_split_oversized(spark):
 
 
 def test_short_answers_in_another_language():
-    asked = "What did Kela and Joris do at the market after the ferry had left?"
-    for answer in ("Sie reparierte Lampen mit Halo.", "Joris wartete zwischen zwei Booten.", "Elle vendait toujours des lampes.", "Han sålde lampor tillsammans.", "Hän korjasi lamppuja ilman Jorista.", "Lámpákat javított Joris nélkül."):
+    asked = "What did Kela and Joris do with the piñata at the market after the ferry had left?"
+    for answer in ("Sie reparierte Lampen mit Halo.", "Joris wartete zwischen zwei Booten.", "Elle vendait toujours des lampes.", "Han sålde lampor tillsammans.", "Hän korjasi lamppuja ilman Jorista.", "Anna viajó a Madrid.", "Elle partit à Lyon", "Lámpákat javított Joris nélkül."):
         assert defect(asked, None, answer) == "other_language", answer
-    for answer in ("Joris met Kela.", "Joris de Vries", "Bo Kela, Lei Hans", "Feno felt wary, met Kelia.", "Repaired lamps with Halo.", "Brass lantern, folding chairs"):
+    for answer in ("Joris met Kela.", "Joris de Vries", "Bo Kela, Lei Hans", "Feno felt wary, met Kelia.", "Repaired lamps with Halo.", "Brass lantern, folding chairs", "hand-stitched piñata, crimson easel"):
         assert defect(asked, None, answer) != "other_language", answer
     assert defect("Was hat Kela nach dem Markt gemacht und wer war dabei?", None, "She repaired lamps with Halo.") == "other_language"
 
