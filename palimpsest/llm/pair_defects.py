@@ -295,10 +295,12 @@ def other_language(question: str, answer: str) -> bool:
     if not in_a or not in_q:  # one of them has a script of its own
         return a != q
     words = re.findall(r"[^\W\d_]+", answer)
+    if q == "en" and in_q[q] >= WORDS_OF_LANGUAGE and len(words) <= SHORT_ANSWER and not any(w in ENGLISH for w in words):
+        # A word in lower case with a letter that English words don't have, which the question hasn't.
+        if any(w.islower() and not w.isascii() and w not in question.lower() for w in words):
+            return True
     if a != q and len(words) <= SHORT_ANSWER and not in_a.get(q) and in_q[q] >= WORDS_OF_LANGUAGE:
         # Capitalized words may be names.
-        if q == "en" and any(w.islower() and not w.isascii() and w not in question.lower() for w in words) and not any(w in ENGLISH for w in words):
-            return True
         return in_a[a] >= WORDS_OF_LANGUAGE or any(w.islower() and w not in PARTICLES and a in _WORDS_OF.get(w, ()) for w in words)
     return a != q and in_a[a] >= WORDS_OF_LANGUAGE and in_a[a] - in_a.get(q, 0) >= AHEAD and in_q[q] >= WORDS_OF_LANGUAGE
 
@@ -436,8 +438,11 @@ def broken_words(pairs: DataFrame) -> DataFrame:
 
 
 def last_word(answer: F.Column) -> F.Column:
-    """The last word of an answer of some words that ends without a mark, else empty."""
-    return F.lower(F.regexp_extract(answer, r"(?:\S+\s+){3}([\p{L}\p{M}'’]*\p{L})\s*$", 1))
+    """The last word of an answer of LEAST_WORDS words or more that ends without a mark, else empty."""
+    flat = F.rtrim(F.translate(answer, "\n\t\r", "   "))
+    word = F.substring_index(flat, " ", -1)
+    blanks = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.when((blanks >= LEAST_WORDS - 1) & word.rlike(r"^[\p{L}\p{M}'’]*\p{L}$"), F.lower(word)).otherwise("")
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:
