@@ -53,7 +53,6 @@ LANGUAGE_WORDS = {
 _WORDS_OF = {w: [x for x, ws in LANGUAGE_WORDS.items() if w in ws.split()] for ws in LANGUAGE_WORDS.values() for w in ws.split()}
 # Words of these lists that stand in names, or in texts of other languages, too.
 PARTICLES = set("met war hat die men man door car care come son sin sole dove prima comment pendant ensemble encore min con mis mod mot nu non pan pas pod prin per ser sans sedan sur tai tam tot till van var volt wie worden hen her han hans har hep hon hun fra er era est ed ha dan dar dal dem des ben bis bin bo ale alla ami au cum il im ja jos kan lo lei lui lett lor ma mas mes mi mia mio mit na ne ni nos ob od om op os pe pelo po qu sa sen si su ta te ti til tu um un ve vi wo ya yo ze kun ole oman juntos idi ise ile de del della di da das do dos du des la le les el los las al van von der den ter ten zu y e o a i à en ibn bin st et per via pro no on me so is at to in an am do she he be we us".split())
-ENGLISH = {w for w in LANGUAGE_WORDS["en"].split() if w not in PARTICLES}
 # Letters that only some of these languages have.
 LANGUAGE_LETTERS = {"ß": "de", "ñ": "es", "¿": "es", "¡": "es", "ł": "pl", "ą": "pl", "ę": "pl", "ż": "pl", "ź": "pl", "ś": "pl", "ø": "da", "ã": "pt", "õ": "pt", "ğ": "tr", "ı": "tr", "ř": "cs", "ě": "cs", "ů": "cs"}
 # Words that don't end a statement.
@@ -275,6 +274,8 @@ def language(text: str) -> tuple[str, dict[str, int]]:
         kind = max(scripts, key=scripts.get)
         return ("ja" if "kana" in scripts else kind), {}
     for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w.endswith("ó") and len(w) > 3:  # a past tense
+            counts["es"] = counts.get("es", 0) + WORDS_OF_LANGUAGE
         for x in _WORDS_OF.get(w, ()):
             counts[x] = counts.get(x, 0) + 1
     best = max(counts, key=lambda x: (counts[x], x == "en"), default="")
@@ -295,10 +296,6 @@ def other_language(question: str, answer: str) -> bool:
     if not in_a or not in_q:  # one of them has a script of its own
         return a != q
     words = re.findall(r"[^\W\d_]+", answer)
-    if q == "en" and in_q[q] >= WORDS_OF_LANGUAGE and len(words) <= SHORT_ANSWER and not any(w in ENGLISH for w in words):
-        # A word in lower case with a letter that English words don't have, which the question hasn't.
-        if any(w.islower() and not w.isascii() and w not in question.lower() for w in words):
-            return True
     if a != q and len(words) <= SHORT_ANSWER and not in_a.get(q) and in_q[q] >= WORDS_OF_LANGUAGE:
         # Capitalized words may be names.
         return in_a[a] >= WORDS_OF_LANGUAGE or any(w.islower() and w not in PARTICLES and a in _WORDS_OF.get(w, ()) for w in words)
