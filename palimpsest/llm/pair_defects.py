@@ -275,7 +275,7 @@ def language(text: str) -> tuple[str, dict[str, int]]:
         return ("ja" if "kana" in scripts else kind), {}
     for w in re.findall(r"[^\W\d_]+", text.lower()):
         if w.endswith("ó") and len(w) > 3:  # a past tense
-            counts["es"] = counts.get("es", 0) + WORDS_OF_LANGUAGE
+            counts["es"] = counts.get("es", 0) + WORDS_OF_LANGUAGE + 1
         for x in _WORDS_OF.get(w, ()):
             counts[x] = counts.get(x, 0) + 1
     best = max(counts, key=lambda x: (counts[x], x == "en"), default="")
