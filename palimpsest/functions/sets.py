@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import focus_tokens, years
+from palimpsest.functions.text import SLOT_WORDS, focus_tokens, years
 
 
 def overlap_metrics(answer: Column, candidate: Column) -> Column:
@@ -19,10 +19,10 @@ def overlap_metrics(answer: Column, candidate: Column) -> Column:
 
 
 def matched_components(text: Column, components: Column, least: float = 0.5) -> Column:
-    """How many components have at least ``least`` of their focus tokens in a text; those without tokens don't match."""
-    t = focus_tokens(text)
-    hits = F.filter(F.coalesce(components, F.array().cast("array<string>")), lambda c: (F.size(focus_tokens(c)) > 0) & (F.size(F.array_intersect(focus_tokens(c), t)) >= least * F.size(focus_tokens(c))))
-    return F.size(hits)
+    """How many components have at least ``least`` of their focus tokens in a text, without those that only scaffold a slot; those without tokens don't match."""
+    t, scaffold = focus_tokens(text), F.array(*[F.lit(w) for w in SLOT_WORDS])
+    own = F.transform(F.coalesce(components, F.array().cast("array<string>")), lambda c: F.array_except(focus_tokens(c), scaffold))
+    return F.size(F.filter(own, lambda o: (F.size(o) > 0) & (F.size(F.array_intersect(o, t)) >= least * F.size(o))))
 
 
 def year_recall(component: Column, text: Column) -> Column:

@@ -7,14 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no focus, and words that only scaffold an answer.
-STOP_WORDS = tuple("a an and are as at be by for from has have in is it its of on or that the this to was were will with".split())
-SCAFFOLD_WORDS = tuple("answer question because reason event events person people thing things".split())
+# Words that carry no focus, words that only scaffold an answer, and those that only scaffold a slot.
+STOP_WORDS = tuple("a an and are as at be by did do does for from had has have he her his how in into is it its of on or she that the their them there they this to was were what when where which who why with".split())
+SCAFFOLD_WORDS = tuple("action answer author authors behavior business city completed correction current date decision destination difference dog gift include includes initiated item items learned location method name nature new object project quality relationship report requirement result rule shift specific status tradition types".split())
+SLOT_WORDS = tuple("art form trip travel planned plan going with item items object objects type types state status latest current".split())
 # Openings of components that are inferred, not told.
 INFERENCE_OPENINGS = {"Temporal Reasoning": ("calculation",), "Memory Arbitration": ("correction", "fundamental difference")}
-# Marks of a template that was left in a text.
-TEMPLATE_MARKS = ("<answer>", "your answer", "insert ", "placeholder", "[event", "[date", "...]", "{{", "}}")
-UNSPECIFIED_MARKS = ("not specified", "unspecified", "not mentioned", "unknown", "not stated", "no information")
+# Marks of a template that was left in a text, and of a text that says that something isn't said; in normalized texts.
+TEMPLATE_MARKS = ("for the query", "from the dialogue", "event chain", "event_chain", "final outcome", "final_outcome", "key turning point", "key_turning_points", "summary for the query", "answer for the query")
+UNSPECIFIED_MARKS = ("does not specify", "did not specify", "not specified", "not mention", "does not mention", "did not mention", "not provided", "not given", "unknown", "unclear")
+# What a normalized question asks for, the first that fits.
+QUESTION_KINDS = (
+    ("name", r"(^| )name( |$)|^who "),
+    ("title", r"job title|current title"),
+    ("job", r"primary job|current job|(^| )job( |$)"),
+    ("status", r"current status|status of"),
+    ("location", r"(^| )where( |$)|which city|what city|specific space|what space|what location"),
+    ("method", r"what method|how did.*learn|learn.*how did"),
+    ("rule", r"what rule"),
+    ("object", r"what object|what instrument|what item|what specific types of items|what project"),
+)
+#: Normalized questions that ask for two things.
+TWO_SLOTS = r"(^| )((what|which) two|two (specific|names))( |$)|(^| )and (who|what|which)( |$)|for whom|(what|who) are the names of|\bwhat .+?, and .+\b"
+# Where the value asked for stands in a normalized text.
+VALUE_PATTERNS = {
+    "name": (r"\bname (?:is|was|remains)? ?(.+?)$", r"\bnamed +(.+?)$", r"\bcalled +(.+?)$"),
+    "title": (r"\b(?:job title|title) +(?:is|was|remains) +(?:as +)?(.+?)$", r"\b(?:is|was|became|remains|currently is|is currently|is now) +(?:a +|an +)?(.+?)$"),
+    "job": (r"\b(?:primary|current)? *job +(?:is|was|remains) +(?:as +)?(.+?)$", r"\b(?:works|worked|serves|served) +as +(.+?)$", r"\b(?:is|was|became|remains|currently is|is currently|is now) +(?:a +|an +)?(.+?)$"),
+    "status": (r"\bstatus +(?:is|was|remains) +(.+?)$", r"\b(?:is|was|became|remains|currently is|is currently|is now) +(.+?)$"),
+    "location": (r"\blocation (?:is|was) (.+)$", r"\bdestination (?:is|was) (.+)$", r"\b(?:traveled|travelled|went|moved) to (.+)$", r"\bset up .* in (.+)$", r"\bconvert(?:ed)? .* (?:into|in) (.+)$", r"\b(?:located|based|situated) +(?:at|in) +(.+?)$", r"\blives? +in +(.+?)$", r"\bis in +(.+?)$"),
+    "method": (r"\bused (.+)$", r"\bfollowing (.+)$", r"\blearned to (.+)$"),
+    "rule": (r"\brule (?:is|was) (.+)$",),
+    "object": (r"\bit (?:is|was) (.+)$", r"\bproduced (.+)$", r"\borganized (.+)$", r"\bcompleted (.+)$"),
+}
+#: Words before a colon at most, for what follows it to be the value.
+WORDS_BEFORE_COLON = 8
 
 
 def strip(text: Column) -> Column:
@@ -46,7 +73,7 @@ def _stem(w: Column) -> Column:
     return (
         F.when((F.length(w) > 4) & w.endswith("ies"), F.concat(F.substring(w, F.lit(1), F.length(w) - 3), F.lit("y")))
         .when((F.length(w) > 4) & w.endswith("es"), F.substring(w, F.lit(1), F.length(w) - 2))
-        .when((F.length(w) > 3) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1))
+        .when((F.length(w) > 4) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1))
         .otherwise(w)
     )
 
@@ -54,12 +81,12 @@ def _stem(w: Column) -> Column:
 def focus_tokens(text: Column) -> Column:
     """The distinct words that carry a text's focus, in their first order.
 
-    Plural endings (ies, es, s) go; words of fewer than three characters, words
-    with digits only, stop words and scaffold words are left out.
+    Plural endings (ies, es, s) of words of more than four characters go; then
+    words of one character, words of digits only, stop words and scaffold words
+    are left out.
     """
-    bare = F.transform(F.flatten(F.transform(words(text), lambda w: F.split(w, "[-:]"))), _stem)
     drop = F.array(*[F.lit(w) for w in STOP_WORDS + SCAFFOLD_WORDS])
-    return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$") & ~F.array_contains(drop, w)))
+    return F.array_distinct(F.filter(F.transform(words(text), _stem), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\d+$") & ~F.array_contains(drop, w)))
 
 
 def grams(w: Column, n: int) -> Column:
@@ -198,21 +225,14 @@ def leaked_keyword(text: Column, keywords: Column) -> Column:
 
 
 def question_kind(query: Column) -> Column:
-    """What a question asks for: time, place, person, number, reason or general; the first that fits."""
-    q = F.lower(F.coalesce(query, F.lit("")))
-    return (
-        F.when(q.rlike(r"\b(when|what (date|year|month|day)|how long)\b"), "time")
-        .when(q.rlike(r"\b(where|which (city|place|spot|country)|what (city|place))\b"), "place")
-        .when(q.rlike(r"\b(who|whom|whose|which person)\b"), "person")
-        .when(q.rlike(r"\bhow (many|much)\b"), "number")
-        .when(q.rlike(r"\b(why|what made|for what reason)\b"), "reason")
-        .otherwise("general")
-    )
+    """What a question asks for, as QUESTION_KINDS has it; null where none fits."""
+    q = normalize_text(query)
+    return F.coalesce(*[F.when(q.rlike(pattern), kind) for kind, pattern in QUESTION_KINDS])
 
 
 def slot_count(query: Column) -> Column:
-    """2 where a question asks for two things ("and what", "both"), else 1."""
-    return F.when(F.lower(F.coalesce(query, F.lit(""))).rlike(r"\band (what|who|where|when|which|how)\b|\bboth\b"), 2).otherwise(1)
+    """2 where a question asks for two things, as TWO_SLOTS has it, else 1."""
+    return F.when(normalize_text(query).rlike(TWO_SLOTS), 2).otherwise(1)
 
 
 def distinct_ignoring_case(values: Column) -> Column:
@@ -236,31 +256,29 @@ def soft_recall(component: Column, text: Column) -> Column:
 
 
 def value_candidates(text: Column, kind: Column) -> Column:
-    """What a text offers as the value asked for, in order and once each: dates and spans, names, numbers, quoted words, clauses."""
-    none = F.array().cast("array<string>")
-    safe = F.coalesce(text, F.lit(""))
+    """What a text offers as the value asked for, in order and once each.
 
-    def all_of(pattern: str) -> Column:
-        return F.regexp_extract_all(safe, F.lit(pattern), 1)
-
-    dates_ = F.concat(all_of(r"(\d{4}-\d{2}(?:-\d{2})?)"), all_of(r"(\d+ (?:days?|weeks?|months?|years?|hours?|evenings?|weekends?))"))
-    names = all_of(r"([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})")
-    places = all_of(r"(?:at|in|to|near|from) (?:the )?([A-Z][\w'-]*(?: [a-z]+)?)")
-    numbers = all_of(r"(\d+(?:\.\d+)?)")
-    quoted = all_of("[\"“]([^\"”]{2,60})[\"”]")
-    clauses = F.filter(F.transform(F.split(safe, r"[.;,]\s+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    by_kind = F.when(kind == "time", dates_).when(kind == "person", names).when(kind == "place", places).when(kind == "number", numbers).otherwise(none)
-    return F.array_distinct(F.concat(by_kind, quoted, clauses))
+    Without a kind the whole normalized text; what follows a colon behind few
+    words; what the patterns of the kind find. An empty array for null and empty.
+    """
+    raw = normalize_text(text)
+    left, right = F.substring_index(raw, ":", 1), F.trim(F.regexp_replace(raw, r"^[^:]*:", ""))
+    after = F.when(F.contains(raw, F.lit(":")) & (F.size(F.filter(F.split(left, " "), lambda w: w != "")) <= WORDS_BEFORE_COLON), right)
+    found = F.lit(None).cast("array<string>")
+    for k, patterns in VALUE_PATTERNS.items():
+        found = F.when(kind == k, F.array(*[F.trim(F.regexp_extract(raw, p, 1)) for p in patterns])).otherwise(found)
+    every = F.concat(F.array(F.when(kind.isNull(), raw), after), F.coalesce(found, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(every, lambda v: v.isNotNull() & (v != "")))
 
 
 def template_left(text: Column) -> Column:
     """Whether marks of a template were left in a text."""
-    return has_any(text, TEMPLATE_MARKS)
+    return has_any(normalize_text(text), TEMPLATE_MARKS)
 
 
 def unspecified(text: Column) -> Column:
     """Whether a text says that something isn't said."""
-    return has_any(text, UNSPECIFIED_MARKS)
+    return has_any(normalize_text(text), UNSPECIFIED_MARKS)
 
 
 # How each letter of a personality type speaks.

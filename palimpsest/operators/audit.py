@@ -24,15 +24,20 @@ def audit(dialogues: DataFrame, key: str, least: float = 0.5, turns: str = "dial
 
     A component that is inferred rather than told is SKIPPED; one with at least
     ``least`` of its focus tokens in the dialogue is PRESENT, any other MISSING.
-    A component without focus tokens counts as covered. A dialogue's tokens are
-    made once and joined with its components by key.
+    A component without focus tokens counts as covered. Each dialogue is judged
+    within its row, so that its tokens are made once and neither copied for its
+    components nor shuffled.
     """
-    texts = dialogues.select(key, focus_tokens(render(F.col(turns))).alias("_said"))
-    own = F.col("_own")
-    rows = component_rows(dialogues, key).withColumn("_own", focus_tokens(F.col("component"))).join(texts, key)
-    share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, "_said")) / F.size(own)).otherwise(1.0)
-    status = F.when(~told(F.col("task_type"), F.col("component")), SKIPPED).when(share >= least, PRESENT).otherwise(MISSING)
-    return rows.select(key, "task_idx", "comp_idx", "task_type", F.round(share, 6).alias("coverage"), status.alias("status"))
+    said = F.transform(F.array(focus_tokens(render(F.col(turns)))), lambda tokens: F.transform("tasks_covered", lambda t, i: F.transform(t["answer_components"], lambda c, j: _judged(t, i, c, j, tokens))))
+    rows = dialogues.select(key, F.explode(F.flatten(F.filter(said[0], lambda x: x.isNotNull()))).alias("c")).where("c.component IS NOT NULL")
+    status = F.when(~F.col("c.told"), SKIPPED).when(F.col("c.share") >= least, PRESENT).otherwise(MISSING)
+    return rows.select(key, "c.task_idx", "c.comp_idx", "c.task_type", F.round("c.share", 6).alias("coverage"), status.alias("status"))
+
+
+def _judged(task: Column, task_idx: Column, component: Column, comp_idx: Column, said: Column) -> Column:
+    """struct(task_idx, comp_idx, component, task_type, told, share) of one component."""
+    shares = F.transform(F.array(focus_tokens(component)), lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, said)) / F.size(own)).otherwise(1.0))
+    return F.struct(task_idx.alias("task_idx"), comp_idx.alias("comp_idx"), component.alias("component"), task["task_type"].alias("task_type"), told(task["task_type"], component).alias("told"), shares[0].alias("share"))
 
 
 def hard_facts(component: Column, said: Column) -> Column:

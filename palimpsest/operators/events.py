@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.dates import month_of
+from palimpsest.functions.dates import MONTHS, month_of
 from palimpsest.functions.text import strip
 from palimpsest.lineage import cut
 from palimpsest.operators.rank import top_per_group
 
 EVENT_ID = r"^\d{4}_E\d+$"
-# What a time of year may speak of besides months.
-TIME_WORDS = ["early", "mid", "late", "spring", "summer", "autumn", "fall", "winter", "beginning", "end", "throughout", "year", "month", "week", "holiday"]
+# What a time of year must speak of, the years allowed, and the groups of issues with the words that tell them, the first that fits.
+TIME_WORDS = [*MONTHS, "winter", "spring", "summer", "fall", "autumn", "early", "mid", "late"]
+FIRST_YEAR, LAST_YEAR = 1900, 2100
+ISSUE_GROUPS = [("Causality issues", "Causality|Reference|caused_by_event_ids"), ("Event ID issues", "ID"), ("Year format issues", "Year|year"), ("Missing field issues", "Missing|empty")]
 
 
 def once(events: DataFrame) -> DataFrame:
@@ -48,30 +50,43 @@ def causality_issues(events: DataFrame) -> DataFrame:
 
 
 def event_issues(events: DataFrame) -> DataFrame:
-    """(character_name, event_id, issues): what is wrong with an event itself, in a fixed order; sound events are left out.
+    """(character_name, event_id, issues): messages on what is wrong with an event itself, in a fixed order; sound events are left out.
 
-    Year: missing, no number, outside 1900 to 2199. Id: missing, malformed,
-    another year's. Time of year: names no month, season or part of a year.
-    Fields: category or description missing.
+    Year: empty, with other characters than digits, outside FIRST_YEAR to
+    LAST_YEAR. Id: empty, malformed, another year's. Time of year: empty or
+    without a month, season or part of one. Category and description: null or blank.
     """
-    year = F.col("year").try_cast("int")
+    written = F.trim("year")
+    year = F.when(written.rlike(r"^\d{1,9}$"), written.cast("int"))
     blank = lambda c: F.coalesce(F.length(strip(F.col(c))) == 0, F.lit(True))
     low = F.lower(F.coalesce(F.col("time_of_year"), F.lit("")))
-    timed = reduce(lambda a, w: a | F.contains(low, F.lit(w)), TIME_WORDS, month_of(F.col("time_of_year")) > 0)
+    timed = reduce(lambda a, w: a | F.contains(low, F.lit(w)), TIME_WORDS, F.lit(False))
+    own = F.regexp_extract("event_id", r"^(\d{1,9})_", 1).try_cast("int")
+
+    def field(c: str) -> Column:
+        return F.when(F.col(c).isNull(), f"Missing required field: {c}").when(blank(c), f"Required field is an empty string: {c}")
+
     checks = [
-        F.when(blank("year"), "year missing").when(year.isNull(), "year no number").when(~year.between(1900, 2199), "year out of range"),
-        F.when(blank("event_id"), "id missing").when(~F.col("event_id").rlike(EVENT_ID), "id malformed").when(year.isNotNull() & (F.substring("event_id", 1, 4).try_cast("int") != year), "id of another year"),
-        F.when(blank("time_of_year"), "time missing").when(~timed, "time unknown"),
-        F.when(blank("category"), "category missing"),
-        F.when(blank("description"), "description missing"),
+        F.when(F.col("year").isNull(), "Year is empty").when(year.isNull(), F.concat(F.lit("Year contains non-numeric characters: '"), "year", F.lit("'"))).when(~year.between(FIRST_YEAR, LAST_YEAR), F.concat(F.lit("Year is outside the expected range: "), year.cast("string"))),
+        F.when(F.coalesce(F.col("event_id") == "", F.lit(True)), "Event ID is empty").when(~F.col("event_id").rlike(EVENT_ID), F.concat(F.lit("Malformed event ID: "), "event_id", F.lit(" (expected format: YYYY_EX)"))),
+        F.when(own != F.coalesce(year, F.when(F.coalesce(F.col("year") == "", F.lit(True)), 0)), F.concat(F.lit("Event ID year ("), own.cast("string"), F.lit(") does not match parent year ("), F.coalesce(year, F.lit(0)).cast("string"), F.lit(")"))),
+        F.when(F.coalesce(F.col("time_of_year") == "", F.lit(True)), "time_of_year is empty").when(~timed, F.concat(F.lit("time_of_year is not recognized: '"), "time_of_year", F.lit("'"))),
+        field("event_id"),
+        field("category"),
+        field("description"),
     ]
     return events.select("character_name", "event_id", F.array_compact(F.array(*checks)).alias("issues")).where("size(issues) > 0")
 
 
+def issue_group(message: Column) -> Column:
+    """The group that a message on an event or a cause belongs to."""
+    return F.coalesce(*[F.when(message.rlike(words), group) for group, words in ISSUE_GROUPS], F.lit("Other issues"))
+
+
 def issue_summary(events: DataFrame) -> DataFrame:
-    """(issue, n): how often each issue occurs, in events and causes, most frequent first."""
-    single = event_issues(events).select(F.explode("issues").alias("issue"))
-    return single.unionByName(causality_issues(events).select("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    """(issue, n): how often each group of issues occurs, in events and causes; times of year only warn and don't count."""
+    single = event_issues(events).select(F.explode("issues").alias("message")).where("message NOT LIKE 'time_of_year %'").select(issue_group(F.col("message")).alias("issue"))
+    return single.unionByName(causality_issues(events).select(F.lit("Causality issues").alias("issue"))).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 def causal_chains(events: DataFrame, longest: int = 5, shortest: int = 3, most: int = 5) -> DataFrame:
@@ -106,23 +121,32 @@ def with_causes(events: DataFrame) -> DataFrame:
     return events.select("character_name", "event_id").join(found, ["character_name", "event_id"], "left").select("character_name", "event_id", F.coalesce("causes", F.array().cast("array<string>")).alias("causes"))
 
 
-def task_time_issue(query: Column, answer: Column, known: Column, named: Column, span_days: Column) -> Column:
-    """Why a task's times can't be: no question or answer, a date in the question, an unknown event, a span that is off; else null.
+def task_time_issue(task: Column, known: Column, named: Column, dated: Column, span_days: Column) -> Column:
+    """Why a task can't be, the first that holds; else null.
 
-    known and named: how many of the events that it names exist, and how many
-    it names (0 passes). A span in days may be off by 5, in years by 1 or a
-    tenth, whichever is more.
+    blank: no question or answer; leak: the question of a temporal task has a
+    date or a month's name; unknown event: known, the events that exist of those
+    it names, is less than named (0 passes everything); no old state: an update
+    without the old state's value or event; years off, days off: a temporal
+    answer's span, with two dated events at least, is off by more than 1 year and
+    a tenth, or by more than 5 days.
     """
-    years = F.nullif(F.regexp_extract(answer, r"(?i)\b(\d+(?:\.\d+)?)\s+years?\b", 1), F.lit("")).try_cast("double")
-    days = F.nullif(F.regexp_extract(answer, r"(?i)\b(\d+)\s+days?\b", 1), F.lit("")).try_cast("double")
-    off = F.abs(years - span_days / 365.25)
+    query, answer, kind = task["query"], task["gold_answer"], task["task_type"]
+    temporal = F.coalesce(kind == "Temporal Reasoning", F.lit(False))
+    low = F.lower(answer)
+    years = F.nullif(F.regexp_extract(low, r"(\d+(\.\d+)?)\s*years?", 1), F.lit("")).try_cast("double")
+    days = F.nullif(F.regexp_extract(low, r"(\d+)\s*days?", 1), F.lit("")).try_cast("double")
+    real = span_days / 365.25
+    off = F.abs(years - real)
+    dated_span = temporal & (dated >= 2)
     return (
         F.when(named == 0, F.lit(None).cast("string"))
         .when(F.coalesce(F.length(strip(query)) == 0, F.lit(True)) | F.coalesce(F.length(strip(answer)) == 0, F.lit(True)), "blank")
-        .when(query.rlike(r"\d{4}-\d{2}"), "leak")
+        .when(temporal & (query.rlike(r"\d{4}-\d{2}") | query.rlike("|".join(m.capitalize() for m in MONTHS))), "leak")
         .when(known < named, "unknown event")
-        .when(years.isNotNull() & (off > 1) & (off > 0.1 * F.greatest(span_days / 365.25, F.lit(1e-9))), "years off")
-        .when(years.isNull() & (F.abs(days - span_days) > 5), "days off")
+        .when((kind == "Knowledge Updating") & (task["old_state_value"].isNull() | task["old_state_event_id"].isNull()), "no old state")
+        .when(dated_span & (off > 1) & (off / (real + 0.1) > 0.1), "years off")
+        .when(dated_span & (F.abs(days - span_days) > 5), "days off")
     )
 
 

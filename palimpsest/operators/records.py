@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.jsons import REQUIRED
 from palimpsest.functions.text import strip
 from palimpsest.operators import dialogue as D
 from palimpsest.operators import rank
 from palimpsest.operators import sequence as S
 
-# What a record of each task type asks for.
+#: What a record of each task type asks for.
 INSTRUCTIONS = {
-    "Information Extraction": ("State the single fact asked for.", ["answer", "evidence"]),
-    "Multi-session Reasoning": ("Join facts from several sessions.", ["answer", "chain"]),
-    "Temporal Reasoning": ("Give the span as a number of days.", ["days", "basis"]),
-    "Event Summarization": ("Tell the events in order.", ["summary", "key_points"]),
-    "Knowledge Updating": ("Give the newest state.", ["current", "as_of"]),
-    "Memory Arbitration": ("Check whether the premise is true.", ["verdict", "correction"]),
+    "Information Extraction": "State the single fact asked for.",
+    "Multi-session Reasoning": "Join facts from several sessions.",
+    "Temporal Reasoning": "Give the span as a number of days.",
+    "Event Summarization": "Tell the events in order.",
+    "Knowledge Updating": "Give the newest state.",
+    "Memory Arbitration": "Check whether the premise is true.",
 }
 
 
 def instruction(task_type: Column) -> Column:
     """The instruction of a task type; a general one for unknown types."""
-    texts = {k: f"{t} Return one JSON object with the fields {', '.join(f)}." for k, (t, f) in INSTRUCTIONS.items()}
+    texts = {k: f"{t} Return one JSON object with the fields {', '.join(REQUIRED[k])}." for k, t in INSTRUCTIONS.items()}
     pairs = [F.lit(x) for p in texts.items() for x in p]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), task_type), F.lit("Answer the question."))
 
@@ -59,16 +60,18 @@ def sft_output(task: Column) -> Column:
     def obj(**fields: Column) -> Column:
         return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"})
 
-    kind = task["task_type"]
-    days = F.nullif(F.regexp_extract(a, r"(\d+)\s+days?\b", 1), F.lit("")).try_cast("int")
-    premise = F.when(F.lower(a).rlike(r"premise is wrong|not what happened|never|no longer|false"), "false").otherwise("true")
+    kind, none = task["task_type"], F.lit("")
+    days = F.nullif(F.regexp_extract(a, r"(\d+)\s+days?\b", 1), none).try_cast("int")
+    dates = F.regexp_extract_all(F.concat_ws(" ", parts, a), F.lit(r"(\d{4}-\d{2}-\d{2})"), 1)
+    years = F.regexp_extract_all(F.concat_ws(" ", task["query"], a), F.lit(r"\b((?:19|20)\d{2})\b"), 1)
+    false = F.lower(a).rlike(r"premise is wrong|premise is incorrect|not what happened|never|no longer|false")
     return (
-        F.when(kind == "Multi-session Reasoning", obj(answer=a, chain=parts))
-        .when(kind == "Temporal Reasoning", obj(days=days, basis=a))
-        .when(kind == "Event Summarization", obj(summary=a, key_points=parts))
-        .when(kind == "Knowledge Updating", obj(current=a, as_of=F.nullif(F.regexp_extract(task["query"], r"(?i)\bas of ([^,?]+)[,?]", 1), F.lit(""))))
-        .when(kind == "Memory Arbitration", obj(verdict=premise, correction=a))
-        .otherwise(obj(answer=a, evidence=parts))
+        F.when(kind == "Multi-session Reasoning", obj(event_chain=parts, final_outcome=a))
+        .when(kind == "Temporal Reasoning", obj(final_answer=a, days=days, start_date=F.coalesce(F.array_min(dates), none), end_date=F.coalesce(F.array_max(dates), none)))
+        .when(kind == "Event Summarization", obj(time_span=F.array_join(F.array_distinct(years), "-"), key_turning_points=parts, summary=a))
+        .when(kind == "Knowledge Updating", obj(latest_state=a, as_of_time=F.regexp_extract(F.coalesce(task["query"], none), r"(?i)\bas of ([^,?]+)[,?]", 1), deprecated_state=F.coalesce(task["old_state_value"], none)))
+        .when(kind == "Memory Arbitration", obj(premise_verdict=F.when(false, "incorrect").otherwise("correct"), premise_error=F.when(false, a).otherwise(none), corrected_facts=parts, final_answer=a))
+        .otherwise(obj(answer=a, evidence_snippets=parts))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import sets
-from palimpsest.functions.text import INFERENCE_OPENINGS
+from palimpsest.functions.text import INFERENCE_OPENINGS, SLOT_WORDS
 from palimpsest.operators import audit as U
 from palimpsest.operators import dialogue as D
 from palimpsest.operators import sampling as T
@@ -235,7 +235,10 @@ def token_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return tasks.select("row_id", "task_idx", sets.overlap_metrics(F.col("task.gold_answer"), F.col("task.query")).alias("m")).select("row_id", "task_idx", "m.*")
 
 
-@query(f"WITH {TASKS} SELECT row_id, CAST(task_idx AS INTEGER) AS task_idx, len(list_filter(coalesce(task.answer_components, []), lambda c: len({focus('c')}) > 0 AND len(list_intersect({focus('c')}, {focus('task.gold_answer')})) >= 0.5 * len({focus('c')}))) AS matched FROM tasks")
+_OWN = f"list_filter({focus('c')}, lambda x: x NOT IN ({', '.join(repr(w) for w in SLOT_WORDS)}))"
+
+
+@query(f"WITH {TASKS} SELECT row_id, CAST(task_idx AS INTEGER) AS task_idx, len(list_filter(coalesce(task.answer_components, []), lambda c: len({_OWN}) > 0 AND len(list_intersect({_OWN}, {focus('task.gold_answer')})) >= 0.5 * len({_OWN}))) AS matched FROM tasks")
 def components_matched(spark: SparkSession, folder: str) -> DataFrame:
     tasks = D.task_rows(_dialogues(spark, folder), "row_id")
     return tasks.select("row_id", "task_idx", sets.matched_components(F.col("task.gold_answer"), F.col("task.answer_components")).cast("long").alias("matched"))

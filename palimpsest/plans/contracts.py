@@ -17,7 +17,7 @@ from palimpsest.operators import slots as S
 from palimpsest.operators.sampling import dense_ids
 from palimpsest.operators.rank import hash_order
 from palimpsest.plans.registry import query, table
-from palimpsest.plans.sqltext import TASKS
+from palimpsest.plans.sqltext import NORMAL, TASKS
 
 
 def _tasks(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,9 +213,19 @@ def speech_styles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "seed_bank").select("index", text.speech_style(F.col("mbti"), F.col("profile.age")).alias("style"))
 
 
-@query()
+def _values_sql() -> str:
+    by_kind = " ".join(f"WHEN '{k}' THEN [{', '.join(f"""trim(regexp_extract(raw, '{p}', 1))""" for p in ps)}]" for k, ps in text.VALUE_PATTERNS.items())
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{k}'" for k, p in text.QUESTION_KINDS) + " END"
+    after = f"CASE WHEN contains(raw, ':') AND len(list_filter(string_split(split_part(raw, ':', 1), ' '), lambda w: w <> '')) <= {text.WORDS_BEFORE_COLON} THEN trim(raw[instr(raw, ':') + 1:]) END"
+    return f"""
+WITH {TASKS}, n AS (SELECT row_id, task_idx, {NORMAL.format("task.gold_answer")} AS raw, {NORMAL.format("task.query")} AS q FROM tasks), k AS (SELECT *, {kind} AS kind FROM n),
+v AS (SELECT row_id, task_idx, list_filter(list_concat([CASE WHEN kind IS NULL THEN raw END, {after}], CASE kind {by_kind} ELSE [] END), lambda x: x IS NOT NULL AND x <> '') AS v FROM k)
+SELECT row_id, CAST(task_idx AS INTEGER) AS task_idx, array_to_string(list_sort(list_distinct(v)), '|') AS found FROM v"""
+
+
+@query(_values_sql())
 def answer_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """What each answer offers as the value asked for, and how much of its components it has by stems."""
+    """What each answer offers as the value asked for."""
     t = F.col("task")
-    rows = _tasks(spark, folder).withColumn("found", text.value_candidates(t["gold_answer"], text.question_kind(t["query"])))
-    return rows.select("row_id", "task_idx", F.size("found").alias("n"), F.round(text.soft_recall(F.array_join(t["answer_components"], " "), t["gold_answer"]), 6).alias("recall"))
+    found = text.value_candidates(t["gold_answer"], text.question_kind(t["query"]))
+    return _tasks(spark, folder).select("row_id", "task_idx", F.array_join(F.array_sort(found), "|").alias("found"))

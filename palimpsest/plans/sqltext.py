@@ -22,7 +22,7 @@ tasks AS (SELECT row_id, id, character, batch_no, i - 1 AS task_idx, tasks_cover
 
 NORMAL = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9\\s\\-:]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
-_STEM = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN length(w) > 4 AND ends_with(w, 'es') THEN w[:-3] WHEN length(w) > 3 AND ends_with(w, 's') THEN w[:-2] ELSE w END"
+_STEM = "CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN length(w) > 4 AND ends_with(w, 'es') THEN w[:-3] WHEN length(w) > 4 AND ends_with(w, 's') THEN w[:-2] ELSE w END"
 
 
 def focus(text: str) -> str:
@@ -30,8 +30,8 @@ def focus(text: str) -> str:
     from palimpsest.functions.text import SCAFFOLD_WORDS, STOP_WORDS
 
     drop = ", ".join(f"'{w}'" for w in STOP_WORDS + SCAFFOLD_WORDS)
-    words = f"list_filter(regexp_split_to_array({NORMAL.format(text)}, '[ \\-:]'), lambda w: TRUE)"
-    return f"list_distinct(list_filter(list_transform({words}, lambda w: {_STEM}), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\\d+') AND w NOT IN ({drop})))"
+    found = words(text)
+    return f"list_distinct(list_filter(list_transform({found}, lambda w: {_STEM}), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '\\d+') AND w NOT IN ({drop})))"
 
 
 def words(text: str) -> str:

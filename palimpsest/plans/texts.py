@@ -80,9 +80,10 @@ def document_years(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", F.array_join(F.transform(found, lambda y: y.cast("string")), ",").alias("years"))
 
 
-@query(f"""WITH {TASKS} SELECT row_id, CAST(task_idx AS INTEGER) AS task_idx, CASE WHEN regexp_matches(q, '\\b(when|what (date|year|month|day)|how long)\\b') THEN 'time' WHEN regexp_matches(q, '\\b(where|which (city|place|spot|country)|what (city|place))\\b') THEN 'place'
-  WHEN regexp_matches(q, '\\b(who|whom|whose|which person)\\b') THEN 'person' WHEN regexp_matches(q, '\\bhow (many|much)\\b') THEN 'number' WHEN regexp_matches(q, '\\b(why|what made|for what reason)\\b') THEN 'reason' ELSE 'general' END AS kind,
-  CASE WHEN regexp_matches(q, '\\band (what|who|where|when|which|how)\\b|\\bboth\\b') THEN 2 ELSE 1 END AS slots FROM (SELECT *, lower(coalesce(task.query, '')) AS q FROM tasks)""")
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{k}'" for k, p in text.QUESTION_KINDS) + " END"
+
+
+@query(f"""WITH {TASKS} SELECT row_id, CAST(task_idx AS INTEGER) AS task_idx, {_KIND} AS kind, CASE WHEN regexp_matches(q, '{text.TWO_SLOTS}') THEN 2 ELSE 1 END AS slots FROM (SELECT *, {NORMAL.format('task.query')} AS q FROM tasks)""")
 def question_kinds(spark: SparkSession, folder: str) -> DataFrame:
     q = F.col("task.query")
     return _tasks(spark, folder).select("row_id", "task_idx", text.question_kind(q).alias("kind"), text.slot_count(q).alias("slots"))

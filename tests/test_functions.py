@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, fuzzy, jsons, scoring, sets, text
+from palimpsest.plans.answers import GOLDEN
 from palimpsest.operators.rank import hash_order, near_equal_parts
 
 
@@ -34,7 +35,7 @@ def test_truthy(spark, value, want):
 def test_normalize_and_focus(spark):
     assert one(spark, "L'Été, 12:30 - Fin!", text.normalize_text) == "l t 12:30 - fin"
     assert one(spark, None, text.normalize_text) == ""
-    assert one(spark, "The cities and boxes of stories 2020 cat", text.focus_tokens) == ["city", "box", "story", "cat"]
+    assert one(spark, "The ladies and boxes of stories 2020 cat x bus buses", text.focus_tokens) == ["lady", "box", "story", "cat", "bus"]
     assert one(spark, None, text.focus_tokens) == []
 
 
@@ -126,32 +127,26 @@ def test_votes(spark):
     assert [r["v"] for r in df.collect()] == [v for _, v in said]
 
 
-SCORES = [
-    ("Temporal Reasoning", '{"days": 12, "basis": "x"}', "how long", "12 days", None, 1.0),
-    ("Temporal Reasoning", "about 12 days", "how long", "12 days", None, 1.0),
-    ("Temporal Reasoning", '{"days": 13, "basis": "x"}', "how long", "12 days", None, 0.0),
-    ("Information Extraction", '{"answer": "Joris Bo", "evidence": "x"}', "Who was it?", "Joris Bo", None, 1.0),
-    ("Information Extraction", '{"answer": "Elian", "evidence": "x"}', "Who was it?", "Joris Bo", None, 0.0),
-    ("Information Extraction", '{"answer": "Joris"}', "Who was it?", "Joris", None, 0.0),
-    ("Information Extraction", '{"answer": "unknown", "evidence": "x"}', "What?", "It is not mentioned.", None, 1.0),
-    ("Knowledge Updating", '{"current": "the old brass clock", "as_of": "x"}', "What now?", "a silver lantern", "brass clock old", 0.0),
-    ("Memory Arbitration", '{"verdict": "false", "correction": "Kela never lost the lantern, it was sold"}', "Why?", "The premise is wrong: Kela never lost the lantern, it was sold.", None, 1.0),
-    ("Memory Arbitration", '{"verdict": "true", "correction": "x"}', "Why?", "The premise is wrong.", None, 0.0),
-    ("Event Summarization", '{"summary": "Kela sold the lantern at the market", "key_points": ["met Joris"]}', "Tell", "Kela sold the lantern. Met Joris.", None, 1.0),
-]
-
-
-@pytest.mark.parametrize("kind, response, query, reference, old, want", SCORES)
-def test_scores(kind, response, query, reference, old, want):
-    parts = ["Kela sold the lantern", "met Joris"] if kind == "Event Summarization" else None
-    assert scoring.score_one(kind, response, query, reference, parts, old)[2] == want
-
-
-def test_reasoning_needs_the_chain():
-    parts = ["The lantern was sold at the market", "the money paid for the clock"]
-    good = '{"chain": ["The lantern was sold at the market", "the money paid for the clock"], "answer": "The lantern was sold at the market and the money paid for the clock"}'
-    assert scoring.score_one("Multi-session Reasoning", good, "How?", " and ".join(parts), parts)[0] == 1.0
-    assert scoring.score_one("Multi-session Reasoning", '{"chain": ["nothing"], "answer": "who knows"}', "How?", " and ".join(parts), parts)[0] == 0.0
+@pytest.mark.parametrize("case", GOLDEN, ids=[c[0] for c in GOLDEN])
+def test_scores(case):
+    score, sure, _, final, _ = scoring.score_one(*case[1:6])
+    assert (score, sure, final) == case[6:]
+
+
+def test_a_floor_is_kept_under_a_judge(spark):
+    loose = next(c for c in GOLDEN if c[0] == "a loose tail")
+    assert scoring.score_one(*loose[1:6])[2] == 0.5
+    rows = spark.createDataFrame([(0.5, 0.5, 0.0), (0.5, None, 0.0), (1.0, None, None), (1.0, None, 0.5)], "rule double, floor double, judged double")
+    both = rows.select(scoring.with_judge(F.col("rule"), F.col("floor"), F.col("judged"), F.lit(False)).alias("x")).collect()
+    assert [tuple(r["x"]) for r in both] == [(0.5, "rule_floor"), (0.0, "judge"), (1.0, "rule"), (0.5, "judge")]
+
+
+def test_values_and_slots_agree_with_the_columns(spark):
+    texts = ["Her job title is a harbour pilot", "name: Joris Bo", "What two things, and why", "Where did Kela go?", "He moved to the old ferry", "", "one: two: three", "a b c d e f g h i: j", "Cities of boxes are status 2020 x1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.focus_tokens(F.col("t")).alias("f"), text.question_kind(F.col("t")).alias("k"), text.slot_count(F.col("t")).alias("n"), text.value_candidates(F.col("t"), text.question_kind(F.col("t"))).alias("v"), text.value_candidates(F.col("t"), F.lit("location")).alias("p"))
+    for r in rows.collect():
+        assert list(dict.fromkeys(scoring.focus(r["t"]))) == r["f"] and scoring.kind_of(r["t"]) == r["k"] and scoring.slots_of(r["t"]) == r["n"]
+        assert scoring.values(r["t"], r["k"]) == r["v"] and scoring.values(r["t"], "location") == r["p"]
 
 
 @pytest.mark.parametrize("n, parts", [(0, 3), (2, 5), (10, 3), (59, 12)])

@@ -64,17 +64,16 @@ def test_labels_come_back_to_all_members(spark):
 def test_text_functions(spark):
     row = spark.createDataFrame([("walking lanterns", "He walked with a lantern")], "a string, b string").select(text.soft_recall(F.col("a"), F.col("b")).alias("y")).first()
     assert row["y"] == 1.0
-    found = one(spark, 'She met Kela Bo for 12 days, said "never again".', lambda c: text.value_candidates(c, F.lit("time")))
-    assert found[0] == "12 days" and "never again" in found
-    assert one(spark, None, lambda c: text.value_candidates(c, F.lit("time"))) == []
+    assert one(spark, "It was a clock named Old Tom", lambda c: text.value_candidates(c, F.lit("name"))) == ["old tom"]
+    assert one(spark, None, lambda c: text.value_candidates(c, F.lit("name"))) == []
     assert one(spark, "INTJ", lambda c: text.speech_style(c, F.lit("60s"))) == "chooses words with care, likes images, argues, keeps to the point, recalls old days"
-    assert one(spark, "<answer> here", text.template_left) is True and one(spark, "It is not stated.", text.unspecified) is True
+    assert one(spark, "The event chain is", text.template_left) is True and one(spark, "It is not specified.", text.unspecified) is True
 
 
 def test_json_functions(spark):
     assert one(spark, '{"facts": ["a", {"fact": "b"}, " "]}', jsons.fact_texts) == ["a", "b"]
     assert one(spark, '["a"]', jsons.fact_texts) == ["a"]
-    x = one(spark, ["evidence", "answer"], lambda c: jsons.soft_fields(F.lit("Information Extraction"), c), "array<string>")
-    assert (x["hard"], x["soft"]) == (["answer"], ["evidence"])
+    x = one(spark, ["evidence_snippets", "answer"], lambda c: jsons.soft_fields(F.lit("Information Extraction"), c), "array<string>")
+    assert (x["hard"], x["soft"]) == (["answer"], ["evidence_snippets"])
     assert one(spark, '{"aggregate": {"overall": 0.5}, "overall": 1}', lambda c: jsons.number_field(c, "overall")) == 0.5
     assert one(spark, '{"overall": 1}', lambda c: jsons.number_field(c, "overall")) == 1.0

@@ -265,7 +265,7 @@ def test_records(spark):
     rows = [(1, "id1", "Kela", [("user", None, "hello", None)], [t, ("Memory Arbitration", None, "Why?", "The premise is wrong.", None, None, None), ("x", None, " ", "y", None, None, None), None])]
     d = spark.createDataFrame(rows, f"row_id int, id string, character string, dialogue array<{TURN}>, tasks_covered array<{TASK}>")
     got = {r["task_idx"]: json.loads(r["output"]) for r in R.sft_records(d, "row_id").collect()}
-    assert got == {0: {"days": 12, "basis": "It took 12 days."}, 1: {"verdict": "false", "correction": "The premise is wrong."}}
+    assert got == {0: {"final_answer": "It took 12 days.", "days": 12, "start_date": "", "end_date": ""}, 1: {"premise_verdict": "incorrect", "premise_error": "The premise is wrong.", "corrected_facts": [], "final_answer": "The premise is wrong."}}
     stage = spark.createDataFrame([(1, 4)], "row_id int, stage int")
     record = json.loads(R.pretrain_records(d, D.greedy_chunks(d, "row_id", 100), "row_id", stage).first()["record"])
     assert record["text"] == "[stage 4 | Kela | chunk 1]\nuser: hello" and record["metadata"]["tokens"] == 3
