@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,19 +12,30 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Make sure that ``checkpoint()`` has a folder that all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    is one chosen: a temporary one for a local master, else one under the
-    warehouse, which executors share as well.
+    and the master is local is a temporary one chosen; a cluster without it
+    raises, as a folder of one machine would lose the rows of the others.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            local = context.master.startswith("local[") or context.master == "local"
-            folder = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, see :func:`with_checkpoints`."""
+    context = spark.sparkContext
+    if folder := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not (context.master.startswith("local[") or context.master == "local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
+def new_folder(spark: SparkSession, prefix: str) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; the plan starts anew."""
     with_checkpoints(df.sparkSession)

@@ -6,7 +6,7 @@ import importlib
 
 from palimpsest.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("sequences", "stories", "aggregates", "audits", "texts", "answers", "records", "streams", "contracts")
+MODULES = ("sequences", "stories", "aggregates", "audits", "texts", "answers", "records", "streams", "contracts", "files")
 
 for _m in MODULES:
     importlib.import_module(f"palimpsest.plans.{_m}")

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.lineage import new_folder
 from palimpsest.plans.registry import query
 from palimpsest.streaming import results as R
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; a temporary one for a local master only."""
-    context = spark.sparkContext
-    shared = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        local = context.master.startswith("local[") or context.master == "local"
-        shared = tempfile.mkdtemp(prefix="streams-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    place = _place(spark)
+    place = new_folder(spark, "streams")
     R.run_to_table(stream, f"{place}/rows", f"{place}/state", mode)
     return spark.read.schema(stream.schema).parquet(f"{place}/rows").select(*stream.columns)
 

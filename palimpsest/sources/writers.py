@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,29 @@ def jsonl(rows: DataFrame, path: str, *parts: str, mode: str = "overwrite") -> N
     (writer.partitionBy(*parts) if parts else writer).json(path)
 
 
+def whole_file(spark: SparkSession, text: str, path: str) -> None:
+    """Write one small text as the file ``path``, whole or not at all: beside it first, then renamed over what is there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(beside, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, where, options)
+
+
+def json_arrays(rows: DataFrame, path: str, files: int) -> None:
+    """JSON arrays in ``files`` files, null fields kept; each file is one task's work and should be small."""
+    one = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("_row")
+    parts = rows.select(F.expr(f"pmod(xxhash64(struct(*)), {files})").alias("_part"), one).groupBy("_part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("_row"), ",\n"), F.lit("]")).alias("value"))
+    parts.repartition(files, "_part").sortWithinPartitions("_part").select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def fixed(value: Column, digits: int = 6, missing: str = "") -> Column:
     """A number as text with fixed decimals; null and NaN as ``missing``."""
     return F.when(value.isNull() | F.isnan(value.cast("double")), missing).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
