@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one group may have, as its distances are held at once.
-MOST = 3_000
+from palimpsest.lineage import cut
+
+#: Facts whose distances are held at once; of an owner with more, neighbours along a fixed direction are clustered together.
+AT_ONCE = 1_000
 
 
 def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
@@ -112,25 +114,46 @@ def cluster_facts(facts: DataFrame, owner: str, key: str, vector: str, target: i
     """(owner, key, cluster, of): each owner's facts in clusters of ``least`` to ``most``, about ``target`` of them.
 
     The number of clusters is the feasible one nearest to the target. Facts
-    with a null vector get none and are left out. An owner with more than MOST
-    facts raises, as average linkage needs all their distances at once; share
-    such owners out by another key first.
+    with a null vector get none and are left out. An owner with more than AT_ONCE
+    facts is first cut into stretches of about half of it along a fixed direction
+    in space, each of which is clustered by itself, as no cluster may grow with
+    the owner anyway; clusters are numbered through.
     """
     kinds = facts.schema
-    schema = f"`{owner}` {kinds[owner].dataType.simpleString()}, `{key}` {kinds[key].dataType.simpleString()}, cluster int, of int"
+    head = f"`{owner}` {kinds[owner].dataType.simpleString()}, `{key}` {kinds[key].dataType.simpleString()}"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        n = len(pdf)
-        if n > MOST:
-            raise ValueError(f"{n} facts of one owner; at most {MOST} are clustered at once")
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
+    def clustered(x: np.ndarray, whole: bool) -> tuple[np.ndarray, int]:
+        n = len(x)
         if n < least:
-            labels, k = np.zeros(n, int), 1
-        else:
-            k = int(min(max(target, -(-n // most)), n // least))
-            labels = bounded(x, average_linkage(x, k), least, most)
-        return pd.DataFrame({owner: pdf[owner], key: pdf[key], "cluster": labels.astype("int32"), "of": np.full(n, labels.max() + 1, dtype="int32")})
+            return np.zeros(n, int), 1
+        wish = target if whole else -(-n * target // AT_ONCE)
+        k = int(min(max(wish, -(-n // most)), n // least))
+        labels = bounded(x, average_linkage(x, k), least, most)
+        return labels, int(labels.max()) + 1
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # Ties may leave a stretch too long; it is then taken in even parts.
+        pdf = pdf.sort_values(["_along", key]).reset_index(drop=True)
+        parts = np.array_split(np.arange(len(pdf)), max(1, -(-len(pdf) // AT_ONCE)))
+        labels, of = np.zeros(len(pdf), int), 0
+        for part in parts:
+            part = part[np.argsort(pdf[key].to_numpy()[part], kind="stable")]
+            found, k = clustered(np.stack(pdf[vector].to_numpy()[part]).astype(float), bool(pdf["_whole"].iloc[0]))
+            labels[part] = found + of
+            of += k
+        return pd.DataFrame({owner: pdf[owner], key: pdf[key], "_stretch": pdf["_stretch"], "cluster": labels.astype("int32"), "_of": np.full(len(pdf), of, dtype="int32")})
 
     rows = facts.where(F.col(vector).isNotNull()).select(owner, key, vector)
-    return rows.groupBy(owner).applyInPandas(run, schema)
+    # A direction made of the places alone, alike in every run.
+    along = F.aggregate(F.transform(F.col(vector), lambda v, i: v.cast("double") * F.sin(i * 12.9898 + 1.0)), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    placed = rows.withColumn("_along", along)
+    sizes = placed.groupBy(owner).agg(F.count("*").alias("_n"), F.percentile_approx("_along", [i / 1_000 for i in range(1, 1_000)], 10_000).alias("_cuts"))
+    # Of the thousandths those that part an owner's facts into stretches of about half of AT_ONCE; more stretches than that stay longer and are parted above.
+    every = F.greatest(F.lit(1), F.floor(F.lit(500.0) * AT_ONCE / F.col("_n"))).cast("int")
+    sizes = sizes.select(owner, (F.col("_n") <= AT_ONCE).alias("_whole"), F.when(F.col("_n") <= AT_ONCE, F.array().cast("array<double>")).otherwise(F.filter("_cuts", lambda c, i: (i + 1) % every == 0)).alias("_cuts"))
+    joined = placed.join(sizes, owner).withColumn("_stretch", F.size(F.filter("_cuts", lambda c: c < F.col("_along")))).drop("_cuts")
+    found = cut(joined.groupBy(owner, "_stretch").applyInPandas(run, f"{head}, _stretch int, cluster int, _of int"))
+    counts = found.groupBy(owner, "_stretch").agg(F.max("_of").alias("_of"))
+    w = Window.partitionBy(owner).orderBy("_stretch")  # at most 1 000 stretches
+    offsets = counts.select(owner, "_stretch", (F.sum("_of").over(w) - F.col("_of")).alias("_before"), F.sum("_of").over(Window.partitionBy(owner)).alias("_all"))
+    return found.join(offsets, [owner, "_stretch"]).select(owner, key, (F.col("cluster") + F.col("_before")).cast("int").alias("cluster"), F.col("_all").cast("int").alias("of"))

@@ -94,8 +94,10 @@ def judged_scores(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("p_partkey", "vote", scoring.band(F.col("vote"), F.col("partial")).alias("band"), F.round(both["final"].cast("double"), 6).alias("final"), both["source"].alias("source"))
 
 
-@query()
+@query("SELECT CAST(label AS VARCHAR) AS owner, count(*) AS n, true AS kept, true AS numbered, true AS sized FROM embeddings GROUP BY label")
 def fact_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings of each label in clusters of 3 to 20."""
-    e = table(spark, folder, "embeddings").withColumn("owner", F.concat_ws("-", F.col("label").cast("string"), (F.col("vec_id") % 10).cast("string")))
-    return clusters_of(e, "owner", "vec_id", "embedding").select("owner", "vec_id", "cluster", "of")
+    """Embeddings of each label in clusters of 3 to 20: whether every row has one of the numbers and every cluster a size within the bounds."""
+    e = table(spark, folder, "embeddings").withColumn("owner", F.col("label").cast("string"))
+    sizes = clusters_of(e, "owner", "vec_id", "embedding").groupBy("owner", "cluster").agg(F.count("*").alias("m"), F.max("of").alias("of"), F.countDistinct("vec_id").alias("d"))
+    by = sizes.groupBy("owner").agg(F.sum("m").alias("n"), (F.sum("m") == F.sum("d")).alias("kept"), ((F.count("*") == F.max("of")) & (F.min("cluster") == 0) & (F.max("cluster") == F.max("of") - 1)).alias("numbered"), ((F.max("m") <= 20) & ((F.min("m") >= 3) | (F.sum("m") < 3))).alias("sized"))
+    return by

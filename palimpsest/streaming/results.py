@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palimpsest.lineage import cut
+
 
 def read_jsonl(spark: SparkSession, folder: str, schema: str | T.StructType, files_each: int = 1_000) -> DataFrame:
     """A stream of JSON lines from the files that appear in a folder."""
@@ -70,21 +73,28 @@ def histories(stream: DataFrame, key: str, order: str, value: str, most: int = 5
 def append_batches(stream: DataFrame, target: str, state: str, key: str, mode: str = "append"):
     """Write each micro-batch as its own part of a table, without the keys that earlier parts have; a query handle.
 
-    A batch that is repeated after a failure overwrites its own part, so every
-    row is there once. Rows with a null or empty ``key`` are failures and not kept.
+    The keys seen are the stream's state, so a micro-batch reads no earlier
+    part. Where the table is there but not the state, as after a move, its keys
+    are read once, at the start. A batch that is repeated after a failure
+    overwrites its own part, so every row is there once. Rows with a null or
+    empty ``key`` are failures and not kept.
     """
+    spark = stream.sparkSession
+    good = stream.where(F.length(F.col(key).cast("string")) > 0)
+    moved = _exists(spark, target) and not _exists(spark, state)
+    if moved:
+        good = good.join(cut(spark.read.parquet(target).select(key).distinct()), key, "left_anti")
+    prefix = uuid.uuid4().hex[:8] if moved else "0"
 
     def put(batch: DataFrame, number: int) -> None:
-        good = batch.where(F.length(F.col(key).cast("string")) > 0).dropDuplicates([key])
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(target)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            old = spark.read.parquet(target).where(F.col("batch") != number).select(key)
-            good = good.join(old, key, "left_anti")
-        good.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{target}/batch={prefix}-{number}")
+
+    return good.dropDuplicates([key]).writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def run_to_table(stream: DataFrame, target: str, state: str, mode: str = "append") -> None:

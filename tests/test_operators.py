@@ -270,3 +270,29 @@ def test_records(spark):
     record = json.loads(R.pretrain_records(d, D.greedy_chunks(d, "row_id", 100), "row_id", stage).first()["record"])
     assert record["text"] == "[stage 4 | Kela | chunk 1]\nuser: hello" and record["metadata"]["tokens"] == 3
     assert [r["sample_id"] for r in R.eval_samples(d, "row_id").orderBy("task_idx").collect()] == ["id1::Temporal Reasoning::0", "id1::Memory Arbitration::1", "id1::x::2"]
+
+
+def test_owners_of_any_size_are_clustered(spark, monkeypatch):
+    """More facts than are held at once, all alike or not: each has a cluster, numbered through, of a size within the bounds."""
+    monkeypatch.setattr(cluster, "AT_ONCE", 60)
+    rng = np.random.default_rng(3)
+    rows = [("big", i, [float(x) for x in rng.normal(size=4)]) for i in range(500)] + [("same", i, [1.0, 0.0]) for i in range(150)] + [("two", i, [1.0, float(i)]) for i in range(2)] + [("big", 999, None)]
+    got = cluster.cluster_facts(spark.createDataFrame(rows, "o string, k int, v array<double>"), "o", "k", "v").toPandas()
+    assert got.groupby("o").k.nunique().to_dict() == {"big": 500, "same": 150, "two": 2} and len(got) == 652
+    for o, part in got.groupby("o"):
+        sizes = part.groupby("cluster").size()
+        assert set(sizes.index) == set(range(part["of"].iloc[0])) and sizes.max() <= 20 and (o == "two" or sizes.min() >= 3)
+
+
+def test_a_moved_table_keeps_its_keys(spark, tmp_path):
+    from palimpsest.streaming import results
+
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.json").write_text('{"id": "x"}\n{"id": "y"}\n')
+    stream = results.read_jsonl(spark, str(source), "id string", 1)
+    results.append_batches(stream, target, str(tmp_path / "s1"), "id").awaitTermination()
+    (source / "b.json").write_text('{"id": "z"}\n{"id": "x"}\n{"id": null}\n')
+    results.append_batches(stream, target, str(tmp_path / "s1"), "id").awaitTermination()
+    results.append_batches(stream, target, str(tmp_path / "s2"), "id").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == ["x", "y", "z"]

@@ -12,7 +12,7 @@ LOOPS = {
     "apportion_largest_remainder", "audit_self_check", "baseline_report", "holdout_min_targets", "pretrain_records", "project_plan", "retention_cells", "retention_extremes",
     "retention_slopes", "retention_summary", "score_panel", "stage_assignment", "upsample_cyclic",
 }
-PYTHON = {"answer_fuzzy", "answer_scores", "answer_score_panel", "fact_clusters", "greedy_chunks", "pretrain_records", "recovered_turns", "strict_answers"}
+PYTHON = {"answer_fuzzy", "answer_scores", "answer_score_panel", "golden_scores", "fact_clusters", "greedy_chunks", "pretrain_records", "recovered_turns", "strict_answers"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
