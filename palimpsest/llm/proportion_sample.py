@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import cut
 from palimpsest.llm.cube_spark import balanced_sample
 
 # The six task types, their short codes and their other names.
@@ -93,11 +94,13 @@ def sample_to_shares(members: DataFrame, targets: DataFrame, seed: int = 1) -> t
     get report rows with zeros. The draw is the cube method balanced on the
     category indicators and the plan's total.
     """
+    members = cut(members.where("task_type IS NOT NULL"))
     wanted = F.round(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce(F.col("target_share") * F.col("sample_size"), F.lit(0.0))), 9)
     plans = targets.select("plan_id", "pool", "batch_no", "task_type", wanted.alias("wanted"))
-    sizes = members.where("task_type IS NOT NULL").groupBy("pool", "batch_no", "task_type").agg(F.count("*").alias("members"))
+    sizes = members.groupBy("pool", "batch_no", "task_type").agg(F.count("*").alias("members"))
     same = (F.col("p.pool") == F.col("s.pool")) & F.col("p.batch_no").eqNullSafe(F.col("s.batch_no")) & (F.col("p.task_type") == F.col("s.task_type"))
     state = plans.alias("p").join(sizes.alias("s"), same, "left").select("p.*", F.coalesce("members", F.lit(0)).cast("long").alias("members"))
+    state = cut(state)  # a row for each target
     types = sorted(TASK_TYPES)
     rates = state.where("members > 0 AND wanted > 0").withColumn("pi", F.least(F.lit(1.0), F.col("wanted") / F.col("members")))
     total = rates.groupBy("plan_id").agg(F.sum("members").alias("size"))
