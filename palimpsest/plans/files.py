@@ -76,13 +76,13 @@ def files_scores_csv(spark: SparkSession, folder: str) -> DataFrame:
     return readers.csv(spark, place, "model string, task string, checkpoint int, stage int, score double")
 
 
-@query(f"WITH {RESULTS} SELECT checkpoint, stage, count(*) AS n FROM results GROUP BY ALL")
+@query(f"WITH {RESULTS} SELECT checkpoint, stage, count(*) AS n FROM results WHERE checkpoint IS NOT NULL AND stage IS NOT NULL GROUP BY ALL")
 def files_score_tree(spark: SparkSession, folder: str) -> DataFrame:
     """One score file for each checkpoint and stage in a tree of folders, found by the folders' names."""
     place = new_folder(spark, "tree")
     o = table(spark, folder, "orders")
     counts = o.groupBy((F.col("o_orderkey") % 10 + 1).alias("c"), (F.col("o_custkey") % 10 + 1).alias("s")).agg(F.count("*").alias("n"))
-    for r in counts.collect():  # at most 100
+    for r in counts.where("c IS NOT NULL AND s IS NOT NULL").collect():  # at most 100
         writers.whole_file(spark, f'{{"aggregate": {{"n": {r["n"]}}}}}', f"{place}/checkpoint_stage_{r['c']:02}/stage_{r['s']:02}_seen/scores.json")
     found = readers.score_files(spark, place, "seen")
     return found.select("checkpoint", "stage", F.get_json_object("doc", "$.aggregate.n").cast("long").alias("n"))
@@ -123,7 +123,7 @@ WITH n AS (SELECT n_name, CAST(n_regionkey AS INTEGER) AS level, row_number() OV
 def files_levels(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt files with a level in their names, those of some levels."""
     place = new_folder(spark, "levels")
-    for r in table(spark, folder, "nation").select("n_name", "n_regionkey").limit(1_000).collect():  # 25 nations
+    for r in table(spark, folder, "nation").select("n_name", "n_regionkey").where("n_name IS NOT NULL AND n_regionkey IS NOT NULL").collect():  # 25 nations
         writers.whole_file(spark, "[]", f"{place}/prompt_L{r['n_regionkey']}_{r['n_name'].replace(' ', '-')}.json")
     name = F.replace(F.regexp_extract("path", r"_L\d+_([^/]*)\.json$", 1), F.lit("-"), F.lit(" "))
     return readers.level_files(spark, place, 1, 3).groupBy("level").agg(F.count("*").alias("files"), F.min(name).alias("first"))

@@ -64,8 +64,11 @@ def score_files(spark: SparkSession, root: str, split: str) -> DataFrame:
     """(checkpoint, stage, doc) of all checkpoint_stage_NN/stage_NN_<split>*/scores.json under a root; the first by name of several.
 
     doc is the file's text; checkpoints and stages come from the folders' names.
+    A root without such files, or none, gives no rows.
     """
     listed = files(spark, root, "scores.json").select("path")
+    if not listed.take(1):
+        return spark.createDataFrame([], "checkpoint int, stage int, doc string")
     c = F.regexp_extract("path", r"checkpoint_stage_(\d+)/", 1).try_cast("int")
     s = F.regexp_extract("path", rf"/stage_(\d+)_{split}[^/]*/scores\.json$", 1).try_cast("int")
     chosen = listed.select("path", c.alias("checkpoint"), s.alias("stage")).where("checkpoint IS NOT NULL AND stage IS NOT NULL").groupBy("checkpoint", "stage").agg(F.min("path").alias("path"))

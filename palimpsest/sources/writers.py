@@ -86,7 +86,7 @@ def append_new(rows: DataFrame, path: str, key: str) -> int:
     fresh = fresh.persist()
     try:
         n = fresh.count()
-        if n:
+        if n or not there:
             fresh.write.mode("append").parquet(path)
     finally:
         fresh.unpersist()
